@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_copies
+from .jaccard_join import similar
 from .language_id import identify
+from .mixing import Targets, mix
 from .packing import pack
 from .substring_dedup import remove_repeats
 from .url_filter import Rule, judge
@@ -21,6 +23,16 @@ URL_RULES = [
     Rule("block", "net", "/fr/"),
 ]
 
+MIX_TARGETS = Targets(
+    weights={
+        ("web",): 0.5, ("news",): 0.3, ("books",): 0.2,
+        **{(d, lang): w for d in ("web", "news", "books") for lang, w in {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}.items()},
+    },
+    budget_share=0.5,
+    max_epochs=4,
+    seed=17,
+)
+
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
@@ -41,6 +53,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_copies(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar(table(spark, sf_dir, "documents"), width=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), sequence_tokens=4096, end_id=2)
 
@@ -53,6 +69,17 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def domain_of(source: str = "source"):
+    """Sources are numbered; three domains take them in turn."""
+    number = F.coalesce(F.regexp_extract(source, r"(\d+)$", 1).try_cast("int"), F.lit(0))
+    return F.element_at(F.array(F.lit("web"), F.lit("news"), F.lit("books")), F.pmod(number, F.lit(3)) + 1)
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mix(table(spark, sf_dir, "documents"), domain_of(), MIX_TARGETS)
+    return out.select("doc_id", F.col("_domain").alias("domain"), "lang", "source", F.col("_tokens").alias("n_tokens"), F.col("_epoch").alias("epoch"))
+
+
 def queries() -> dict:
     import corpus_pipeline
 

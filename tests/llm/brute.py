@@ -19,3 +19,30 @@ def substring_dedup(texts, window):
         kept = " ".join(x for i, x in enumerate(w) if i not in gone)
         out.append((len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
     return out
+
+
+def jaccard_components(rows, width, percent):
+    """rows: (doc_id, text) -> {doc_id: (set size, component)}."""
+    sets = {}
+    for i, t in rows:
+        w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in WORD.findall(t or "")]
+        sets[i] = {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
+    holders = {}
+    for i, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    parent = {i: i for i in sets}
+
+    def find(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i, s in sets.items():
+        common = Counter(j for x in s for j in holders[x] if j < i)
+        for j, c in common.items():
+            if 100 * c >= percent * (len(s) + len(sets[j]) - c):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    return {i: (len(s), find(i)) for i, s in sets.items()}
