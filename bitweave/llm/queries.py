@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_copies
+from .html_extract import extract_pages
 from .jaccard_join import similar
 from .language_id import identify
 from .mixing import Targets, mix
 from .packing import pack
 from .substring_dedup import remove_repeats
 from .url_filter import Rule, judge
+from .va_file import top_k
 from .warc import round_trip
 
 URL_RULES = [
@@ -53,10 +55,19 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_copies(table(spark, sf_dir, "documents"))
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return top_k(rows, rows.where("vec_id % 50 = 0"), k=5)
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar(table(spark, sf_dir, "documents"), width=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), sequence_tokens=4096, end_id=2)
 

@@ -1,8 +1,60 @@
-"""Corpus pipeline."""
+"""A training-data pipeline over `documents`: each stage works on all that the stage before it kept."""
 
-STAGES = []
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from bitweave.llm.common import table, written
+from bitweave.llm.exact_dedup import drop_copies
+from bitweave.llm.jaccard_join import representatives
+from bitweave.llm.language_id import accepted
+from bitweave.llm.mixing import mix
+from bitweave.llm.packing import pack
+from bitweave.llm.queries import MIX_TARGETS, domain_of, tokenizer_path
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is not recognised (no letters, or too far from every centroid) go."""
+    return accepted(docs)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts equal but for white space, the longest stays."""
+    return drop_copies(docs)
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: five-word shingles, similarity 0.8 or more."""
+    return representatives(docs, width=5, percent=80)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn to the target weights; one drawn for several epochs is repeated."""
+    return mix(docs, domain_of(), MIX_TARGETS).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the drawn documents' tokens, packed into sequences."""
+    return pack(docs, tokenizer_path(), sequence_tokens=4096, end_id=2)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language ID", language_id),
+    ("exact dedup", exact_dedup),
+    ("n-gram Jaccard join", jaccard_join),
+    ("mixing sources to target weights", mixing),
+    ("packing", packing),
+]
+
+#: Centroids, shingle joins and byte-pair tokens have no SQL; tests/llm hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -46,3 +46,16 @@ def jaccard_components(rows, width, percent):
                 a, b = sorted((find(i), find(j)))
                 parent[b] = a
     return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def top_k(rows, every, k):
+    """rows: (vec_id, components) -> [(query_id, rank, vec_id, score)] for ids divisible by `every`."""
+    import math
+
+    ints = {i: [math.floor(256 * float(x)) for x in v] for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    out = []
+    for q in ints:
+        if q % every == 0:
+            scores = sorted((-sum(a * b for a, b in zip(ints[q], v)), i) for i, v in ints.items() if i != q)
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])]
+    return sorted(out)
