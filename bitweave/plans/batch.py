@@ -244,7 +244,7 @@ def _replay(rows: DataFrame, edges: DataFrame, algebra: Algebra, batch: list[Rot
     text, schema = _schema(algebra)
     names = B.word_names(algebra.words)
     layers = [r.layer for r in batch]
-    some = edges.where(F.col("layer").isin(layers)).select(*names, "layer")
+    some = edges.where(F.col("layer").isin(layers)).select(*names, "layer").toDF(*names, "layer")  # columns of its own, should both come from one table
     value = ["c", "layer", *(["back"] if backward else [])]
 
     def kernel(table: pa.Table, found: pa.Table) -> pa.Table:
