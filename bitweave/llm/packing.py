@@ -22,7 +22,7 @@ class WordTokenizer:
     Words (runs without ASCII white space) are encoded once and remembered, up to max_words of them.
     """
 
-    def __init__(self, path: str, max_words: int = 300_000):
+    def __init__(self, path: str, max_words: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -36,43 +36,49 @@ class WordTokenizer:
         self.starts, self.sizes = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.flat, self.used = np.zeros(1 << 14, np.uint32), 0
 
-    def _encode(self, words: list[bytes]) -> list[list[int]]:
-        """Many words in one call, told apart by a mark that is a token of its own."""
-        plain = self.mark is not None and not any(_MARK in w for w in words)
-        if plain:
-            ids = np.array(self.tokenizer.encode(" \x01 ".join(w.decode("utf-8", "replace") for w in words), add_special_tokens=False).ids)
-            cuts = np.flatnonzero(ids == self.mark)
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids in one array, and their numbers: one call, with a mark between words that is a token."""
+        if self.mark is not None and not any(_MARK in w for w in words):
+            ids = np.array(self.tokenizer.encode(b" \x01 ".join(words).decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
+            marks = ids == self.mark
+            cuts = np.flatnonzero(marks)
             if len(cuts) == len(words) - 1:
-                return [x[1:] if i else x for i, x in enumerate(np.split(ids, cuts))]
-        return [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+                return ids[~marks], np.diff(cuts, prepend=-1, append=len(ids)) - 1
+        each = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+        return np.array([i for ids in each for i in ids], np.uint32), np.array([len(ids) for ids in each])
 
     def _learn(self, words: list[bytes]) -> None:
-        if len(self.place) + len(words) > self.max_words:
-            self.reset()
         for i in range(0, len(words), 1000):
             some = words[i : i + 1000]
-            for word, ids in zip(some, self._encode(some)):
-                at = len(self.place)
-                self.place[word] = at
-                if at >= len(self.starts):
-                    self.starts, self.sizes = np.resize(self.starts, 2 * at), np.resize(self.sizes, 2 * at)
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.resize(self.flat, 2 * len(self.flat))
-                self.starts[at], self.sizes[at] = self.used, len(ids)
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.used += len(ids)
-
-    def encode(self, text: bytes) -> np.ndarray:
-        words = text.split()
-        if not words:
-            return np.empty(0, np.uint32)
-        if new := list(set(words).difference(self.place)):
-            forget = len(self.place) + len(new) > self.max_words
-            self._learn(list(set(words)) if forget else new)
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+            ids, sizes = self._encode(some)
+            at, end = len(self.place), len(self.place) + len(some)
+            while end > len(self.starts):
+                self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
+            while self.used + len(ids) > len(self.flat):
+                self.flat = np.resize(self.flat, 2 * len(self.flat))
+            self.place.update(zip(some, range(at, end)))
+            self.sizes[at:end] = sizes
+            self.starts[at:end] = self.used + np.cumsum(sizes) - sizes
+            self.flat[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
+
+    def encode(self, texts: list[bytes], end_id: int) -> list[np.ndarray]:
+        """Each text's ids, and end_id after them."""
+        split = [t.split() for t in texts]
+        words = set().union(*split)
+        new = words.difference(self.place)
+        if len(self.place) + len(new) > self.max_words:
+            self.reset()
+            new = words
+        self._learn(list(new))
+        find, n = self.place.__getitem__, [len(w) for w in split]
+        at = np.fromiter((i for w in split for i in map(find, w)), np.int64, sum(n))
         sizes = self.sizes[at]
         total = np.cumsum(sizes)
-        return self.flat[np.arange(total[-1]) + np.repeat(self.starts[at] - total + sizes, sizes)]
+        ids = self.flat[np.arange(len(at) and total[-1]) + np.repeat(self.starts[at] - total + sizes, sizes)]
+        upto = np.concatenate((np.zeros(1, np.int64), total))[np.cumsum([0, *n])]
+        end = np.array([end_id], np.uint32)
+        return [np.concatenate((ids[a:b], end)) for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())]
 
 
 _LOADED: dict[str, WordTokenizer] = {}
@@ -85,7 +91,7 @@ def word_tokenizer(path: str) -> WordTokenizer:
     return _LOADED[path]
 
 
-def tokenized(docs: DataFrame, path: str, end_id: int, shard_chars: int) -> DataFrame:
+def tokenized(docs: DataFrame, path: str, end_id: int, shard_chars: int, batch_bytes: int = 1 << 21) -> DataFrame:
     """(shard, doc_id, ids as little-endian uint32) per document; shards hold about shard_chars code points."""
     total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, -(-total // shard_chars))
@@ -93,12 +99,16 @@ def tokenized(docs: DataFrame, path: str, end_id: int, shard_chars: int) -> Data
 
     def encode(batches):
         tokenizer = word_tokenizer(path)
-        end = np.array([end_id], np.uint32)
         for batch in batches:
             shard, doc_id, texts = (batch.column(i).to_pylist() for i in range(3))
-            for i in range(0, len(texts), 256):
-                blobs = [np.concatenate((tokenizer.encode(t or b""), end)).astype("<u4").tobytes() for t in texts[i : i + 256]]
-                yield pa.RecordBatch.from_arrays([pa.array(shard[i : i + 256], pa.int64()), pa.array(doc_id[i : i + 256], pa.int64()), pa.array(blobs, pa.binary())], schema=_TOKENS)
+            texts, i = [t or b"" for t in texts], 0
+            while i < len(texts):
+                j, size = i, 0
+                while j < len(texts) and (j == i or size + len(texts[j]) < batch_bytes):
+                    size, j = size + len(texts[j]), j + 1
+                blobs = [x.astype("<u4").tobytes() for x in tokenizer.encode(texts[i:j], end_id)]
+                yield pa.RecordBatch.from_arrays([pa.array(shard[i:j], pa.int64()), pa.array(doc_id[i:j], pa.int64()), pa.array(blobs, pa.binary())], schema=_TOKENS)
+                i = j
 
     return rows.mapInArrow(encode, TOKENS_SCHEMA)
 
