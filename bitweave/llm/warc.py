@@ -153,16 +153,20 @@ def plan_records(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     """page_id, url, payload, digest, revisit, refers_to of the records to write.
 
     Of equal payloads of at least least_bytes, the row with the largest page_id is the response and the others revisit
-    it. Payloads are grouped by SHA-256 and length, counted before they are shuffled.
+    it. Groups and decisions are made on ids and SHA-256 digests, counted before they are shuffled; the payloads
+    themselves are shuffled once, by page.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
-    rows = rows.withColumns({"digest": F.sha1("payload"), "n": F.octet_length("payload"), "same": F.sha2("payload", 256)})
-    top = rows.where(F.col("n") >= least_bytes).groupBy("same").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("page_id", "same").orderBy("url")))
-    rows = rows.join(top.withColumn("grouped", F.lit(True)), "same", "left")
+    rows = rows.withColumns({"page": F.coalesce(F.col("page_id").cast("string"), F.lit("none")), "same": F.unhex(F.sha2("payload", 256))})
+    narrow = rows.where(F.octet_length("payload") >= least_bytes).groupBy("page_id", "page", "same").agg(F.count(F.lit(1)).alias("n"))
+    narrow = written(narrow, "payloads")
+    top = narrow.groupBy("same").agg(F.max("page_id").alias("top"), F.sum("n").alias("copies")).where("copies > 1").drop("copies")
+    grouped = narrow.join(top, "same").select("page", "same", "top", F.lit(True).alias("grouped"))
+    rows = rows.join(grouped, ["page", "same"], "left")
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("page", "same").orderBy("url")))
     revisit = F.coalesce(F.col("grouped"), F.lit(False)) & ~(F.col("page_id").eqNullSafe(F.col("top")) & (F.col("copy") == 1))
-    return rows.select("page_id", "url", "payload", "digest", revisit.alias("revisit"), F.when(revisit, F.col("top")).alias("refers_to"))
+    return rows.select("page_id", "url", "payload", F.sha1("payload").alias("digest"), revisit.alias("revisit"), F.when(revisit, F.col("top")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, archive_bytes: int = 8 << 20, least_bytes: int = 1000) -> DataFrame:
