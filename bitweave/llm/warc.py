@@ -10,8 +10,6 @@ import re
 import struct
 import uuid
 import zipfile
-from urllib.parse import quote
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +50,14 @@ def _from_urn(text: str):
     return None if value == "none" else int(value)
 
 
+def _target(url) -> list[str]:
+    """The target's header; a url with spaces or control characters is percent-encoded there and exact in a second."""
+    if url is None:
+        return []
+    plain = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
+    return [f"WARC-Target-URI: {plain}", *([f"X-Target-URI-Exact: {json.dumps(url)}"] if plain != url else [])]
+
+
 def record(page_id, url, payload: bytes, digest: str, refers_to, revisit: bool) -> bytes:
     """One WARC/1.1 record as a gzip member of its own. A revisit holds the HTTP head, not the payload."""
     block = HTTP_HEAD if revisit else HTTP_HEAD + payload
@@ -60,7 +66,7 @@ def record(page_id, url, payload: bytes, digest: str, refers_to, revisit: bool)
         f"WARC-Type: {'revisit' if revisit else 'response'}",
         f"WARC-Record-ID: {_urn(page_id)}",
         "WARC-Date: 1970-01-01T00:00:00Z",
-        *([f"WARC-Target-URI: {quote(url, safe=''.join(map(chr, range(33, 127))))}"] if url is not None else []),
+        *_target(url),
         f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Payload-Length: {len(payload)}",
         *([f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {_urn(refers_to)}"] if revisit else []),
@@ -256,8 +262,6 @@ def _split(raw: bytes):
 
 
 def _row(raw: bytes) -> dict:
-    from urllib.parse import unquote
-
     found = parse(raw)
     fields, payload = found["fields"], found["payload"]
     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
@@ -266,7 +270,7 @@ def _row(raw: bytes) -> dict:
         raise ValueError(f"wrong digest in {fields['WARC-Record-ID']}")
     return {
         "page_id": _from_urn(fields["WARC-Record-ID"]),
-        "url": unquote(fields["WARC-Target-URI"]) if "WARC-Target-URI" in fields else None,
+        "url": json.loads(fields["X-Target-URI-Exact"]) if "X-Target-URI-Exact" in fields else fields.get("WARC-Target-URI"),
         "record_type": fields["WARC-Type"],
         "refers_to": None if response else _from_urn(fields["WARC-Refers-To"]),
         "payload": payload if response else None,
