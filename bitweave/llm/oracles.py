@@ -1,3 +1,61 @@
-"""DuckDB SQL of the queries that SQL can express."""
+"""DuckDB SQL of the queries that SQL can express. The others are tested against brute force in tests/llm."""
 
-ORACLES: dict[str, str] = {}
+_WHITE = r"[\x20\x09-\x0D]+"
+
+EXACT_DEDUP = f"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '{_WHITE}', '', 'g') AS body FROM documents),
+r AS (SELECT *, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY body) AS group_size, row_number() OVER w AS nth
+      FROM d WINDOW w AS (PARTITION BY body ORDER BY n DESC, doc_id))
+SELECT doc_id, keep_id, group_size, nth = 1 AS kept, sha256(body) AS text_sha256 FROM r"""
+
+_WORD = r"[^\x20\x09-\x0D]+"
+
+SUBSTRING_DEDUP = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+p AS (SELECT doc_id, w[i] AS word, i, CASE WHEN i + 34 <= len(w) THEN md5(array_to_string(w[i:i + 34], ' ')) END AS k
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+c AS (SELECT *, CASE WHEN k IS NULL THEN 0 ELSE CAST(count(*) OVER (PARTITION BY k) > 1 AS INTEGER) END AS again FROM p),
+g AS (SELECT *, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM c),
+a AS (SELECT doc_id, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM g GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN a ON d.doc_id = a.doc_id"""
+
+JACCARD_JOIN = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM l JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 90 * (a.n + b.n - c)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, u.y FROM r JOIN (SELECT x, y FROM e UNION ALL SELECT y, x FROM e) u ON r.y = u.x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.y) AS component_id FROM d JOIN r ON r.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY 1, 2"""
+
+TOP_K = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
+
+WARC = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS n FROM pages),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS top FROM p)
+SELECT page_id, url, CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to, n AS payload_bytes, sha1(body) AS payload_digest FROM r"""
+
+
+def url_filters(rules) -> str:
+    """The longest rule's verdict, else allow: without canonical links and redirects no block is carried over."""
+    fits = "\nUNION ALL ".join(
+        f"SELECT page_id, '{r.host}{r.path}' AS rule, '{r.verdict}' AS verdict FROM u WHERE (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')" for r in rules
+    )
+    return f"""
+WITH t AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM t),
+m AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC) AS nth FROM ({fits}))
+SELECT u.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN m ON u.page_id = m.page_id AND nth = 1"""
+
+
+def oracles(rules) -> dict[str, str]:
+    return {"op1_substring_dedup": SUBSTRING_DEDUP, "op5_jaccard_join": JACCARD_JOIN, "op3_exact_dedup": EXACT_DEDUP, "op4_exact_top_k": TOP_K, "op8_warc": WARC, "op9_url_filters": url_filters(rules)}

@@ -11,6 +11,7 @@ from .html_extract import extract_pages
 from .jaccard_join import similar
 from .language_id import identify
 from .mixing import Targets, mix
+from .oracles import oracles
 from .packing import pack
 from .substring_dedup import remove_repeats
 from .url_filter import Rule, judge
@@ -98,6 +99,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from .oracles import ORACLES
+    import corpus_pipeline
 
-    return ORACLES
+    return oracles(URL_RULES) | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
