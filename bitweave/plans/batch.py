@@ -131,6 +131,37 @@ class _Cosets:
         return np.searchsorted(_comparable(self.reps), _comparable(rep)), cell
 
 
+#: Cells that a kernel lays out at a time: bounds its memory however many cosets a bucket holds.
+CELLS = 1 << 19
+
+
+def _slices(span: Span, words: int, table: pa.Table, found: pa.Table | None = None):
+    """The table, and the recorded pairs that lie in its cosets, in parts of whole cosets."""
+    reps, coset = _distinct(_representatives(span, _words(table, words)))
+    each = max(1, CELLS >> len(span.vectors))
+    if len(reps) <= each:
+        yield table, found
+        return
+    part = coset // each
+    order, parts = np.argsort(part, kind="stable"), -(-len(reps) // each)
+    at = np.searchsorted(part[order], np.arange(parts + 1))
+    if found is not None and len(found):
+        own = np.searchsorted(_comparable(reps), _comparable(_representatives(span, _words(found, words)))) // each
+        own_order = np.argsort(own, kind="stable")
+        own_at = np.searchsorted(own[own_order], np.arange(parts + 1))
+    for i in range(parts):
+        some = found if found is None or not len(found) else found.take(own_order[own_at[i] : own_at[i + 1]])
+        yield table.take(order[at[i] : at[i + 1]]), some
+
+
+def _representatives(span: Span, m: np.ndarray) -> np.ndarray:
+    rep = m.copy()
+    for v, p in zip(span.vectors, span.pivots):
+        bit = (m[:, p // 64] >> np.uint64(p % 64)) & np.uint64(1)
+        rep ^= bit[:, None] * B.np_words(v, m.shape[1])
+    return rep
+
+
 def _comparable(m: np.ndarray) -> np.ndarray:
     """Rows as one sortable value each, in the order that _distinct sorts them."""
     if m.shape[1] == 1:
@@ -214,7 +245,10 @@ def evolve(rows: DataFrame, algebra: Algebra, batch: list[Rotation], cut: Trunca
         out.insert(0, _table(schema, ROW, s.m[s.present], c[s.present], born[s.present]))
         return pa.concat_tables(out)
 
-    result = _dealt(rows.select(*names, "c", "layer"), span, names, buckets).applyInArrow(kernel, text)
+    def run(table: pa.Table) -> pa.Table:
+        return pa.concat_tables([kernel(part) for part, _ in _slices(span, algebra.words, table)])
+
+    result = _bucketed(rows.select(*names, "c", "layer"), span, names, buckets).groupBy("bucket").applyInArrow(run, text)
     return result if record else result.select(*names, "c", "layer")
 
 
@@ -223,10 +257,6 @@ def _bucketed(rows: DataFrame, span: Span, names: list[str], buckets: int | None
     return rows.withColumn("bucket", F.expr(f"pmod(xxhash64({', '.join(span.representative(names))}), {n}L)"))
 
 
-def _dealt(rows: DataFrame, span: Span, names: list[str], buckets: int | None):
-    return _bucketed(rows, span, names, buckets).groupBy("bucket")
-
-
 def replay(rows: DataFrame, edges: DataFrame, algebra: Algebra, batch: list[Rotation], cut: Truncation, buckets: int | None = None) -> DataFrame:
     """Carry (w0.., c, layer) through recorded layers: every row that was there scales by its cosine where it
     anticommutes, and the recorded pairs add their sines."""
@@ -248,8 +278,6 @@ def _replay(rows: DataFrame, edges: DataFrame, algebra: Algebra, batch: list[Rot
     value = ["c", "layer", *(["back"] if backward else [])]
 
     def kernel(table: pa.Table, found: pa.Table) -> pa.Table:
-        if not len(table):
-            return _table(schema, ROW, np.zeros((0, algebra.words), np.uint64))
         s = _Cosets(span, algebra, _words(table, algebra.words))
         c = s.lay(table["c"].to_numpy())
         born = s.lay(table["layer"].to_numpy(), 1 << 30)
@@ -282,6 +310,11 @@ def _replay(rows: DataFrame, edges: DataFrame, algebra: Algebra, batch: list[Rot
             back[:, high] = np.where(tb, cos, 1.0) * y - sin * phase * x
         return pa.concat_tables([_table(schema, ROW, s.m[s.present], back[s.present], born[s.present]), *out])
 
+    def run(table: pa.Table, found: pa.Table) -> pa.Table:
+        if not len(table):
+            return _table(schema, ROW, np.zeros((0, algebra.words), np.uint64))
+        return pa.concat_tables([kernel(*part) for part in _slices(span, algebra.words, table, found)])
+
     left = _bucketed(rows.select(*names, *value), span, names, buckets).groupBy("bucket")
     right = _bucketed(some, span, names, buckets).groupBy("bucket")
-    return left.cogroup(right).applyInArrow(kernel, text)
+    return left.cogroup(right).applyInArrow(run, text)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .errors import ModeCountError, StaleFunctionalError
 from .functions import bits as B
-from .functions.algebra import Algebra, occupied_mask
+from .functions.algebra import Algebra, occupied_mask, swapped
 from .operators.circuit import Circuit, validate_parameter_mapping
 from .operators.terms import MajoranaOperator, Pauli, PauliOperator
 from .plans.batch import EDGE, ROW, Rotation, batches, evolve, replay, replay_back
@@ -214,6 +214,18 @@ class Propagator:
     def _buckets(self, rows: DataFrame) -> int:
         return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // self.rows_per_bucket))
 
+    def _touching(self, rows: DataFrame, steps: list[Rotation]) -> list[Rotation]:
+        """The rotations that can find an anticommuting row. The slots in use come from one aggregate and grow by each
+        rotation kept; a generator outside them (an odd Majorana one aside) commutes with every row."""
+        used = B.join(rows.agg(*[F.expr(f"coalesce(bit_or({n}), 0L)") for n in self._names]).first())
+        out = []
+        for r in steps:
+            odd = self.basis == "majorana" and r.g.bit_count() % 2
+            if odd or used & (swapped(r.g) if self.basis == "pauli" else r.g):
+                out.append(r)
+                used |= r.g
+        return out
+
     def propagate(self, circuit: Circuit, *, only_rotate_len_k: int | None = None) -> None:
         """Evolve the table at the circuit's own angles, without a graph. Heisenberg: last gate first."""
         if self._graph.layers:
@@ -224,7 +236,7 @@ class Propagator:
         steps = [Rotation(g, values[p] * c, i) for i, (g, c, p) in enumerate(zip(flat.masks, flat.coefficients, flat.mapping))]
         steps = steps if self.schrodinger else steps[::-1]
         rows, buckets = self._rows, self._buckets(self._rows)
-        parts = batches(steps, self.max_rank)
+        parts = batches(self._touching(rows, steps), self.max_rank)
         for i, part in enumerate(parts):
             rows = evolve(rows, self.algebra, part, cut, schrodinger=self.schrodinger, occupied=self._occupied, buckets=buckets)
             if (i + 1) % self.batches_per_write == 0 or i == len(parts) - 1:
@@ -255,7 +267,7 @@ class Propagator:
         steps = [Rotation(x.g, values[x.parameter] * x.coefficient if values else 0.0, x.number) for x in layers]
         buckets = self._buckets(rows)
         graph = replace(self._graph)
-        for part in batches(steps, self.max_rank):
+        for part in batches(self._touching(rows, steps), self.max_rank):
             out = keep(evolve(rows, self.algebra, part, cut, schrodinger=self.schrodinger, occupied=self._occupied, informed=values is not None, record=True, buckets=buckets))
             rows = out.where(F.col("kind") == ROW).select(*self._names, "c", "layer")
             edges = out.where(F.col("kind") == EDGE).select(*self._names, "layer")
@@ -295,7 +307,7 @@ class Propagator:
         return rows.join(state, self._names)
 
     def _forward(self, rows: DataFrame, steps: list[Rotation], edges, cut: Truncation, marks: list | None = None) -> DataFrame:
-        parts = batches(steps, self.max_rank)
+        parts = batches(steps, self.max_rank) if edges is not None else []  # without a layer that touches a row: nothing
         buckets = self._buckets(rows) if parts else 1
         for i, part in enumerate(parts):
             if marks is not None:
@@ -310,6 +322,8 @@ class Propagator:
         steps = self._steps(values, self._graph)
         if not self.schrodinger:
             return self._forward(self._rows, steps, self._graph.edges, self._cut)
+        if self._graph.edges is None:
+            return self._rows
         rows = self._rows.withColumn("back", F.col("c")).withColumn("c", F.lit(0.0))
         buckets = self._buckets(rows)
         for part in reversed(batches(steps, self.max_rank)):

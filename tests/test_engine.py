@@ -189,6 +189,44 @@ def test_batch_equals_single_pass(spark, basis, words, schrodinger):
     assert len(a) > 200
 
 
+def test_slices_of_cosets(monkeypatch):
+    """A kernel that lays out few cells at a time gives the same; graphs and gradients too."""
+    from bitweave.plans import batch
+
+    kind, op, circuit, heisenberg, _ = majorana_case()
+    results = []
+    for cells in (1 << 19, 1):
+        monkeypatch.setattr(batch, "CELLS", cells)
+        table = pa_rows(range(1, 64))
+        span = Span.of([0b11, 0b110])
+        parts = list(batch._slices(span, 1, table, table.slice(3, 9)))
+        results.append(sorted(r for part, _ in parts for r in part["w0"].to_pylist()))
+        assert len(parts) == (1 if cells > 1 else 16) and sum(len(f) for _, f in parts) == 9
+        for part, found in parts:
+            reps = {span.reduce(w) for w in part["w0"].to_pylist()}
+            assert cells > 1 or len(reps) == 1 and {span.reduce(w) for w in found["w0"].to_pylist()} <= reps
+    assert results[0] == results[1] == list(range(1, 64))
+
+
+def pa_rows(values):
+    import pyarrow as pa
+
+    return pa.table({"w0": pa.array(values, pa.int64())})
+
+
+def test_untouched_gates_are_skipped():
+    n = 6
+    op = PauliOperator({Pauli("Z", (0,)): 1.0}, n)
+    circuit = Circuit([ExpGate(PauliOperator({Pauli("X", (q,)): 1.0}, n)) for q in range(n)], n, [0.1] * n)
+    p = PauliPropagator(op, [], cutoff=n)
+    flat = circuit.layers()
+    steps = [Rotation(g, 0.1, i) for i, g in enumerate(flat.masks)]
+    assert [r.layer for r in p._touching(p._rows, steps)] == [0]
+    p.build_graph(circuit)
+    assert p.graph_layers == n and p.graph_size() == (0, 1)
+    assert p.expectation_value(circuit) == pytest.approx(math.cos(0.2))
+
+
 def test_one_shuffle_per_gate_and_per_batch(spark):
     from bitweave.plans import catalogue
 
