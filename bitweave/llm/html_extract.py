@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame
 OUT_SCHEMA = "page_id long, url string, text string"
 _OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
+    re.S,
+)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
 
@@ -23,9 +26,9 @@ BLOCK = frozenset(
 )
 DROPPED = frozenset("head script style noscript template svg math iframe object embed canvas audio video nav footer aside form menu button select option textarea input dialog title noembed noframes".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form status".split())
-#: Words of class and id names that mark what is not article text.
+#: Words of class and id names that mark what is not article text.
 UNLIKELY = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adbox banner sponsor sponsored promo promotion comment comments commentlist reply replies respond disqus discussion sidebar sidebars aside"
+    "ad ads adsbygoogle adv advert adverts advertisement advertising adsense adbox banner sponsor sponsored promo promotion comment comments commentlist reply replies respond disqus discussion feedback responses disclaimer outbrain taboola sidebar sidebars aside"
     " nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager header masthead topbar footer foot colophon copyright cookie cookies consent gdpr notice notices alert popup modal overlay"
     " newsletter subscribe subscription signup login form search share sharing social related recommended widget widgets toolbar skip hidden".split()
 )
