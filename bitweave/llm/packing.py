@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import ArrayBpe
+
 TOKENS_SCHEMA = "shard long, doc_id long, ids binary"
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _PIECE = pa.schema([(c.split()[0], pa.int64()) for c in PIECE_SCHEMA.split(", ")])
@@ -16,10 +19,24 @@ _TOKENS = pa.schema([("shard", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.b
 _MARK = b"\x01"
 
 
+class _Places(dict):
+    """Numbers words as they come, and lists those that are new."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        self[word] = at = len(self)
+        return at
+
+
 class WordTokenizer:
     """Token ids of texts, by a public tokenizer file whose tokens never span ASCII white space.
 
-    Words (runs without ASCII white space) are encoded once and remembered, up to max_words of them.
+    Words (runs without ASCII white space) are encoded once and remembered; beyond max_words all are forgotten before the
+    next texts. New words are encoded together, on arrays where ArrayBpe handles them and by the library elsewhere.
     """
 
     def __init__(self, path: str, max_words: int = 600_000):
@@ -29,14 +46,15 @@ class WordTokenizer:
         self.max_words = max_words
         mark = self.tokenizer.encode(_MARK.decode(), add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
+        self.bpe = ArrayBpe(path)
         self.reset()
 
     def reset(self) -> None:
-        self.place: dict[bytes, int] = {}
+        self.place = _Places()
         self.starts, self.sizes = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.flat, self.used = np.zeros(1 << 14, np.uint32), 0
 
-    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _library(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The words' ids in one array, and their numbers: one call, with a mark between words that is a token."""
         if self.mark is not None and not any(_MARK in w for w in words):
             ids = np.array(self.tokenizer.encode(b" \x01 ".join(words).decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
@@ -48,31 +66,38 @@ class WordTokenizer:
         return np.array([i for ids in each for i in ids], np.uint32), np.array([len(ids) for ids in each])
 
     def _learn(self, words: list[bytes]) -> None:
-        for i in range(0, len(words), 1000):
-            some = words[i : i + 1000]
-            ids, sizes = self._encode(some)
-            at, end = len(self.place), len(self.place) + len(some)
-            while end > len(self.starts):
-                self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.place.update(zip(some, range(at, end)))
-            self.sizes[at:end] = sizes
-            self.starts[at:end] = self.used + np.cumsum(sizes) - sizes
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
+        """Store the ids of words whose places, in this order, are the last ones given."""
+        at = len(self.place) - len(words)
+        groups = [(words, np.arange(len(words)))]
+        if self.bpe.usable:
+            ids, sizes, handled = self.bpe.encode(words)
+            rest = np.flatnonzero(~handled)
+            self._store(at + np.flatnonzero(handled), ids, sizes[handled])
+            groups = [([words[i] for i in rest.tolist()], rest)]
+        for some, rows in groups:
+            for i in range(0, len(some), 1000):
+                self._store(at + rows[i : i + 1000], *self._library(some[i : i + 1000]))
+
+    def _store(self, at: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        while len(self.place) > len(self.starts):
+            self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.sizes[at] = sizes
+        self.starts[at] = self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
 
     def encode(self, texts: list[bytes], end_id: int) -> list[np.ndarray]:
         """Each text's ids, and end_id after them."""
         split = [t.split() for t in texts]
-        words = set().union(*split)
-        new = words.difference(self.place)
-        if len(self.place) + len(new) > self.max_words:
+        n = [len(w) for w in split]
+        if len(self.place) > self.max_words:
             self.reset()
-            new = words
-        self._learn(list(new))
-        find, n = self.place.__getitem__, [len(w) for w in split]
-        at = np.fromiter((i for w in split for i in map(find, w)), np.int64, sum(n))
+        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(split)), np.int64, sum(n))
+        if self.place.new:
+            self._learn(self.place.new)
+            self.place.new = []
         sizes = self.sizes[at]
         total = np.cumsum(sizes)
         ids = self.flat[np.arange(len(at) and total[-1]) + np.repeat(self.starts[at] - total + sizes, sizes)]
