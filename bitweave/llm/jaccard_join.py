@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .common import doc_starts, mix, pack_chunks, unpack, window_hashes, word_bounds, word_hashes, written
+from .common import discard, doc_starts, mix, pack_chunks, unpack, window_hashes, word_bounds, word_hashes, written
 from .graph import components
 
 SETS_SCHEMA = "doc_id long, n long, sig binary, tokens binary, prefix binary"
@@ -139,7 +139,9 @@ def shingle_sets(docs: DataFrame, width: int, percent: int, chunk_bytes: int = 3
         return pa.Table.from_batches(out, schema=_SETS)
 
     grades = _frequencies(chunks.mapInArrow(ask, X.ASK_SCHEMA))
-    return written(chunks.groupBy("chunk").cogroup(grades.groupBy("chunk")).applyInArrow(keep, SETS_SCHEMA), "sets")
+    sets = written(chunks.groupBy("chunk").cogroup(grades.groupBy("chunk")).applyInArrow(keep, SETS_SCHEMA), "sets")
+    discard(chunks)
+    return sets
 
 
 def _prefix_rows(sets: DataFrame) -> DataFrame:
@@ -267,7 +269,10 @@ def set_links(sets: DataFrame, percent: int, fragments: int = 4, block: int = 20
     placed = placed.select(F.col("node").alias("sig"), name.alias("block"), side.alias("left"), (F.col("part") == high).alias("right"))
     blocks = alive.select("sig", "n", "tokens").join(placed, "sig")
     partial = _segments(blocks, fragments).groupBy("block", "fragment").applyInArrow(_partial(percent), PARTIAL_SCHEMA)
-    return written(partial.groupBy("block").applyInArrow(_total(percent), LINK_SCHEMA), "links")
+    links = written(partial.groupBy("block").applyInArrow(_total(percent), LINK_SCHEMA), "links")
+    for done in (alive, prefix, groups):
+        discard(done)
+    return links
 
 
 def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
