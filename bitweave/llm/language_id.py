@@ -15,6 +15,7 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred"
 DIMENSIONS = 4096
 PIECE = 1 << 19  # code points handled at a time
 UNKNOWN = "und"
+FULL = 256  # distinct n-grams from which a text's cosine no longer hangs on its length
 
 
 @cache
@@ -64,22 +65,28 @@ def has_letter(counts: np.ndarray) -> np.ndarray:
     return counts.any(axis=1)
 
 
+def reach(counts: np.ndarray) -> np.ndarray:
+    """The share of a full text's cosine that a text can be held to: it grows with the root of the distinct n-grams."""
+    return np.sqrt(np.minimum(1.0, np.count_nonzero(counts, axis=1) / FULL))
+
+
 @dataclass
 class Model:
-    """languages[owner[i]] owns centroid i; a text nearer than limits[i] to its nearest centroid i is accepted."""
+    """languages[owner[i]] owns centroid i; a text is accepted if its cosine with its nearest centroid i is at least
+    floors[i] times its reach."""
 
     languages: list[str]
     idf: np.ndarray
     centroids: np.ndarray
     owner: np.ndarray
-    limits: np.ndarray
+    floors: np.ndarray
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
         x = np.log1p(counts) * self.idf
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
     def predict(self, counts: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, cosine with its nearest centroid, and whether the distance is beyond that centroid's limit."""
+        """Language, cosine with its nearest centroid, and whether that is below what is asked of a text of its length."""
         if not self.languages:
             return [UNKNOWN] * len(counts), np.zeros(len(counts)), np.ones(len(counts), bool)
         cosine = self.vectors(counts) @ self.centroids.T
@@ -87,12 +94,15 @@ class Model:
         score = np.clip(cosine[np.arange(len(cosine)), best], 0, 1).astype(float)
         known = has_letter(counts)
         names = [self.languages[o] if k else UNKNOWN for o, k in zip(self.owner[best], known)]
-        return names, np.where(known, score, 0.0), ~known | (1 - score > self.limits[best])
+        return names, np.where(known, score, 0.0), ~known | (score < self.floors[best] * reach(counts))
 
 
-def fit(counts: np.ndarray, langs: list[str], clusters: int = 4, rounds: int = 12, slack: float = 0.5, seed: int = 7) -> Model:
-    """Spherical k-means of each language's vectors. A centroid's limit lies slack of the way from its language's
-    farthest training text to distance 1, so that texts like the training texts are never rejected."""
+def fit(counts: np.ndarray, langs: list[str], clusters: int = 4, rounds: int = 12, slack: float = 0.5, low: float = 0.05, seed: int = 7) -> Model:
+    """Spherical k-means of each language's vectors. A language's floor lies slack of the way from the low quantile of
+    its training texts' cosines, each divided by the text's reach, to 0; so neither a few odd texts nor short ones
+    decide it. Texts without n-grams are not learned from."""
+    known = has_letter(counts)
+    counts, langs = counts[known], [x for x, k in zip(langs, known) if k]
     languages = sorted(set(langs))
     idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
     model = Model(languages, idf, np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int), np.zeros(0))
@@ -111,8 +121,8 @@ def fit(counts: np.ndarray, langs: list[str], clusters: int = 4, rounds: int = 1
     if languages:
         model.centroids, model.owner = np.concatenate(centres).astype(np.float32), np.array(owner)
         cosine = x @ model.centroids.T
-        farthest = [1 - np.where(model.owner == k, cosine, -1).max(axis=1)[mine == k].min() for k in range(len(languages))]
-        model.limits = np.array([f + slack * (1 - f) for f in farthest])[model.owner]
+        full = [np.where(model.owner == k, cosine, -1).max(axis=1)[mine == k] / reach(counts[mine == k]) for k in range(len(languages))]
+        model.floors = np.array([(1 - slack) * min(1.0, np.quantile(f, low)) for f in full])[model.owner]
     return model
 
 
@@ -123,8 +133,8 @@ def held_out(doc_id):
 
 def train(docs: DataFrame, sample_texts: int = 2000, seed: int = 7) -> Model:
     """Fit on at most sample_texts labelled texts (an equal share of each language's, chosen by a hash of the doc_id),
-    none of them held out. That bound is the classifier's only one; prediction covers all documents."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    none of them held out or without a letter. That bound is the classifier's only one; prediction covers all documents."""
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     labelled = labelled.select("lang", "doc_id", "text", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)).alias("draw"))
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     each = max(1, sample_texts // max(1, len(sizes)))
@@ -164,7 +174,8 @@ def identify(docs: DataFrame, sample_texts: int = 2000) -> DataFrame:
     """Predict every document's language: doc_id, held_out, lang_pred, score, rejected.
 
     Learns from text and non-null lang of documents that are not held out; prediction reads the whole text alone.
-    score is the cosine with the nearest centroid; rejected means that its distance is beyond the centroid's limit.
+    score is the cosine with the nearest centroid; rejected means that it is below the floor of the centroid's language,
+    which is lower for texts of few distinct n-grams.
     Null texts and texts without a letter are `und`, score 0, rejected. Without any labelled text all are. Repeated rows
     are predicted alike, ties go to the first language in alphabetical order, an empty table gives an empty result.
     docs needs doc_id, text and lang; other columns are ignored.

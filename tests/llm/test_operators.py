@@ -110,6 +110,22 @@ def test_language_id(docs, rows, empty):
     assert kept.columns == docs.columns and {300, 301, 302, 303}.isdisjoint(r.doc_id for r in kept.collect())
 
 
+def test_language_id_rejects(spark, rows):
+    """Labelled texts without letters do not switch rejection off."""
+    rng = random.Random(5)
+    letters = {"ru": range(0x430, 0x450), "zh": range(0x4E00, 0x5200), "ar": range(0x627, 0x64A), "el": range(0x3B1, 0x3CA), "ja": range(0x3042, 0x3093), "latin": range(97, 123)}
+    odd = [" ".join("".join(chr(rng.choice(x)) for _ in range(rng.randrange(2, 9))) for _ in range(n)) for x in letters.values() for n in (20, 300)]
+    odd += ["Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. ", "x1q9z 4k2j " * 50]
+    empty = [(600 + i, ("", " ", "12 ...")[i % 3], lang, "src0") for i, lang in enumerate(["en", "de", "fr"] * 10)]
+    known = [r for r in rows if r[0] is not None and r[0] < 300]
+    out = {r.doc_id: r for r in language_id.identify(documents(spark, known + empty + [(500 + i, t, None, "src0") for i, t in enumerate(odd)])).collect()}
+    assert all(out[500 + i].rejected for i in range(len(odd)))
+    assert not any(out[i].rejected for i, text, _, _ in known if len(text) > 20)
+    counts, langs = language_id.n_gram_counts([r[1] for r in known if r[2]]), [r[2] for r in known if r[2]]
+    none = np.zeros((len(empty), counts.shape[1]), np.float32)
+    assert np.array_equal(language_id.fit(counts, langs).floors, language_id.fit(np.concatenate((counts, none)), langs + [r[2] for r in empty]).floors)
+
+
 def test_language_id_counts_whole_texts():
     """A text beyond the piece size counts like its parts."""
     text = "abc déf " * (language_id.PIECE // 4)
