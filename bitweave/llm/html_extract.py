@@ -16,6 +16,7 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_CLASS = re.compile(r"(?:^|[\s\"'/])class\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -33,14 +34,17 @@ UNLIKELY = frozenset(
     " newsletter subscribe subscription signup login form search share sharing social related recommended widget widgets toolbar skip hidden".split()
 )
 CLOSES_P = BLOCK - {"body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "legend", "summary", "figcaption"}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+FLOW = HEADINGS | {"p", "pre", "blockquote", "ul", "ol", "dl", "table", "figure"}
+LINKED = 0.5  # the share of text in links from which a container beside the best one is a list of links
 _WORD = re.compile(r"[A-Za-z][a-z]*")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "dropped", "score", "text", "linked", "named")
+    __slots__ = ("tag", "parent", "items", "dropped", "score", "text", "linked", "named", "style")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, named: bool = False):
-        self.tag, self.parent, self.items, self.dropped, self.score, self.named = tag, parent, [], dropped, 0.0, named
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, named: bool = False, style: str = ""):
+        self.tag, self.parent, self.items, self.dropped, self.score, self.named, self.style = tag, parent, [], dropped, 0.0, named, style
         self.text = self.linked = 0  # code points of text, and of text in links, below
 
 
@@ -106,7 +110,8 @@ def parse(html: str) -> Node:
             articles += up.tag in ("article", "main")
             up = up.parent
         gone, named = _unlikely(tag, attributes, articles > 0)
-        child = Node(tag, node, gone, named)
+        style = _CLASS.search(attributes) if attributes else None
+        child = Node(tag, node, gone, named, style[1] or style[2] or style[3] or "" if style else "")
         if tag in ("article", "main", "h1") and not named:  # what holds the article is no sidebar, whatever its name
             up = node
             while up is not None:
@@ -165,8 +170,8 @@ def _inline(node: Node, names: bool, out: list[str]) -> None:
             stack.extend(reversed(item.items))
 
 
-def _blocks(node: Node, names: bool) -> list[str]:
-    """Block texts below a node, in page order."""
+def _blocks(node: Node, names: bool, beside: set[int]) -> list[str]:
+    """Block texts below a node, in page order, without the nodes whose ids are in beside."""
     out, run = [], []
     stack: list = [node]
     while stack:
@@ -180,7 +185,7 @@ def _blocks(node: Node, names: bool) -> list[str]:
             run.append(item)
         elif item.tag == "br":
             run.append(" ")
-        elif item is node or not item.dropped and not (names and item.named):
+        elif item is node or not item.dropped and not (names and item.named) and id(item) not in beside:
             edge = [None] if item.tag in BLOCK else []
             stack.extend(edge + list(reversed(item.items)) + edge)
     text = _SPACE.sub(" ", "".join(run)).strip()
@@ -214,37 +219,57 @@ def _score(order: list[Node], names: bool, least: int) -> list[Node]:
     return [n for n in dict.fromkeys(scored)]
 
 
-def _main(root: Node, names: bool) -> list[Node]:
+def _main(root: Node, names: bool) -> tuple[list[Node], set[int]]:
+    """The nodes that hold the article, and the ids of the nodes within them that do not belong.
+
+    From the best container up to the outermost article element everything stays. From there up to the main element,
+    or without both up to where the container's ancestors have siblings of the same tag and class with paragraphs,
+    all stays but what consists of links. Beside an article without main only what reads like it stays.
+    """
     order = _measure(root, names)
     for least in (25, 1):
         scored = _score(order, names, least)
         if scored:
             break
     else:
-        return [root]
+        return [root], set()
     value = {id(n): n.score * (1 - _density(n)) for n in scored}
     best = max(scored, key=lambda n: value[id(n)])
-    if best.parent is None:
-        return [best]
+    path = [best]
+    while path[-1].parent is not None:
+        path.append(path[-1].parent)
+
+    def others(node):
+        return [x for x in node.parent.items if isinstance(x, Node) and x is not node and not x.dropped and not (names and x.named)]
+
+    articles, mains = ([i for i, n in enumerate(path) if n.tag == tag] for tag in ("article", "main"))
+    whole = articles[-1] if articles else 0  # up to here nothing goes
+    if mains and mains[-1] > whole:
+        top = strict = mains[-1]
+    elif articles or mains:
+        strict = max(articles[-1:] + mains[-1:])
+        top = strict + 1
+    else:
+        like = [i for i, n in enumerate(path[:-1]) if n.text == best.text or any((x.tag, x.style) == (n.tag, n.style) and value.get(id(x)) and _density(x) < LINKED for x in others(n))]
+        top = strict = min(max(like, default=0) + 1, len(path) - 1)
     bar = max(10.0, 0.2 * value[id(best)])
-    kept = []
-    for item in best.parent.items:
-        if item is best:
-            kept.append(item)
-        elif isinstance(item, Node) and not item.dropped and not (names and item.named):
-            if value.get(id(item), 0.0) >= bar or item.tag in ("p", "h1", "h2", "h3", "pre", "blockquote", "ul", "ol") and item.text and _density(item) < 0.25:
-                kept.append(item)
-    return kept
+    far = [x for n in path[whole:strict] for x in others(n) if _density(x) >= LINKED and x.tag not in HEADINGS and value.get(id(x), 0.0) < bar]
+    beside = {id(x) for x in far}
+    if top == strict:
+        return [path[top]], beside
+    near = {id(x) for x in others(path[strict]) if value.get(id(x), 0.0) >= bar or x.tag in FLOW and x.text and _density(x) < 0.25}
+    return [x for x in path[top].items if x is path[strict] or id(x) in near], beside
 
 
 def extract(html: str | None) -> str:
-    """The main text: blocks of the best container and of its qualifying siblings, joined by two newlines.
+    """The main text: blocks of the article around the best container, joined by two newlines.
 
     Elements whose class or id names say that they are not article text are left out, unless nothing else has text.
     """
     root = parse(html or "")
     for names in (True, False):
-        blocks = [b for n in _main(root, names) for b in _blocks(n, names)]
+        nodes, beside = _main(root, names)
+        blocks = [b for n in nodes for b in _blocks(n, names, beside)]
         if blocks:
             return "\n\n".join(blocks)
     return ""

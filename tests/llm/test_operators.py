@@ -262,6 +262,28 @@ def test_html():
     assert html_extract.extract("<div>" * 3000 + "deep text, deep") == "deep text, deep"
 
 
+def long_paragraphs(n, size, word):
+    return [f"{word}{i}, " + "text " * (size // 5) + "end" for i in range(n)]
+
+
+@pytest.mark.parametrize("frame", ["<article>{}</article>", "<main>{}</main>", "<main><nav>Menu, of the site</nav><article>{}</article></main>", "<div id=content>{}</div>", "{}", "<main><div><div>{}</div></div></main>"])
+@pytest.mark.parametrize("deep", [False, True])
+def test_html_unequal_sections(frame, deep):
+    """All of an article stays, however unequal its containers are."""
+    first, second, third = long_paragraphs(10, 400, "a"), long_paragraphs(2, 300, "b"), ["Short."]
+    sections = "".join(f"<section><h2>Head {k}</h2>{'<div>' * deep}{''.join(f'<p>{p}</p>' for p in ps)}{'</div>' * deep}</section>" for k, ps in enumerate((first, second, third)))
+    rest = "<h4>Four</h4><table><tr><td>Cell</td></tr></table><dl><dt>Term</dt><dd>Meaning</dd></dl><figure><figcaption>Caption</figcaption></figure><div>Brief</div>Bare text"
+    links = "<div><a href=/1>Other, story</a> <a href=/2>One, more</a></div>" if "<article>" not in frame else ""
+    want = ["Head 0", *first, "Head 1", *second, "Head 2", *third, "Four", "Cell", "Term", "Meaning", "Caption", "Brief", "Bare text"]
+    assert html_extract.extract("<body>" + frame.format(sections + rest + links) + "</body>").split("\n\n") == want
+
+
+def test_html_beside_an_article():
+    text = "".join(f"<p>{p}</p>" for p in long_paragraphs(3, 300, "a"))
+    page = f"<body>Slogan<div>Brief</div><h1>Title</h1><article>{text}<ul><li><a href=/r>Reference, linked</a></ul></article><div>Notes, few</div></body>"
+    assert html_extract.extract(page).split("\n\n") == ["Title", *long_paragraphs(3, 300, "a"), "Reference, linked"]
+
+
 def test_html_pages(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>Some text, here</p></article>", "x"), (2, None, None, "y"), (None, "u", "", "z")], "page_id long, url string, html string, text string")
     assert {(r.page_id, r.url, r.text) for r in html_extract.extract_pages(pages).collect()} == {(1, "u", "Some text, here"), (2, None, ""), (None, "u", "")}
