@@ -27,48 +27,81 @@ BLOCK = frozenset(
 )
 DROPPED = frozenset("head script style noscript template svg math iframe object embed canvas audio video nav footer aside form menu button select option textarea input dialog title noembed noframes".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form status".split())
-#: Words of class and id names that mark what is not article text.
-UNLIKELY = frozenset(
-    "ad ads adsbygoogle adv advert adverts advertisement advertising adsense adbox banner sponsor sponsored promo promotion comment comments commentlist reply replies respond disqus discussion feedback responses disclaimer outbrain taboola sidebar sidebars aside"
-    " nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager header masthead topbar footer foot colophon copyright cookie cookies consent gdpr notice notices alert popup modal overlay"
-    " newsletter subscribe subscription signup login form search share sharing social related recommended widget widgets toolbar skip hidden".split()
+#: Names of what is not article text, within articles too.
+CLEAR = frozenset(
+    "ad ads adsbygoogle adv advert adverts advertisement advertising adsense adbox sponsor sponsored promo comments commentlist replies respond disqus outbrain taboola sidebar sidebars"
+    " nav navbar navigation breadcrumb breadcrumbs pagination pager masthead topbar footer colophon gdpr newsletter toolbar".split()
+)
+#: Names that can also be an article's own subject or section.
+DOUBTFUL = frozenset(
+    "banner promotion comment reply discussion feedback responses disclaimer aside menu menus header foot copyright cookie cookies consent notice notices alert popup modal overlay"
+    " subscribe subscription signup login form search share sharing social related recommended widget widgets skip hidden".split()
+)
+#: Words that say nothing beside one of those: related-posts is a list, related-work may be a section.
+NEUTRAL = frozenset(
+    "area areas section list lists box block wrap wrapper container content inner outer bar panel item items text body title head link links button buttons icon icons group row col column"
+    " left right top bottom main site page primary secondary mobile desktop global post posts article articles entry story stories news blog thread zone slot unit wp mw js".split()
 )
 CLOSES_P = BLOCK - {"body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "legend", "summary", "figcaption"}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 FLOW = HEADINGS | {"p", "pre", "blockquote", "ul", "ol", "dl", "table", "figure"}
 LINKED = 0.5  # the share of text in links from which a container beside the best one is a list of links
-_WORD = re.compile(r"[A-Za-z][a-z]*")
+INLINE_NAMED = HEADINGS | {"p", "pre", "blockquote", "dd", "dt"}  # and all inline elements
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "dropped", "score", "text", "linked", "named", "style")
+    __slots__ = ("tag", "parent", "items", "dropped", "score", "text", "linked", "named", "doubt", "style")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, named: bool = False, style: str = ""):
-        self.tag, self.parent, self.items, self.dropped, self.score, self.named, self.style = tag, parent, [], dropped, 0.0, named, style
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, named: bool = False, doubt: bool = False, style: str = ""):
+        self.tag, self.parent, self.items, self.dropped, self.score, self.named, self.doubt, self.style = tag, parent, [], dropped, 0.0, named, doubt, style
         self.text = self.linked = 0  # code points of text, and of text in links, below
 
 
-def _unlikely(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element is left out by its tag, and by its attributes."""
+def _judge(tag: str, name: str, value: str, section: bool, in_article: bool) -> tuple[bool, bool]:
+    """Whether a class or id says that an element is not article text, and whether that holds only for lists of links.
+
+    Ids of headings, paragraphs and sections are slugs of their text and say nothing. Of those elements and of inline
+    ones only a whole clear class counts. Elsewhere a token counts whose words are all names or neutral; a doubtful one
+    in an article, and a doubtful id of one word anywhere, only for lists of links.
+    """
+    tokens = value.split()
+    if tag not in BLOCK or tag in INLINE_NAMED:
+        return name == "class" and any(t.lower() in CLEAR for t in tokens), False
+    named = doubt = False
+    for token in tokens:
+        words = [w.lower() for w in _WORD.findall(token)]
+        if not words or not token.isascii() or not all(w in CLEAR or w in DOUBTFUL or w in NEUTRAL for w in words):
+            continue
+        clear = any(w in CLEAR for w in words)
+        if clear or any(w in DOUBTFUL for w in words):
+            weak = section and name == "id" or not clear and (section or in_article or name == "id" and len(words) == 1)
+            named, doubt = named or not weak, doubt or weak
+    return named, doubt
+
+
+def _unlikely(tag: str, attributes: str, style: str, in_article: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is left out by its tag, by its attributes, and by its attributes if it is a list of links."""
     if tag in DROPPED:
-        return True, False
-    named = False
+        return True, False, False
+    named = doubt = False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), unescape(m[2] or m[3] or m[4] or "")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True, False
+            return True, False, False
         if name == "role" and value.lower() in DROPPED_ROLES:
-            return True, False
-        if name in ("class", "id") and tag not in ("body", "html", "main") and any(w.lower() in UNLIKELY for w in _WORD.findall(value)):
-            named = True
-    return tag == "header" and not in_article, named
+            return True, False, False
+        if name in ("class", "id") and tag not in ("body", "html", "main"):
+            says = _judge(tag, name, value, tag == "section" or "section" in style.split(), in_article)
+            named, doubt = named or says[0], doubt or says[1]
+    return tag == "header" and not in_article, named, doubt
 
 
 def parse(html: str) -> Node:
     """A forgiving tree: unclosed paragraphs, list items and cells end where the next begins; stray ends are ignored."""
     root = Node("html", None)
     node, at, n = root, 0, len(html)
-    articles = 0
+    doubts = False
     while at < n:
         m = _TOKEN.search(html, at)
         end = m.start() if m else n
@@ -109,13 +142,15 @@ def parse(html: str) -> Node:
         while up is not None:
             articles += up.tag in ("article", "main")
             up = up.parent
-        gone, named = _unlikely(tag, attributes, articles > 0)
         style = _CLASS.search(attributes) if attributes else None
-        child = Node(tag, node, gone, named, style[1] or style[2] or style[3] or "" if style else "")
+        style = style[1] or style[2] or style[3] or "" if style else ""
+        gone, named, doubt = _unlikely(tag, attributes, style, articles > 0)
+        doubts = doubts or doubt
+        child = Node(tag, node, gone, named, doubt, style)
         if tag in ("article", "main", "h1") and not named:  # what holds the article is no sidebar, whatever its name
             up = node
             while up is not None:
-                up.named, up = False, up.parent
+                up.named, up.doubt, up = False, False, up.parent
         node.items.append(child)
         if tag in RAW:
             close = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
@@ -124,6 +159,9 @@ def parse(html: str) -> Node:
             at = close.end() if close else n
         elif tag not in VOID and not attributes.rstrip().endswith("/"):
             node = child
+    if doubts:
+        for node in _measure(root, True):
+            node.named = node.doubt and _density(node) >= LINKED
     return root
 
 
@@ -264,7 +302,8 @@ def _main(root: Node, names: bool) -> tuple[list[Node], set[int]]:
 def extract(html: str | None) -> str:
     """The main text: blocks of the article around the best container, joined by two newlines.
 
-    Elements whose class or id names say that they are not article text are left out, unless nothing else has text.
+    Elements whose class or id names say that they are not article text are left out, unless nothing else has text;
+    headings, paragraphs and sections are not judged by their ids.
     """
     root = parse(html or "")
     for names in (True, False):

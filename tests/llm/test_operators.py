@@ -278,6 +278,20 @@ def test_html_unequal_sections(frame, deep):
     assert html_extract.extract("<body>" + frame.format(sections + rest + links) + "</body>").split("\n\n") == want
 
 
+@pytest.mark.parametrize("frame", ["<article>{}</article>", "<main>{}</main>", "<div class='main-content no-sidebar'>{}</div>", "{}"])
+def test_html_names_of_articles(frame):
+    """Slug ids and names of what an article is about cost none of its text."""
+    first, second = long_paragraphs(3, 300, "a"), long_paragraphs(2, 200, "b")
+    page = f"""<h2 id="related-work">Related work</h2>{"".join(f"<p>{p}</p>" for p in first)}<h2 id="how-to-search-files">Files</h2><p class="notice-period">Notice of a month.</p>
+    <section id="discussion"><h3 id="comments">Comments</h3>{"".join(f"<p>{p}</p>" for p in second)}</section><section id="search-engines"><p>Of engines.</p></section>
+    <div class="section" id="feedback"><p id="footer">Of feedback.</p></div><div class="section" id="comments"><p>Of comments.</p></div><div id="how-to-share-files"><p>Of files, shared.</p></div><p>A <span class="related">related</span> word.</p>"""
+    off = """<div class="ad">Buy, buy.</div><div class="share-links"><a href=/t>Tell, a friend</a></div><div id="related"><a href=/o>Other, story</a></div><ul class="post-comments"><li>I comment, too.</ul>"""
+    want = ["Related work", *first, "Files", "Notice of a month.", "Comments", *second, "Of engines.", "Of feedback.", "Of comments.", "Of files, shared.", "A related word."]
+    assert html_extract.extract("<body>" + frame.format(page + off) + "</body>").split("\n\n") == want
+    h1 = '<h1 id="search-engines">Engines</h1>'
+    assert html_extract.extract("<body>" + frame.format(h1 + page + off) + "</body>").split("\n\n") == ["Engines", *want]
+
+
 def test_html_beside_an_article():
     text = "".join(f"<p>{p}</p>" for p in long_paragraphs(3, 300, "a"))
     page = f"<body>Slogan<div>Brief</div><h1>Title</h1><article>{text}<ul><li><a href=/r>Reference, linked</a></ul></article><div>Notes, few</div></body>"
