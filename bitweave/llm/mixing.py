@@ -73,6 +73,46 @@ def budgets(tokens: dict[tuple[str, ...], int], targets: Targets) -> dict[tuple[
     return out
 
 
+def _shared(parents: DataFrame, children: DataFrame, keys: list[str]) -> DataFrame:
+    """share_out of each parent's budget among its children, in DataFrames: children with _budget, those of 0 left out.
+
+    keys name a child, all but the last its parent. parents holds _budget, children _weight and _capacity. In the order
+    of capacity by weight, the full children come first; the others share by weight what those leave.
+    """
+    up = keys[:-1]
+    children = children.where("_weight > 0 AND _capacity > 0")
+    room = children.groupBy(*up).agg(F.sum("_capacity").alias("_room"))
+    parents = parents.join(room, up) if up else parents.crossJoin(room)
+    parents = parents.where("_budget > 0").withColumn("_budget", F.least("_budget", "_room"))
+    rows = children.join(parents, up) if up else children.crossJoin(parents)
+    down = Window.partitionBy(*up).orderBy((F.col("_capacity") / F.col("_weight")).desc(), F.col(keys[-1]).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    left = F.col("_budget") - F.col("_room") + F.sum("_capacity").over(down)
+    rows = rows.withColumn("_full", left * F.col("_weight") / F.sum("_weight").over(down) >= F.col("_capacity"))
+    whole, part = F.col("_full"), ~F.col("_full")
+    siblings = Window.partitionBy(*up)
+    rows = rows.withColumn("_left", F.col("_budget") - F.coalesce(F.sum(F.when(whole, F.col("_capacity"))).over(siblings), F.lit(0)))
+    rows = rows.withColumn("_exact", F.col("_left") * F.col("_weight") / F.sum(F.when(part, F.col("_weight"))).over(siblings))
+    rows = rows.withColumn("_floor", F.floor("_exact")).withColumn("_over", F.col("_left") - F.sum(F.when(part, F.col("_floor"))).over(siblings))
+    place = F.row_number().over(Window.partitionBy(*up).orderBy("_full", F.col("_floor") - F.col("_exact"), keys[-1]))
+    more = F.col("_floor") + (place <= F.col("_over")).cast("long")
+    return rows.select(*keys, F.when(whole, F.col("_capacity")).otherwise(F.least(more, "_capacity")).alias("_budget")).where("_budget > 0")
+
+
+def leaf_budgets(leaves: DataFrame, keys: list[str], targets: Targets) -> DataFrame:
+    """budgets() for any number of leaves, in DataFrames: keys and _budget of the leaves that draw. leaves holds keys
+    and tokens. Weights whose sums are not exact in floating point may move single tokens between siblings."""
+    spark = leaves.sparkSession
+    leaves = leaves.where("tokens > 0")
+    out = leaves.agg(F.sum("tokens").alias("_all")).where("_all > 0").select(F.floor(F.lit(float(targets.budget_share)) * F.col("_all")).alias("_budget"))
+    for depth in range(1, len(keys) + 1):
+        path = keys[:depth]
+        given = [(*k, float(w)) for k, w in targets.weights.items() if len(k) == depth]
+        weights = spark.createDataFrame(given, ", ".join(f"{k} string" for k in path) + ", _weight double")
+        children = leaves.groupBy(*path).agg((F.sum("tokens") * targets.max_epochs).alias("_capacity")).join(weights, path, "left")
+        out = written(_shared(out, children.fillna({"_weight": float(targets.default)}), path), f"budgets{depth}")
+    return out
+
+
 def count_tokens(text):
     """Tokens here are words: runs without ASCII white space."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
@@ -92,7 +132,8 @@ def mix(docs: DataFrame, domain, targets: Targets, max_leaves: int = 20_000, per
     own columns with _domain, _tokens and _epoch appended, one row per document and epoch drawn.
 
     Prefixes come from token sums per hash range of a leaf, so no task holds a leaf: only the range at the edge is
-    ordered row by row. The tree (at most max_leaves leaves, else ValueError) is planned on the driver.
+    ordered row by row. The tree is planned on the driver and broadcast up to max_leaves leaves; with more it is planned
+    in DataFrames, where a window holds a node's children (not their documents), and joined by shuffles.
     Null domain, lang or source counts as 'none'; null and empty texts have no tokens and a leaf without tokens draws
     nothing; null doc_ids stand together; repeated rows count and are drawn as often as they occur; an empty table or
     budget gives an empty result. Names that clash with docs' columns differ by the leading underscore.
@@ -102,15 +143,23 @@ def mix(docs: DataFrame, domain, targets: Targets, max_leaves: int = 20_000, per
     rows = docs.withColumns(label | {"_tokens": count_tokens(F.col("text"))})
     keys = list(label)
     narrow = written(rows.select(*keys, F.col("doc_id").cast("long").alias("_id"), "_tokens"), "tokens")
-    sizes = narrow.groupBy(*keys).agg(F.sum("_tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).limit(max_leaves + 1).collect()
-    if len(sizes) > max_leaves:
-        raise ValueError(f"more than {max_leaves} leaves")
-    tokens = {tuple(r[k] for k in keys): r["tokens"] for r in sizes if r["tokens"]}
-    plan = [(*leaf, n // tokens[leaf], n % tokens[leaf]) for leaf, n in budgets(tokens, targets).items() if n]
+    sizes = narrow.groupBy(*keys).agg(F.sum("_tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
+    known = sizes.limit(max_leaves + 1).collect()
+    many = len(known) > max_leaves
     spark = docs.sparkSession
     schema = "_domain string, _language string, _leaf string, _whole long, _rest long"
-    drawn = F.broadcast(spark.createDataFrame(plan, schema))  # max_leaves rows at most
-    buckets = 1 << max(0, (max((r["n"] for r in sizes), default=1) // per_bucket).bit_length())
+    if many:
+        sizes = written(sizes, "leaves")
+        largest = sizes.agg(F.max("n")).first()[0]
+        whole = F.expr("_budget DIV tokens")
+        drawn = leaf_budgets(sizes, keys, targets).join(sizes, keys).select(*keys, whole.alias("_whole"), (F.col("_budget") % F.col("tokens")).alias("_rest"))
+        drawn = written(drawn, "plan")
+    else:
+        largest = max((r["n"] for r in known), default=1)
+        tokens = {tuple(r[k] for k in keys): r["tokens"] for r in known if r["tokens"]}
+        plan = [(*leaf, n // tokens[leaf], n % tokens[leaf]) for leaf, n in budgets(tokens, targets).items() if n]
+        drawn = F.broadcast(spark.createDataFrame(plan, schema))  # max_leaves rows at most
+    buckets = 1 << max(0, (largest // per_bucket).bit_length())
     part = narrow.join(drawn.where("_rest > 0"), keys).withColumn("_draw", _draw(targets.seed, F.col("_whole"), F.col("_id")))
     part = part.withColumn("_bucket", F.shiftright(F.col("_draw"), 64 - buckets.bit_length() + 1) if buckets > 1 else F.lit(0).cast("long"))
     sums = part.groupBy(*keys, "_bucket", "_rest").agg(F.sum("_tokens").alias("_sum"))
@@ -120,10 +169,13 @@ def mix(docs: DataFrame, domain, targets: Targets, max_leaves: int = 20_000, per
     within = Window.partitionBy(*keys, "_bucket").orderBy("_draw").rangeBetween(Window.unboundedPreceding, 0)
     edge = part.join(edge, [*keys, "_bucket"]).withColumn("_upto", F.col("_before") + F.sum("_tokens").over(within))
     # each leaf with an edge has a first document that does not fit; every earlier one is drawn
-    cuts = edge.where(F.col("_upto") > F.col("_rest")).groupBy(*keys).agg(F.min("_draw").alias("_cut")).collect()
-    cut = {tuple(r[k] for k in keys): r["_cut"] for r in cuts}
-    final = [(*p[:4], p[4], cut.get(p[:3])) for p in plan]
-    final = F.broadcast(spark.createDataFrame(final, schema + ", _cut long"))
+    cuts = edge.where(F.col("_upto") > F.col("_rest")).groupBy(*keys).agg(F.min("_draw").alias("_cut"))
+    if many:
+        final = written(drawn.join(cuts, keys, "left"), "cuts")
+    else:
+        cut = {tuple(r[k] for k in keys): r["_cut"] for r in cuts.collect()}
+        final = [(*p[:4], p[4], cut.get(p[:3])) for p in plan]
+        final = F.broadcast(spark.createDataFrame(final, schema + ", _cut long"))
     more = (F.col("_rest") > 0) & (_draw(targets.seed, F.col("_whole"), F.col("doc_id").cast("long")) < F.col("_cut"))
     times = F.col("_whole") + F.coalesce(more, F.lit(False)).cast("long")
     out = rows.join(final, keys).withColumn("_times", times).where("_times > 0")

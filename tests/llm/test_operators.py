@@ -509,6 +509,24 @@ def test_mixing(spark, docs, rows, share, per_bucket):
     assert sorted(key((r.doc_id, r._domain, r._tokens, r._epoch)) for r in got) == sorted(map(key, want))
 
 
+@pytest.mark.parametrize(("share", "per_bucket"), [(0.5, 2), (3.0, 1000)])
+def test_mixing_many_leaves(docs, share, per_bucket):
+    """Beyond max_leaves the same documents are drawn by a plan in DataFrames."""
+    targets = mixing.Targets({("a",): 2.0, ("b",): 1.0, ("a", "fr"): 0.0}, budget_share=share, max_epochs=3)
+    domain = F.when(F.col("source") == "src0", "a").otherwise("b")
+    few, many = (mixing.mix(docs, domain, targets, max_leaves=n, per_bucket=per_bucket).select("doc_id", "text", "_domain", "_tokens", "_epoch").collect() for n in (100, 3))
+    assert many and sorted(map(key, few)) == sorted(map(key, many))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_leaf_budgets(spark, seed):
+    rng = random.Random(seed)
+    tokens = {(rng.choice("ab"), rng.choice("xyz"), str(i)): int(rng.paretovariate(0.7)) + 1 for i in range(300)}
+    targets = mixing.Targets({("a",): 2.0, ("b", "x"): 0.0, ("a", "y"): 0.25, **{k: rng.choice([0.0, 0.5, 4.0]) for k in list(tokens)[:40]}}, budget_share=(0.05, 0.5, 2.0, 9.0)[seed], max_epochs=3)
+    got = mixing.leaf_budgets(spark.createDataFrame([(*k, n) for k, n in tokens.items()], "d string, l string, s string, tokens long"), ["d", "l", "s"], targets)
+    assert {(r.d, r.l, r.s): r._budget for r in got.collect()} == {k: n for k, n in mixing.budgets(tokens, targets).items() if n}
+
+
 def test_mixing_empty(empty):
     assert mixing.mix(empty, F.lit("a"), mixing.Targets()).count() == 0
 
