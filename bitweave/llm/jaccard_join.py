@@ -309,6 +309,20 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
 
 def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group of linked documents stays: that with the smallest doc_id; all columns are kept."""
-    gone = similar(docs, width, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    """One row of each group of linked documents stays: that with the smallest doc_id; all columns are kept.
+
+    Rows are told apart by a 64-bit hash of doc_id and text, so a doc_id may occur with different texts. Null doc_ids
+    come last; of rows with the same doc_id the smallest hash stays, of rows with the same doc_id and text the smallest
+    by its columns in their order. Rows without words are linked with nothing and all stay.
+    """
+    row = F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.col("text").isNull(), F.col("text"))
+    linked = similar(docs.select(row.alias("doc_id"), "text"), width, percent).where("n_shingles > 0 AND (class_size > 1 OR links > 0)")
+    linked = written(linked.groupBy(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")).agg(F.count(F.lit(1)).alias("_rows")), "linked")
+    member = docs.select(F.col("doc_id").cast("long").alias("_id"), row.alias("_row")).distinct().join(linked, "_row")
+    first = member.groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).getField("_row").alias("_first"))
+    judged = written(linked.join(first, "_group").select("_row", "_rows", (F.col("_row") == F.col("_first")).alias("_stays")), "judged")
+    discard(linked)
+    other = docs.withColumn("_row", row)
+    once = other.join(judged.where("NOT _stays OR _rows > 1").select("_row"), "_row", "left_anti").select(*docs.columns)
+    repeats = other.join(judged.where("_stays AND _rows > 1").select("_row"), "_row").groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("_least"))
+    return once.unionByName(repeats.select("_least.*"))

@@ -213,6 +213,19 @@ def test_jaccard_join(docs, rows, width, percent, block, fragments, monkeypatch)
     assert {r.doc_id for r in kept.collect()} - {None} == {i for i, (_, c) in want.items() if i == c and i < 10**9}
 
 
+def test_representatives_of_null_and_repeated_ids(spark):
+    """One row a group, whatever the ids; no unrelated document goes."""
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcdef"}
+    near = {k: t + f" {k}x" for k, t in text.items()}
+    rows = [(None, text["a"], "en", "s"), (None, near["a"], "en", "s"), (None, text["b"], "en", "s"), (3, near["b"], "en", "s")]
+    rows += [(5, text["c"], "en", "s"), (5, near["c"], "en", "s"), (1, text["d"], "en", "s"), (7, near["d"], "en", "s"), (7, text["e"], "en", "s")]
+    rows += [(9, text["f"], "de", "s"), (9, text["f"], "en", "s"), (10, near["f"], "en", "s"), (11, "", "en", "s"), (11, "", "en", "s"), (None, None, "en", "s")]
+    out = [(r.doc_id, r.text, r.lang) for r in jaccard_join.representatives(documents(spark, rows)).collect()]
+    assert [sum((r[1] or "")[:1] == k for r in out) for k in "abcdef"] == [1] * 6
+    assert {(3, near["b"], "en"), (1, text["d"], "en"), (7, text["e"], "en"), (9, text["f"], "de")} <= set(out)
+    assert sorted(key(r) for r in out if not r[1]) == sorted(map(key, [(11, "", "en"), (11, "", "en"), (None, None, "en")]))
+
+
 def test_jaccard_join_empty(empty):
     assert jaccard_join.similar(empty, 3, 90).count() == 0
 
