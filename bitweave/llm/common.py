@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import math
 import uuid
 
 import numpy as np
@@ -10,27 +10,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..store import shared_folder
+
 #: ASCII white space that separates words: the characters of [\x20\x09-\x0D].
 WHITE_SPACE = " \t\n\v\f\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temp folder on a local master only."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path is None:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="bitweave-")
-        spark.sparkContext.setCheckpointDir(path)
-        return path
-    return path
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/bitweave-{uuid.uuid4().hex}/{name}"
+    return f"{shared_folder(spark)}/bitweave-{uuid.uuid4().hex}/{name}"
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -54,10 +41,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def words_column(text):
-    """Words of a text column: runs without ASCII white space; null gives an empty array."""
-    spaced = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "))
-    return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
+def partitions(spark: SparkSession) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def boxed(docs: DataFrame, **more) -> DataFrame:
+    """docs' whole rows in one column `doc`, and columns of our own beside it: no name of docs can clash with them."""
+    return docs.select(F.struct("*").alias("doc"), *[c.alias(n) for n, c in more.items()])
+
+
+def free_names(taken, names) -> list[str]:
+    """The names, each with as many leading underscores as it takes to differ from those taken, in any case."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def spread_join(many: DataFrame, one: DataFrame, on: list[str], by: list[str], how: str = "inner", total: int | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """many.join(one, on, how) for a `one` that holds each key once, however skewed the keys of `many` are.
+
+    A key that holds more than twice a partition's share of the rows is split by a hash of `by` into parts of one share
+    each, and its row of `one` is copied to them. At most half as many keys as partitions can be that common, and their
+    parts are fewer than twice the partitions: a proven bound for the broadcast. counts: (on.., n), if known. Null keys
+    match nothing.
+    """
+    n = partitions(many.sparkSession)
+    total = many.count() if total is None else total
+    share = max(32, -(-total // n))
+    counts = many.groupBy(*on).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
+    hot = counts.where(F.col("n") > 2 * share).select(*on, F.ceil(F.col("n") / share).cast("int").alias("_parts"))
+    left = many.join(F.broadcast(hot), on, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*by), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+    right = one.join(F.broadcast(hot), on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts") - 1, F.lit(0))))).drop("_parts")
+    return left.join(right, [*on, "_part"], how).drop("_part")
+
+
+def growth(docs: DataFrame, unit: int = 30 << 30) -> float:
+    """How far chunks and buckets grow beyond `unit` bytes of input, by Catalyst's estimate: with its root, so that a
+    chunk keeps its number of keys per bucket while both numbers grow with the root, too."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return math.sqrt(min(max(size / unit, 1.0), 1e6))
 
 
 # --- texts packed into durable chunks -------------------------------------------------------------------------

@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, spread_join, written
+
+
+def _star(rows: DataFrame, n: int) -> DataFrame:
+    """(u, v, m) with m the least neighbour of u; a node of very many neighbours is dealt over many tasks."""
+    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    return spread_join(rows, least.select("u", "m"), ["u"], ["v"], total=n, counts=least.select("u", "n"))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node that occurs in an edge between two different nodes.
 
-    The component is the smallest node reachable. Null ends are ignored. Each round's edges are written to the shared
-    folder; rounds grow with the logarithm of the number of nodes, and minima are pre-aggregated before every shuffle,
-    so a node with very many neighbours is no hot key there.
+    The component is the smallest node reachable. Null ends are ignored, repeated edges count once, no edges give no
+    rows; other columns are ignored. Each round's edges are written to the shared folder; rounds grow with the logarithm
+    of the number of nodes. Minima are pre-aggregated before every shuffle and the joins split nodes of many neighbours.
     """
     u, v = F.col(a), F.col(b)
     links = edges.where(u.isNotNull() & v.isNotNull() & (u != v)).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct()
@@ -25,10 +31,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         mark = (seen["n"], seen["s"])
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        large = _star(both, 2 * seen["n"]).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        small = _star(large, seen["n"])
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(small.select("u", F.col("m").alias("v"))).distinct()
         after = written(small, "links")
         discard(links)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .common import discard, doc_starts, mix, pack_chunks, unpack, window_hashes, word_bounds, word_hashes, written
+from .common import boxed, discard, doc_starts, growth, mix, pack_chunks, partitions, spread_join, unpack, window_hashes, word_bounds, word_hashes, written
 from .graph import components
 
 SETS_SCHEMA = "doc_id long, n long, sig binary, tokens binary, prefix binary"
@@ -291,14 +291,15 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     star = set_links(sets, percent)
     member = components(star)
     degree = star.groupBy("a").agg(F.sum("links").alias("links"))
-    classes = sets.where("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("class_size"))
+    classes = sets.where("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("class_size"))
     member = member.select(F.col("node").alias("sig"), "component")
-    known = classes.join(member, "sig")
+    known = written(classes.join(member, "sig"), "known")
     lowest = known.groupBy("component").agg(F.min("least").alias("component_id"))
-    linked = known.join(lowest, "component").join(degree, F.col("sig") == F.col("a"), "left").select("sig", "n", "component_id", "links", "class_size")
+    linked = spread_join(known, lowest, ["component"], ["sig"])
+    linked = linked.join(degree, F.col("sig") == F.col("a"), "left").select("sig", "n", "component_id", "links", "class_size")
     copies = classes.join(member, "sig", "left_anti").where("class_size > 1").select("sig", "n", F.col("least").alias("component_id"), F.lit(0).cast("long").alias("links"), "class_size")
-    labels = linked.unionByName(copies)
-    own = sets.select("doc_id", "n", "sig").join(labels, ["sig", "n"], "left")
+    labels = linked.unionByName(copies).drop("n")
+    own = spread_join(sets.select("doc_id", "n", "sig"), labels, ["sig"], ["doc_id"], "left")
     return own.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
@@ -313,16 +314,20 @@ def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     Rows are told apart by a 64-bit hash of doc_id and text, so a doc_id may occur with different texts. Null doc_ids
     come last; of rows with the same doc_id the smallest hash stays, of rows with the same doc_id and text the smallest
-    by its columns in their order. Rows without words are linked with nothing and all stay.
+    by its columns in their order. Rows without words are linked with nothing and all stay. An empty table gives an
+    empty result; docs' columns may have any names.
     """
     row = F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.col("text").isNull(), F.col("text"))
     linked = similar(docs.select(row.alias("doc_id"), "text"), width, percent).where("n_shingles > 0 AND (class_size > 1 OR links > 0)")
-    linked = written(linked.groupBy(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")).agg(F.count(F.lit(1)).alias("_rows")), "linked")
-    member = docs.select(F.col("doc_id").cast("long").alias("_id"), row.alias("_row")).distinct().join(linked, "_row")
-    first = member.groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).getField("_row").alias("_first"))
-    judged = written(linked.join(first, "_group").select("_row", "_rows", (F.col("_row") == F.col("_first")).alias("_stays")), "judged")
+    linked = written(linked.groupBy(F.col("doc_id").alias("row"), F.col("component_id").alias("group")).agg(F.count(F.lit(1)).alias("rows")), "linked")
+    member = docs.select(F.col("doc_id").cast("long").alias("id"), row.alias("row")).distinct().join(linked, "row")
+    first = member.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).getField("row").alias("first"))
+    judged = spread_join(linked, first, ["group"], ["row"]).select("row", "rows", (F.col("row") == F.col("first")).alias("stays"))
+    judged = written(judged, "judged")
     discard(linked)
-    other = docs.withColumn("_row", row)
-    once = other.join(judged.where("NOT _stays OR _rows > 1").select("_row"), "_row", "left_anti").select(*docs.columns)
-    repeats = other.join(judged.where("_stays AND _rows > 1").select("_row"), "_row").groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("_least"))
-    return once.unionByName(repeats.select("_least.*"))
+    mine = boxed(docs, row=row)
+    once = mine.join(judged.where("NOT stays OR rows > 1").select("row"), "row", "left_anti").select("doc.*")
+    if judged.where("stays AND rows > 1").isEmpty():
+        return once
+    repeats = mine.join(judged.where("stays AND rows > 1").select("row"), "row", "left_semi").groupBy("row").agg(F.min("doc").alias("doc"))
+    return once.unionByName(repeats.select("doc.*"))

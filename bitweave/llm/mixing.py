@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import boxed, free_names, partitions, spread_join, written
 
-LEAF = ["domain", "language", "source"]
+UNITS = 1_000_000  # a weight of 1 in whole units: shares are computed in whole numbers, so they are exact
 
 
 @dataclass(frozen=True)
@@ -27,90 +27,79 @@ class Targets:
     seed: int = 17
 
 
-def share_out(budget: int, weights: list[float], capacity: list[int]) -> list[int]:
-    """Split a whole budget by weight; what a full sibling cannot take goes to the others by weight. Never more than
-    the capacity; whole tokens left by rounding go to the largest remainders, then to the first."""
-    out = [0] * len(weights)
-    budget = min(budget, sum(c for c, w in zip(capacity, weights) if w > 0))
-    live = [i for i, w in enumerate(weights) if w > 0 and capacity[i] > 0]
-    while live:
-        left = budget - sum(out)
-        total = sum(weights[i] for i in live)
-        full = [i for i in live if left * weights[i] / total >= capacity[i]]
-        if not full:
-            exact = {i: left * weights[i] / total for i in live}
-            for i in live:
-                out[i] = int(exact[i])
-            rest = budget - sum(out)
-            for i in sorted(live, key=lambda i: (out[i] - exact[i], i)):
-                if rest and out[i] < capacity[i]:
-                    out[i], rest = out[i] + 1, rest - 1
-            break
-        for i in full:
-            out[i] = capacity[i]
-        live = [i for i in live if i not in full]
-    return out
-
-
-def budgets(tokens: dict[tuple[str, ...], int], targets: Targets) -> dict[tuple[str, ...], int]:
-    """Whole-token budgets of the leaves. A node never gets more than its leaves hold over max_epochs, so a leaf's
-    shortage is made up by its siblings first, and by its parent's siblings only when the parent is full."""
-
-    def capacity(path):
-        return targets.max_epochs * sum(n for leaf, n in tokens.items() if leaf[: len(path)] == path)
-
-    out: dict[tuple[str, ...], int] = {}
-
-    def descend(path, budget):
-        if path in tokens and len(path) == len(LEAF):
-            out[path] = budget
-            return
-        children = sorted({leaf[: len(path) + 1] for leaf in tokens if leaf[: len(path)] == path})
-        for child, n in zip(children, share_out(budget, [targets.weights.get(c, targets.default) for c in children], [capacity(c) for c in children])):
-            descend(child, n)
-
-    descend((), int(targets.budget_share * sum(tokens.values())))
-    return out
-
-
-def _shared(parents: DataFrame, children: DataFrame, keys: list[str]) -> DataFrame:
-    """share_out of each parent's budget among its children, in DataFrames: children with _budget, those of 0 left out.
-
-    keys name a child, all but the last its parent. parents holds _budget, children _weight and _capacity. In the order
-    of capacity by weight, the full children come first; the others share by weight what those leave.
+def units(weight: float) -> int:
+    """A weight in millionths; a negative one counts as 0."""
+    return max(0, round(weight * UNITS))
+
+
+def _whole(column):
+    return F.col(column).cast("decimal(20,0)")
+
+
+def running(rows: DataFrame, group: list[str], order: list, sums: dict[str, str], name: str) -> DataFrame:
+    """rows with running sums, in the given order within each group; sums: result -> column.
+
+    Rows are dealt by range of (group, order) and each range is summed for itself, so that a group of any size is spread
+    over tasks; what comes before a range is the sum of the ranges' totals.
+    """
+    spread = rows.repartitionByRange(partitions(rows.sparkSession), *group, *order).withColumn("_range", F.spark_partition_id())
+    spread = written(spread, name)
+    totals = spread.groupBy(*group, "_range").agg(*[F.sum(c).alias(f"_t_{s}") for s, c in sums.items()])
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*group, "_range", *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_b_{s}") for s in sums])
+    here = Window.partitionBy(*group, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = spread.withColumns({s: F.sum(c).over(here) for s, c in sums.items()}).join(totals, [*group, "_range"])
+    return rows.withColumns({s: F.col(s) + F.col(f"_b_{s}") for s in sums}).drop("_range", *[f"_b_{s}" for s in sums])
+
+
+def share_out(parents: DataFrame, children: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Split each parent's budget by weight among its children; what a full child cannot take goes to the others by
+    weight. Whole tokens left by rounding go to the largest remainders, then to the first names.
+
+    keys name a child, all but the last its parent. parents holds _budget, children _weight (whole units) and _capacity.
+    Gives keys and _budget of the children that get any.
     """
-    up = keys[:-1]
+    up, child = keys[:-1], keys[-1]
     children = children.where("_weight > 0 AND _capacity > 0")
-    room = children.groupBy(*up).agg(F.sum("_capacity").alias("_room"))
-    parents = parents.join(room, up) if up else parents.crossJoin(room)
-    parents = parents.where("_budget > 0").withColumn("_budget", F.least("_budget", "_room"))
-    rows = children.join(parents, up) if up else children.crossJoin(parents)
-    down = Window.partitionBy(*up).orderBy((F.col("_capacity") / F.col("_weight")).desc(), F.col(keys[-1]).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    left = F.col("_budget") - F.col("_room") + F.sum("_capacity").over(down)
-    rows = rows.withColumn("_full", left * F.col("_weight") / F.sum("_weight").over(down) >= F.col("_capacity"))
-    whole, part = F.col("_full"), ~F.col("_full")
-    siblings = Window.partitionBy(*up)
-    rows = rows.withColumn("_left", F.col("_budget") - F.coalesce(F.sum(F.when(whole, F.col("_capacity"))).over(siblings), F.lit(0)))
-    rows = rows.withColumn("_exact", F.col("_left") * F.col("_weight") / F.sum(F.when(part, F.col("_weight"))).over(siblings))
-    rows = rows.withColumn("_floor", F.floor("_exact")).withColumn("_over", F.col("_left") - F.sum(F.when(part, F.col("_floor"))).over(siblings))
-    place = F.row_number().over(Window.partitionBy(*up).orderBy("_full", F.col("_floor") - F.col("_exact"), keys[-1]))
-    more = F.col("_floor") + (place <= F.col("_over")).cast("long")
-    return rows.select(*keys, F.when(whole, F.col("_capacity")).otherwise(F.least(more, "_capacity")).alias("_budget")).where("_budget > 0")
+    room = children.groupBy(*up).agg(F.sum("_capacity").alias("_room"), F.sum("_weight").alias("_weights"))
+    parents = parents.join(room, up).where("_budget > 0").withColumn("_budget", F.least("_budget", "_room"))
+    rows = children.join(parents, up)
+    # by capacity for a unit of weight: the smallest are full first, and the others share what those leave
+    order = [F.col("_capacity") / F.col("_weight"), F.col(child)]
+    rows = running(rows, up, order, {"_caps": "_capacity", "_upto": "_weight"}, f"{name}_order")
+    left = (F.col("_budget") - F.col("_caps") + F.col("_capacity")).cast("decimal(20,0)")
+    live = (F.col("_weights") - F.col("_upto") + F.col("_weight")).cast("decimal(20,0)")
+    rows = rows.withColumn("_full", left * _whole("_weight") >= _whole("_capacity") * live)
+    whole = F.when(F.col("_full"), F.col("_capacity")).otherwise(0)
+    rest = rows.groupBy(*up).agg((F.max("_budget") - F.sum(whole)).alias("_left"), F.sum(F.when(F.col("_full"), 0).otherwise(F.col("_weight"))).alias("_live"))
+    rows = rows.join(rest, up)
+    product = _whole("_left") * _whole("_weight")
+    rows = rows.withColumn("_part", F.when(~F.col("_full"), F.expr("(CAST(_left AS DECIMAL(20,0)) * CAST(_weight AS DECIMAL(20,0))) DIV CAST(_live AS DECIMAL(20,0))")))
+    rows = rows.withColumn("_over", F.when(~F.col("_full"), product - _whole("_part") * _whole("_live")))
+    spare = rows.groupBy(*up).agg((F.max("_left") - F.coalesce(F.sum("_part"), F.lit(0))).alias("_spare"))
+    rows = rows.join(spare, up).withColumn("_one", F.when(~F.col("_full"), 1).otherwise(0))
+    rows = running(rows, up, [F.col("_full"), F.col("_over").desc(), F.col(child)], {"_place": "_one"}, f"{name}_rest")
+    more = F.least(F.col("_part") + (F.col("_place") <= F.col("_spare")).cast("long"), F.col("_capacity"))
+    return rows.select(*keys, F.when(F.col("_full"), F.col("_capacity")).otherwise(more).alias("_budget")).where("_budget > 0")
 
 
 def leaf_budgets(leaves: DataFrame, keys: list[str], targets: Targets) -> DataFrame:
-    """budgets() for any number of leaves, in DataFrames: keys and _budget of the leaves that draw. leaves holds keys
-    and tokens. Weights whose sums are not exact in floating point may move single tokens between siblings."""
+    """Whole-token budgets of the leaves that draw: keys and _budget. leaves holds keys and tokens.
+
+    The budget goes down the tree level by level. A node never gets more than its leaves hold over max_epochs, so a
+    leaf's shortage is made up by its siblings first, and by its parent's siblings only when the parent is full.
+    """
     spark = leaves.sparkSession
-    leaves = leaves.where("tokens > 0")
-    out = leaves.agg(F.sum("tokens").alias("_all")).where("_all > 0").select(F.floor(F.lit(float(targets.budget_share)) * F.col("_all")).alias("_budget"))
+    leaves = leaves.where("tokens > 0").withColumn("_root", F.lit(0))
+    out = leaves.groupBy("_root").agg(F.floor(F.lit(float(targets.budget_share)) * F.sum("tokens")).alias("_budget"))
     for depth in range(1, len(keys) + 1):
         path = keys[:depth]
-        given = [(*k, float(w)) for k, w in targets.weights.items() if len(k) == depth]
-        weights = spark.createDataFrame(given, ", ".join(f"{k} string" for k in path) + ", _weight double")
-        children = leaves.groupBy(*path).agg((F.sum("tokens") * targets.max_epochs).alias("_capacity")).join(weights, path, "left")
-        out = written(_shared(out, children.fillna({"_weight": float(targets.default)}), path), f"budgets{depth}")
-    return out
+        given = [(*k, units(w)) for k, w in targets.weights.items() if len(k) == depth]
+        weights = spark.createDataFrame(given, ", ".join(f"{k} string" for k in path) + ", _weight long")
+        children = leaves.groupBy("_root", *path).agg((F.sum("tokens") * targets.max_epochs).alias("_capacity")).join(weights, path, "left")
+        children = children.withColumn("_weight", F.coalesce("_weight", F.lit(units(targets.default)).cast("long")))
+        out = written(share_out(out, children, ["_root", *path], f"level{depth}"), f"budgets{depth}")
+    return out.drop("_root")
 
 
 def count_tokens(text):
@@ -118,12 +107,12 @@ def count_tokens(text):
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def _draw(seed: int, epoch, doc_id):
-    """Where a document stands in the seeded order of an epoch."""
-    return F.xxhash64(F.lit(seed), epoch.cast("int"), F.coalesce(doc_id, F.lit(-1)))
+def draw(seed: int, epoch, doc_id, text):
+    """Where a document stands in the seeded order of an epoch; without a doc_id its text decides."""
+    return F.xxhash64(F.lit(seed), epoch.cast("int"), doc_id, F.when(doc_id.isNull(), text))
 
 
-def mix(docs: DataFrame, domain, targets: Targets, max_leaves: int = 20_000, per_bucket: int = 1000) -> DataFrame:
+def mix(docs: DataFrame, domain, targets: Targets, per_bucket: int = 1000) -> DataFrame:
     """Draw documents so that leaf tokens meet the hierarchical budgets.
 
     domain is a Column over docs; language and source are docs' lang and source. A leaf takes whole epochs first and
@@ -132,52 +121,40 @@ def mix(docs: DataFrame, domain, targets: Targets, max_leaves: int = 20_000, per
     own columns with _domain, _tokens and _epoch appended, one row per document and epoch drawn.
 
     Prefixes come from token sums per hash range of a leaf, so no task holds a leaf: only the range at the edge is
-    ordered row by row. The tree is planned on the driver and broadcast up to max_leaves leaves; with more it is planned
-    in DataFrames, where a window holds a node's children (not their documents), and joined by shuffles.
+    ordered, after rows that stand together have been summed. The tree is planned in DataFrames, whatever its size.
     Null domain, lang or source counts as 'none'; null and empty texts have no tokens and a leaf without tokens draws
-    nothing; null doc_ids stand together; repeated rows count and are drawn as often as they occur; an empty table or
-    budget gives an empty result. Names that clash with docs' columns differ by the leading underscore.
+    nothing; rows without doc_id stand by their texts; repeated rows count and are drawn as often as they occur; an empty
+    table or budget gives an empty result. docs' columns may have any names: an appended column whose name is taken gets
+    as many more leading underscores as it needs.
     """
-    label = {"_domain": domain, "_language": F.col("lang"), "_leaf": F.col("source")}
-    label = {k: F.coalesce(c.cast("string"), F.lit("none")) for k, c in label.items()}
-    rows = docs.withColumns(label | {"_tokens": count_tokens(F.col("text"))})
-    keys = list(label)
-    narrow = written(rows.select(*keys, F.col("doc_id").cast("long").alias("_id"), "_tokens"), "tokens")
-    sizes = narrow.groupBy(*keys).agg(F.sum("_tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
-    known = sizes.limit(max_leaves + 1).collect()
-    many = len(known) > max_leaves
-    spark = docs.sparkSession
-    schema = "_domain string, _language string, _leaf string, _whole long, _rest long"
-    if many:
-        sizes = written(sizes, "leaves")
-        largest = sizes.agg(F.max("n")).first()[0]
-        whole = F.expr("_budget DIV tokens")
-        drawn = leaf_budgets(sizes, keys, targets).join(sizes, keys).select(*keys, whole.alias("_whole"), (F.col("_budget") % F.col("tokens")).alias("_rest"))
-        drawn = written(drawn, "plan")
-    else:
-        largest = max((r["n"] for r in known), default=1)
-        tokens = {tuple(r[k] for k in keys): r["tokens"] for r in known if r["tokens"]}
-        plan = [(*leaf, n // tokens[leaf], n % tokens[leaf]) for leaf, n in budgets(tokens, targets).items() if n]
-        drawn = F.broadcast(spark.createDataFrame(plan, schema))  # max_leaves rows at most
-    buckets = 1 << max(0, (largest // per_bucket).bit_length())
-    part = narrow.join(drawn.where("_rest > 0"), keys).withColumn("_draw", _draw(targets.seed, F.col("_whole"), F.col("_id")))
+    keys = ["_domain", "_language", "_source"]
+    label = [F.coalesce(c.cast("string"), F.lit("none")) for c in (domain, F.col("lang"), F.col("source"))]
+    doc_id = F.col("doc_id").cast("long")
+    who = F.when(doc_id.isNull(), F.xxhash64("text"))  # stands for the text of a row without doc_id
+    rows = boxed(docs, **dict(zip(keys, label)), _tokens=count_tokens(F.col("text")), _id=doc_id, _who=who)
+    narrow = written(rows.drop("doc"), "tokens")
+    sizes = written(narrow.groupBy(*keys).agg(F.sum("_tokens").alias("tokens"), F.count(F.lit(1)).alias("n")), "leaves")
+    largest, total = sizes.agg(F.max("n"), F.sum("n")).first()
+    counts, by = sizes.select(*keys, "n"), ["_id", "_who"]
+    plan = leaf_budgets(sizes, keys, targets).join(sizes, keys)
+    plan = written(plan.select(*keys, F.expr("_budget DIV tokens").alias("_whole"), (F.col("_budget") % F.col("tokens")).alias("_rest")), "plan")
+    buckets = 1 << max(0, ((largest or 1) // per_bucket).bit_length())
+    place = draw(targets.seed, F.col("_whole"), F.col("_id"), F.col("_who"))
+    part = spread_join(narrow, plan.where("_rest > 0"), keys, by, "inner", total or 0, counts).withColumn("_draw", place).groupBy(*keys, "_draw", "_rest").agg(F.sum("_tokens").alias("_tokens"))
     part = part.withColumn("_bucket", F.shiftright(F.col("_draw"), 64 - buckets.bit_length() + 1) if buckets > 1 else F.lit(0).cast("long"))
+    part = written(part, "places")
     sums = part.groupBy(*keys, "_bucket", "_rest").agg(F.sum("_tokens").alias("_sum"))
     upto = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(upto), F.lit(0)))
     edge = sums.where((F.col("_before") <= F.col("_rest")) & (F.col("_before") + F.col("_sum") > F.col("_rest"))).select(*keys, "_bucket", "_before")
-    within = Window.partitionBy(*keys, "_bucket").orderBy("_draw").rangeBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(*keys, "_bucket").orderBy("_draw").rowsBetween(Window.unboundedPreceding, 0)
     edge = part.join(edge, [*keys, "_bucket"]).withColumn("_upto", F.col("_before") + F.sum("_tokens").over(within))
     # each leaf with an edge has a first document that does not fit; every earlier one is drawn
     cuts = edge.where(F.col("_upto") > F.col("_rest")).groupBy(*keys).agg(F.min("_draw").alias("_cut"))
-    if many:
-        final = written(drawn.join(cuts, keys, "left"), "cuts")
-    else:
-        cut = {tuple(r[k] for k in keys): r["_cut"] for r in cuts.collect()}
-        final = [(*p[:4], p[4], cut.get(p[:3])) for p in plan]
-        final = F.broadcast(spark.createDataFrame(final, schema + ", _cut long"))
-    more = (F.col("_rest") > 0) & (_draw(targets.seed, F.col("_whole"), F.col("doc_id").cast("long")) < F.col("_cut"))
+    final = written(plan.join(cuts, keys, "left"), "cuts")
+    more = (F.col("_rest") > 0) & (place < F.col("_cut"))
     times = F.col("_whole") + F.coalesce(more, F.lit(False)).cast("long")
-    out = rows.join(final, keys).withColumn("_times", times).where("_times > 0")
+    out = spread_join(rows, final, keys, by, "inner", total or 0, counts).withColumn("_times", times).where("_times > 0")
     out = out.withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_times") - 1)))
-    return out.select(*docs.columns, "_domain", "_tokens", "_epoch")
+    names = dict(zip(["_domain", "_tokens", "_epoch"], free_names(docs.columns, ["_domain", "_tokens", "_epoch"])))
+    return out.select("doc.*", *[F.col(c).alias(n) for c, n in names.items()])

@@ -3,6 +3,7 @@
 import hashlib
 import re
 from collections import Counter
+from fractions import Fraction
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -59,3 +60,44 @@ def top_k(rows, every, k):
             scores = sorted((-sum(a * b for a, b in zip(ints[q], v)), i) for i, v in ints.items() if i != q)
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])]
     return sorted(out)
+
+
+def _pour(budget, children):
+    """children: (name, weight, capacity) -> {name: share}. The level of the water is raised from child to child."""
+    open_ = {n: (Fraction(w).limit_denominator(10**6), c) for n, w, c in children if w > 0 and c > 0}
+    budget = min(budget, sum(c for _, c in open_.values()))
+    out = {n: 0 for n, _, _ in children}
+    while open_:
+        level = Fraction(budget) / sum(w for w, _ in open_.values())
+        full = {n for n, (w, c) in open_.items() if level * w >= c}
+        if not full:
+            exact = {n: level * w for n, (w, _) in open_.items()}
+            out |= {n: int(x) for n, x in exact.items()}
+            spare = budget - sum(int(x) for x in exact.values())
+            for n in sorted(exact, key=lambda n: (int(exact[n]) - exact[n], n))[:spare]:
+                out[n] += 1
+            break
+        for n in full:
+            out[n] = open_.pop(n)[1]
+            budget -= out[n]
+    return out
+
+
+def tree_budgets(tokens, weights, default, share, epochs):
+    """{(domain, language, source): tokens there} -> {path: tokens to draw}."""
+    tree = {}
+    for (d, lang, s), n in tokens.items():
+        tree.setdefault(d, {}).setdefault(lang, {})[s] = n
+
+    def held(node):
+        return epochs * node if isinstance(node, int) else sum(map(held, node.values()))
+
+    def down(path, node, budget):
+        if isinstance(node, int):
+            return {path: budget}
+        out = {}
+        for name, n in _pour(budget, [(k, weights.get((*path, k), default), held(v)) for k, v in node.items()]).items():
+            out |= down((*path, name), node[name], n)
+        return out
+
+    return down((), tree, int(share * sum(tokens.values())))

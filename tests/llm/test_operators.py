@@ -159,11 +159,45 @@ def test_exact_dedup(docs, rows, empty):
 
 
 def test_directory_doubles(docs):
-    index = exact_dedup.build_index(docs, capacity=4)
+    rows = exact_dedup.keyed(docs)
+    index = exact_dedup.build_index(docs, rows, capacity=4)
     cells = [r.cell for r in index.directory.orderBy("cell").collect()]
-    assert cells == list(range(1 << index.depth)) or len(cells) < 1 << index.depth  # empty cells have no bucket
+    assert len(set(cells)) == len(cells) <= 1 << index.depth  # empty cells have no bucket
     sizes = index.entries.groupBy("bucket").count().collect()
     assert max(r["count"] for r in sizes) <= 4 and index.depth >= 4
+    assert len({r.local_depth for r in index.directory.collect()}) > 1  # only overfull buckets have split
+
+
+def test_the_directory_decides_where_a_text_is_found(docs):
+    """With two buckets exchanged in the directory, probes go to the wrong one and find nothing there."""
+    rows = exact_dedup.keyed(docs)
+    index = exact_dedup.build_index(docs, rows, capacity=4)
+    buckets = sorted({r.bucket for r in index.directory.collect()})
+    a, b = buckets[0], buckets[-1]
+    there = {(r.address, r.sha) for r in index.entries.where(F.col("bucket").isin(a, b)).collect()}
+    index.directory = index.directory.withColumn("bucket", F.when(F.col("bucket") == a, b).when(F.col("bucket") == b, a).otherwise(F.col("bucket")))
+    found = exact_dedup.probe(rows, index).collect()
+    assert {r.sha for r in found if r.slot is None} == {sha for _, sha in there}
+
+
+@pytest.mark.parametrize("address", [lambda body: F.lit(0).cast("long"), lambda body: F.pmod(F.xxhash64(body), F.lit(3)), lambda body: F.shiftleft(F.length(body).cast("long"), 58)])
+def test_colliding_addresses_chain(docs, rows, address):
+    """Texts of one address hang in one chain and are told apart by their bytes."""
+    got, want = (sorted(map(key, exact_dedup.exact_copies(docs, 4, *a).collect())) for a in ((address,), ()))
+    assert got == want
+    keyed = exact_dedup.keyed(docs, address)
+    chains = exact_dedup.build_index(docs, keyed, 4, 2, address).entries.groupBy("bucket", "address").agg(F.sort_array(F.collect_list("slot")).alias("slots"), F.countDistinct("sha").alias("n")).collect()
+    assert all(r.slots == list(range(1, r.n + 1)) for r in chains) and max(r.n for r in chains) > 2
+    same = [sorted((key((r.doc_id,)) for r in exact_dedup.drop_copies(docs, 4, *a).collect())) for a in ((address,), ())]
+    assert same[0] == same[1]
+
+
+def test_dropped_copies_of_clashing_names(spark):
+    """Columns may be named as they like, repeated rows and null ids included."""
+    rows = [(1, "a b", "x", 1, 2), (1, "a b", "y", 1, 2), (2, "ab", None, 1, 2), (None, "q", "x", 1, 2), (None, "q", "w", 1, 2), (3, None, "x", 1, 2), (4, "", "x", 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, n int, sha int")
+    got = exact_dedup.drop_copies(docs)
+    assert got.columns == docs.columns and sorted(map(key, got.collect())) == sorted(map(key, [rows[0], rows[4], rows[5]]))
 
 
 # --- 4
@@ -490,7 +524,14 @@ def brute_mix(rows, domain, targets):
         n = len(brute.WORD.findall(r[1] or ""))
         leaves.setdefault((domain(r), r[2] or "none", r[3] or "none"), []).append((r, n))
     tokens = {k: sum(n for _, n in v) for k, v in leaves.items() if sum(n for _, n in v)}
-    return leaves, tokens, mixing.budgets(tokens, targets)
+    return leaves, tokens, brute.tree_budgets(tokens, targets.weights, targets.default, targets.budget_share, targets.max_epochs)
+
+
+def draws(spark, epochs, docs):
+    """{(epoch, doc_id, text of a row without one): draw}"""
+    frame = spark.createDataFrame(sorted({(i, t if i is None else None) for i, t in docs}, key=key), "i long, t string")
+    who = F.when(F.col("i").isNull(), F.xxhash64("t"))
+    return {(e, r.i, r.t): r.u for e in range(epochs) for r in frame.select("i", "t", mixing.draw(17, F.lit(e), F.col("i"), who).alias("u")).collect()}
 
 
 @pytest.mark.parametrize(("share", "per_bucket"), [(0.5, 1000), (0.5, 2), (3.0, 5), (0.05, 1), (100.0, 1000), (0.0, 1000)])
@@ -501,20 +542,21 @@ def test_mixing(spark, docs, rows, share, per_bucket):
     assert got.columns == [*docs.columns, "_domain", "_tokens", "_epoch"]
     got = got.collect()
     leaves, tokens, budget = brute_mix(rows, lambda r: "a" if r[3] == "src0" else "b", targets)
-    draw = {}
-    for e in range(4):
-        for r in spark.createDataFrame([(i,) for i in {r[0] for r in rows}], "d long").select("d", mixing._draw(17, F.lit(e), F.col("d")).alias("u")).collect():
-            draw[e, r.d] = r.u
+    draw = draws(spark, 4, [r[:2] for r in rows])
+
+    def place(epoch, m):
+        return draw[epoch, m[0][0], m[0][1] if m[0][0] is None else None]
+
     want = []
     for leaf, members in leaves.items():
         if not budget.get(leaf):
             continue
         whole, rest = divmod(budget[leaf], tokens[leaf])
         want += [(r[0], leaf[0], n, e) for r, n in members for e in range(whole)]
-        ordered = sorted(members, key=lambda m: draw[whole, m[0][0]])
+        ordered = sorted(members, key=lambda m: place(whole, m))
         total, k = 0, 0
         while rest and k < len(ordered):
-            same = [m for m in ordered if draw[whole, m[0][0]] == draw[whole, ordered[k][0][0]]]
+            same = [m for m in ordered if place(whole, m) == place(whole, ordered[k])]
             if total + sum(n for _, n in same) > rest:
                 break
             total, k = total + sum(n for _, n in same), k + len(same)
@@ -522,35 +564,52 @@ def test_mixing(spark, docs, rows, share, per_bucket):
     assert sorted(key((r.doc_id, r._domain, r._tokens, r._epoch)) for r in got) == sorted(map(key, want))
 
 
-@pytest.mark.parametrize(("share", "per_bucket"), [(0.5, 2), (3.0, 1000)])
-def test_mixing_many_leaves(docs, share, per_bucket):
-    """Beyond max_leaves the same documents are drawn by a plan in DataFrames."""
-    targets = mixing.Targets({("a",): 2.0, ("b",): 1.0, ("a", "fr"): 0.0}, budget_share=share, max_epochs=3)
-    domain = F.when(F.col("source") == "src0", "a").otherwise("b")
-    few, many = (mixing.mix(docs, domain, targets, max_leaves=n, per_bucket=per_bucket).select("doc_id", "text", "_domain", "_tokens", "_epoch").collect() for n in (100, 3))
-    assert many and sorted(map(key, few)) == sorted(map(key, many))
-
-
 @pytest.mark.parametrize("seed", range(4))
 def test_leaf_budgets(spark, seed):
     rng = random.Random(seed)
     tokens = {(rng.choice("ab"), rng.choice("xyz"), str(i)): int(rng.paretovariate(0.7)) + 1 for i in range(300)}
     targets = mixing.Targets({("a",): 2.0, ("b", "x"): 0.0, ("a", "y"): 0.25, **{k: rng.choice([0.0, 0.5, 4.0]) for k in list(tokens)[:40]}}, budget_share=(0.05, 0.5, 2.0, 9.0)[seed], max_epochs=3)
     got = mixing.leaf_budgets(spark.createDataFrame([(*k, n) for k, n in tokens.items()], "d string, l string, s string, tokens long"), ["d", "l", "s"], targets)
-    assert {(r.d, r.l, r.s): r._budget for r in got.collect()} == {k: n for k, n in mixing.budgets(tokens, targets).items() if n}
+    want = brute.tree_budgets(tokens, targets.weights, targets.default, targets.budget_share, targets.max_epochs)
+    assert {(r.d, r.l, r.s): r._budget for r in got.collect()} == {k: n for k, n in want.items() if n}
+
+
+def test_many_leaves(spark):
+    """100,000 leaves, most of them children of one parent."""
+    leaves = spark.range(100_000).selectExpr("if(id % 10 < 8, 'a', 'b') AS d", "'x' AS l", "CAST(id AS STRING) AS s", "1 + id % 7 AS tokens")
+    got = mixing.leaf_budgets(leaves, ["d", "l", "s"], mixing.Targets({("a",): 1.0, ("b",): 3.0}, budget_share=0.3, max_epochs=1)).collect()
+    tokens = {("ab"[i % 10 >= 8], "x", str(i)): 1 + i % 7 for i in range(100_000)}
+    want = brute.tree_budgets(tokens, {("a",): 1.0, ("b",): 3.0}, 1.0, 0.3, 1)
+    assert {(r.d, r.l, r.s): r._budget for r in got} == {k: n for k, n in want.items() if n}
+
+
+def test_mixing_of_clashing_names_and_null_ids(spark):
+    """Columns named like ours are passed on; rows without doc_id are drawn by their texts."""
+    rows = [(None if i % 2 else i, f"text number {i}", "en", "s", "mine", i, "x", 1) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _domain string, _tokens long, __domain string, _part int")
+    out = mixing.mix(docs, F.lit("a"), mixing.Targets(budget_share=0.5, max_epochs=1), per_bucket=10)
+    assert out.columns == [*docs.columns, "___domain", "__tokens", "_epoch"]
+    got = out.collect()
+    assert all(r["_domain"] == "mine" and r["___domain"] == "a" and r["__tokens"] == 3 and r.text == f"text number {r['_tokens']}" for r in got)
+    assert len(got) == 100 and 30 < sum(r.doc_id is None for r in got) < 70
 
 
 def test_mixing_empty(empty):
     assert mixing.mix(empty, F.lit("a"), mixing.Targets()).count() == 0
 
 
-def test_shortages_stay_among_siblings():
-    tokens = {("a", "x", "1"): 10, ("a", "x", "2"): 1000, ("a", "y", "3"): 1000, ("b", "x", "4"): 1000}
-    got = mixing.budgets(tokens, mixing.Targets(budget_share=0.1, max_epochs=1))
-    assert sum(got.values()) == 301 and got["a", "x", "1"] == 10 and got["a", "x", "2"] + 10 == pytest.approx(301 / 4, abs=1)
-    got = mixing.budgets(tokens, mixing.Targets({("b",): 0.0}, budget_share=1.0, max_epochs=1))
-    assert got == {("a", "x", "1"): 10, ("a", "x", "2"): 1000, ("a", "y", "3"): 1000, ("b", "x", "4"): 0}
-    assert mixing.share_out(10, [1, 1, 1], [100, 100, 100]) == [4, 3, 3] and mixing.share_out(10, [1, 1], [2, 100]) == [2, 8]
+@pytest.mark.parametrize(
+    ("tokens", "targets", "want"),
+    [
+        ({("a", "x", "1"): 10, ("a", "x", "2"): 1000, ("a", "y", "3"): 1000, ("b", "x", "4"): 1000}, mixing.Targets(budget_share=0.1, max_epochs=1), {"1": 10, "2": 66, "3": 75, "4": 150}),
+        ({("a", "x", "1"): 10, ("a", "x", "2"): 1000, ("a", "y", "3"): 1000, ("b", "x", "4"): 1000}, mixing.Targets({("b",): 0.0}, budget_share=1.0, max_epochs=1), {"1": 10, "2": 1000, "3": 1000}),
+        ({("a", "x", "1"): 100, ("a", "x", "2"): 100, ("a", "x", "3"): 100}, mixing.Targets(budget_share=0.0334, max_epochs=1), {"1": 4, "2": 3, "3": 3}),
+        ({("a", "x", "1"): 2, ("a", "x", "2"): 100}, mixing.Targets(budget_share=0.1, max_epochs=1), {"1": 2, "2": 8}),
+    ],
+)
+def test_shortages_stay_among_siblings(spark, tokens, targets, want):
+    got = mixing.leaf_budgets(spark.createDataFrame([(*k, n) for k, n in tokens.items()], "d string, l string, s string, tokens long"), ["d", "l", "s"], targets)
+    assert {r.s: r._budget for r in got.collect()} == want
 
 
 # --- helpers
