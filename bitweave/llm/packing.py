@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from itertools import chain
 
@@ -11,12 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import ArrayBpe
+from .common import partitions, written
 
 TOKENS_SCHEMA = "shard long, doc_id long, ids binary"
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _PIECE = pa.schema([(c.split()[0], pa.int64()) for c in PIECE_SCHEMA.split(", ")])
 _TOKENS = pa.schema([("shard", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary())])
 _MARK = b"\x01"
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 class _Places(dict):
@@ -32,6 +35,18 @@ class _Places(dict):
         return at
 
 
+def pieces(text: bytes, size: int) -> list[bytes]:
+    """The text cut into pieces of about `size` bytes before white space; a longer word stays whole."""
+    out, at = [], 0
+    while len(text) - at > size:
+        found = _SPACE.search(text, at + size)
+        if not found:
+            break
+        out.append(text[at : found.start()])
+        at = found.start()
+    return [*out, text[at:]]
+
+
 class WordTokenizer:
     """Token ids of texts, by a public tokenizer file whose tokens never span ASCII white space.
 
@@ -88,8 +103,15 @@ class WordTokenizer:
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
 
-    def encode(self, texts: list[bytes], end_id: int) -> list[np.ndarray]:
-        """Each text's ids, and end_id after them."""
+    def encode(self, texts: list[bytes], end_id: int, piece: int = 1 << 21) -> list[np.ndarray]:
+        """Each text's ids, and end_id after them. A text beyond `piece` bytes is split at white space and taken piece by
+        piece, so that the words of a very long one are never in memory together."""
+        if any(len(t) > piece for t in texts):
+            out = []
+            for t in texts:
+                parts = [self.encode([p], end_id, max(piece, len(p)))[0] for p in pieces(t, piece)]
+                out.append(np.concatenate([p[:-1] for p in parts[:-1]] + parts[-1:]))
+            return out
         split = [t.split() for t in texts]
         n = [len(w) for w in split]
         if len(self.place) > self.max_words:
@@ -117,10 +139,17 @@ def word_tokenizer(path: str) -> WordTokenizer:
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int, shard_chars: int, batch_bytes: int = 1 << 21) -> DataFrame:
-    """(shard, doc_id, ids as little-endian uint32) per document; shards hold about shard_chars code points."""
-    total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(1, -(-total // shard_chars))
-    rows = docs.select(F.expr(f"pmod(xxhash64(doc_id, text), {shards}L)").alias("shard"), F.col("doc_id").cast("long"), F.col("text").cast("binary"))
+    """(shard, doc_id, ids as little-endian uint32) per document, dealt by a hash of doc_id and text; shards hold about
+    shard_chars code points. Rows that repeat both more often than a partition's share are dealt to several shards.
+    Null and empty texts have the end id alone; an empty table gives no rows."""
+    row = F.xxhash64("doc_id", "text")
+    marks = written(docs.select(row.alias("row"), F.length("text").alias("points")), "marks")
+    total, n = marks.agg(F.sum("points"), F.count(F.lit(1))).first()
+    shards, share = max(1, -(-(total or 0) // shard_chars)), max(32, -(-n // partitions(docs.sparkSession)))
+    hot = marks.groupBy("row").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > share).select("row", F.ceil(F.col("n") / share).alias("parts"))
+    rows = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(hot), "row", "left")  # fewer rows than partitions
+    part = F.when(F.col("parts").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.col("parts")))
+    rows = rows.select(F.pmod(F.xxhash64("row", part), F.lit(shards)).alias("shard"), "doc_id", "text")
 
     def encode(batches):
         tokenizer = word_tokenizer(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import itertools
 import json
 import re
 import struct
@@ -13,9 +14,8 @@ import zipfile
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import fresh_path, written
+from .common import fresh_path, partitions, spread_join, written
 
 MANIFEST_SCHEMA = "path string, records long, bytes long"
 _MANIFEST = pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
@@ -23,8 +23,8 @@ RECORD_SCHEMA = "page_id long, url string, record_type string, refers_to long, p
 _RECORD = pa.schema(
     [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())]
 )
-RANGE_SCHEMA = "path string, start long, length long"
-_RANGE = pa.schema([("path", pa.string()), ("start", pa.int64()), ("length", pa.int64())])
+RANGE_SCHEMA = "path string, start long, lengths array<long>"
+_RANGE = pa.schema([("path", pa.string()), ("start", pa.int64()), ("lengths", pa.list_(pa.int64()))])
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -77,8 +77,11 @@ def record(page_id, url, payload: bytes, digest: str, refers_to, revisit: bool)
 
 
 def parse(raw: bytes) -> dict:
-    """The headers and the payload of a record."""
-    raw = gzip.decompress(raw)
+    """The headers and the payload of a record, one whole gzip member."""
+    try:
+        raw = gzip.decompress(raw)
+    except EOFError as e:
+        raise ValueError("a record is cut off") from e
     head, _, rest = raw.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
     block = rest[: int(fields["Content-Length"])]
@@ -113,6 +116,8 @@ def members(read, size: int) -> dict[str, tuple[int, int]]:
     tail_at = max(0, size - 65557)
     tail = read(tail_at, size - tail_at)
     end = tail.rfind(b"PK\x05\x06")
+    while end >= 0 and (len(tail) < end + 22 or end + 22 + struct.unpack("<H", tail[end + 20 : end + 22])[0] != len(tail)):
+        end = tail.rfind(b"PK\x05\x06", 0, end)  # within the comment
     if end < 0:
         raise ValueError("no end of central directory")
     count, length, offset = struct.unpack("<HII", tail[end + 10 : end + 20])
@@ -159,19 +164,24 @@ def plan_records(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     """page_id, url, payload, digest, revisit, refers_to of the records to write.
 
     Of equal payloads of at least least_bytes, the row with the largest page_id is the response and the others revisit
-    it. Groups and decisions are made on ids and SHA-256 digests, counted before they are shuffled; the payloads
-    themselves are shuffled once, by page.
+    it; of rows with that page_id and payload, one with the smallest url (null first). Groups are decided on ids and
+    SHA-256 digests. The payloads are shuffled once, by row; rows alike in page_id, url and payload are combined before
+    that, so neither a common payload nor a repeated row is a hot key.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
-    rows = rows.withColumns({"page": F.coalesce(F.col("page_id").cast("string"), F.lit("none")), "same": F.unhex(F.sha2("payload", 256))})
-    narrow = rows.where(F.octet_length("payload") >= least_bytes).groupBy("page_id", "page", "same").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.withColumn("same", F.unhex(F.sha2("payload", 256)))
+    name = F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.col("url").isNull().cast("string"), F.coalesce("url", F.lit("")), F.hex("same"))
+    rows = rows.withColumn("row", F.unhex(F.md5(name.cast("binary"))))
+    narrow = rows.where(F.octet_length("payload") >= least_bytes).groupBy("row", "page_id", "url", "same").agg(F.count(F.lit(1)).alias("n"))
     narrow = written(narrow, "payloads")
-    top = narrow.groupBy("same").agg(F.max("page_id").alias("top"), F.sum("n").alias("copies")).where("copies > 1").drop("copies")
-    grouped = narrow.join(top, "same").select("page", "same", "top", F.lit(True).alias("grouped"))
-    rows = rows.join(grouped, ["page", "same"], "left")
-    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("page", "same").orderBy("url")))
-    revisit = F.coalesce(F.col("grouped"), F.lit(False)) & ~(F.col("page_id").eqNullSafe(F.col("top")) & (F.col("copy") == 1))
+    best = F.min(F.struct(F.col("page_id").isNull(), F.bitwise_not("page_id").alias("down"), "url", "row"))
+    top = narrow.groupBy("same").agg(best.alias("best"), F.sum("n").alias("copies")).where("copies > 1")
+    top = top.select("same", F.col("best.row").alias("first"), F.bitwise_not("best.down").alias("top"))
+    judged = spread_join(narrow.select("row", "same"), top, ["same"], ["row"]).select("row", (F.col("row") == F.col("first")).alias("is_first"), "top")
+    alike = rows.groupBy("row").agg(*[F.first(c).alias(c) for c in ("page_id", "url", "payload")], F.count(F.lit(1)).alias("n"))
+    rows = alike.join(judged, "row", "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    revisit = F.col("is_first").isNotNull() & ~(F.col("is_first") & (F.col("copy") == 1))
     return rows.select("page_id", "url", "payload", F.sha1("payload").alias("digest"), revisit.alias("revisit"), F.when(revisit, F.col("top")).alias("refers_to"))
 
 
@@ -225,42 +235,29 @@ def read_archives(manifest: DataFrame, range_bytes: int = 1 << 20) -> DataFrame:
                     found = members(lambda at, n: f.read_at(n, at), f.size())
                     at, n = found["indexes/index.jsonl"]
                     index = [json.loads(line) for line in f.read_at(n, at).decode().splitlines()]
-                base, start, size = found["archive/data.warc.gz"][0], 0, 0
+                at, lengths, size = found["archive/data.warc.gz"][0], [], 0
                 for x in index:
-                    if size and size + x["length"] > range_bytes:
-                        yield pa.RecordBatch.from_pylist([{"path": path, "start": base + start, "length": size}], schema=_RANGE)
-                        start, size = start + size, 0
+                    if lengths and size + x["length"] > range_bytes:
+                        yield pa.RecordBatch.from_pylist([{"path": path, "start": at, "lengths": lengths}], schema=_RANGE)
+                        at, lengths, size = at + size, [], 0
+                    lengths.append(x["length"])
                     size += x["length"]
-                if size:
-                    yield pa.RecordBatch.from_pylist([{"path": path, "start": base + start, "length": size}], schema=_RANGE)
+                if lengths:
+                    yield pa.RecordBatch.from_pylist([{"path": path, "start": at, "lengths": lengths}], schema=_RANGE)
 
     def read(batches):
         for batch in batches:
             for r in batch.to_pylist():
                 fs, name = filesystem(r["path"])
                 with fs.open_input_file(name) as f:
-                    raw = f.read_at(r["length"], r["start"])
-                yield pa.RecordBatch.from_pylist([_row(x) for x in _split(raw)], schema=_RECORD)
+                    raw, ends = f.read_at(sum(r["lengths"]), r["start"]), list(itertools.accumulate(r["lengths"]))
+                yield pa.RecordBatch.from_pylist([_row(raw[end - n : end]) for n, end in zip(r["lengths"], ends)], schema=_RECORD)
 
-    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions(manifest.sparkSession)
     ranges = manifest.select("path").repartition(n).mapInArrow(locate, RANGE_SCHEMA)
     return ranges.repartition(n, "path", "start").mapInArrow(read, RECORD_SCHEMA)
 
 
-def _split(raw: bytes):
-    """The gzip members of a run of records."""
-    import zlib
-
-    while raw:
-        d = zlib.decompressobj(31)
-        d.decompress(raw)
-        if not d.eof:
-            raise ValueError("a record is cut off")
-        used = len(raw) - len(d.unused_data)
-        yield raw[:used]
-        raw = raw[used:]
-
-
 def _row(raw: bytes) -> dict:
     found = parse(raw)
     fields, payload = found["fields"], found["payload"]
