@@ -48,14 +48,34 @@ FLOW = HEADINGS | {"p", "pre", "blockquote", "ul", "ol", "dl", "table", "figure"
 LINKED = 0.5  # the share of text in links from which a container beside the best one is a list of links
 INLINE_NAMED = HEADINGS | {"p", "pre", "blockquote", "dd", "dt"}  # and all inline elements
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Elements that end where the next one of the first set begins, unless one of the second is in between.
+_SCOPES = {
+    "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
+    "dd": ({"dt", "dd"}, {"dl"}),
+    "td": ({"td", "th"}, {"tr", "table"}),
+    "tr": ({"tr"}, {"table"}),
+    "tbody": ({"tr", "tbody", "thead", "tfoot"}, {"table"}),
+}
+_SCOPE = {"li": "li", "dt": "dd", "dd": "dd", "td": "td", "th": "td", "tr": "tr", "tbody": "tbody", "thead": "tbody", "tfoot": "tbody"}
+_SCOPES_OF = {t: [k for k, (ends, stops) in _SCOPES.items() if t in ends | stops] for t in frozenset().union(*(a | b for a, b in _SCOPES.values()))}
+#: Parts of what an article itself is called: entry-header holds the article's heading.
+OWN = frozenset("entry post article story content".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "dropped", "score", "text", "linked", "named", "doubt", "style")
+    __slots__ = ("tag", "parent", "items", "dropped", "score", "text", "linked", "named", "doubt", "style", "articles", "block", "near", "cleared")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool = False, named: bool = False, doubt: bool = False, style: str = ""):
         self.tag, self.parent, self.items, self.dropped, self.score, self.named, self.doubt, self.style = tag, parent, [], dropped, 0.0, named, doubt, style
         self.text = self.linked = 0  # code points of text, and of text in links, below
+        self.cleared = False
+        # what an open element needs of its ancestors, itself included, so that nothing walks up to the root
+        self.articles = (parent.articles if parent else 0) + (tag in ("article", "main"))
+        self.block = self if tag in BLOCK or parent is None else parent.block
+        self.near = parent.near if parent else {}
+        scopes = _SCOPES_OF.get(tag)
+        if scopes:
+            self.near = self.near | dict.fromkeys(scopes, self)
 
 
 def _judge(tag: str, name: str, value: str, section: bool, in_article: bool) -> tuple[bool, bool]:
@@ -75,7 +95,8 @@ def _judge(tag: str, name: str, value: str, section: bool, in_article: bool) ->
             continue
         clear = any(w in CLEAR for w in words)
         if clear or any(w in DOUBTFUL for w in words):
-            weak = section and name == "id" or not clear and (section or in_article or name == "id" and len(words) == 1)
+            own = any(w in OWN for w in words) and any(w in ("header", "head") for w in words)
+            weak = section and name == "id" or not clear and (own or section or in_article or name == "id" and len(words) == 1)
             named, doubt = named or not weak, doubt or weak
     return named, doubt
 
@@ -102,6 +123,18 @@ def parse(html: str) -> Node:
     root = Node("html", None)
     node, at, n = root, 0, len(html)
     doubts = False
+    open_: dict = {}  # open elements by tag; of inline ones by their block, too
+
+    def key(tag, block):
+        return tag if tag in BLOCK else (id(block), tag)
+
+    def leave(node, upto):
+        """Close the open elements from node up to, and without, upto."""
+        while node is not upto:
+            open_[key(node.tag, node.block)] -= 1
+            node = node.parent
+        return upto
+
     while at < n:
         m = _TOKEN.search(html, at)
         end = m.start() if m else n
@@ -116,41 +149,31 @@ def parse(html: str) -> Node:
                 node.items.append(m[0][9:].removesuffix("]]>"))
             continue
         if m[1] or m[4]:
-            up = node
-            while up is not root and up.tag != tag:
-                if tag not in BLOCK and up.tag in BLOCK:
-                    up = root  # an inline end does not close a block
-                    break
-                up = up.parent
-            if up is not root:
-                node = up.parent
+            if open_.get(key(tag, node.block)):  # an inline end does not close a block
+                up = node
+                while up.tag != tag:
+                    up = up.parent
+                node = leave(node, up.parent)
             continue
         if tag in ("html", "body"):
             continue
         attributes = m[3] or m[6] or ""
-        if tag in CLOSES_P:
-            node = _close(node, {"p"}, BLOCK - {"p"})
-        if tag == "li":
-            node = _close(node, {"li"}, {"ul", "ol", "menu", "dir"})
-        elif tag in ("dt", "dd"):
-            node = _close(node, {"dt", "dd"}, {"dl"})
-        elif tag in ("td", "th"):
-            node = _close(node, {"td", "th"}, {"tr", "table"})
-        elif tag in ("tr", "tbody", "thead", "tfoot"):
-            node = _close(node, {"tr"} if tag == "tr" else {"tr", "tbody", "thead", "tfoot"}, {"table"})
-        up, articles = node, 0
-        while up is not None:
-            articles += up.tag in ("article", "main")
-            up = up.parent
+        if tag in CLOSES_P and node.block.tag == "p":
+            node = leave(node, node.block.parent)
+        scope = _SCOPE.get(tag)
+        if scope:
+            up = node.near.get(scope)
+            if up is not None and up.tag in _SCOPES[scope][0]:
+                node = leave(node, up.parent)
         style = _CLASS.search(attributes) if attributes else None
         style = style[1] or style[2] or style[3] or "" if style else ""
-        gone, named, doubt = _unlikely(tag, attributes, style, articles > 0)
+        gone, named, doubt = _unlikely(tag, attributes, style, node.articles > 0)
         doubts = doubts or doubt
         child = Node(tag, node, gone, named, doubt, style)
         if tag in ("article", "main", "h1") and not named:  # what holds the article is no sidebar, whatever its name
             up = node
-            while up is not None:
-                up.named, up.doubt, up = False, False, up.parent
+            while up is not None and not up.cleared:
+                up.named, up.doubt, up.cleared, up = False, False, True, up.parent
         node.items.append(child)
         if tag in RAW:
             close = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
@@ -159,21 +182,14 @@ def parse(html: str) -> Node:
             at = close.end() if close else n
         elif tag not in VOID and not attributes.rstrip().endswith("/"):
             node = child
+            at_key = key(tag, child.block)
+            open_[at_key] = open_.get(at_key, 0) + 1
     if doubts:
         for node in _measure(root, True):
             node.named = node.doubt and _density(node) >= LINKED
     return root
 
 
-def _close(node: Node, tags, stop) -> Node:
-    up = node
-    while up.parent is not None and up.tag not in tags:
-        if up.tag in stop:
-            return node
-        up = up.parent
-    return up.parent if up.tag in tags and up.parent is not None else node
-
-
 def _measure(root: Node, names: bool) -> list[Node]:
     """Fill text and linked bottom-up over what is not left out; returns the nodes, children after parents."""
     order, stack = [], [(root, False)]
@@ -181,7 +197,7 @@ def _measure(root: Node, names: bool) -> list[Node]:
         node, linked = stack.pop()
         order.append(node)
         node.text = node.linked = 0
-        for item in node.items:
+        for item in reversed(node.items):
             if isinstance(item, str):
                 size = len(_SPACE.sub(" ", item).strip())
                 node.text += size
@@ -235,26 +251,21 @@ def _density(node: Node) -> float:
 
 
 def _score(order: list[Node], names: bool, least: int) -> list[Node]:
-    """Paragraphs pass points to their ancestors: all to the parent, half to the next, then ever less."""
-    scored: list[Node] = []
+    """Paragraphs pass points to their ancestors: all to the parent, and half of what it has from each level to the next."""
     for node in order:
         node.score = 0.0
-    for node in order:
-        if node.tag not in BLOCK or node.parent is None:
+    for node in reversed(order):
+        if node.parent is None:
+            continue
+        node.parent.score += node.score / 2
+        if node.tag not in BLOCK:
             continue
         own: list[str] = []
         _inline(node, names, own)
         text = _SPACE.sub(" ", "".join(own)).strip()
-        if len(text) < least:
-            continue
-        points = 1 + text.count(",") + min(len(text) / 100, 3.0)
-        up, level = node.parent, 0
-        while up is not None:
-            if not up.score:
-                scored.append(up)
-            up.score += points / (1 if not level else 2 if level == 1 else 3 * level)
-            up, level = up.parent, level + 1
-    return [n for n in dict.fromkeys(scored)]
+        if len(text) >= least:
+            node.parent.score += 1 + text.count(",") + min(len(text) / 100, 3.0)
+    return [n for n in order if n.score]
 
 
 def _main(root: Node, names: bool) -> tuple[list[Node], set[int]]:

@@ -8,6 +8,7 @@ import os
 import random
 import re
 import sys
+import time
 import zipfile
 import zlib
 
@@ -345,6 +346,55 @@ def test_html_beside_an_article():
     assert html_extract.extract(page).split("\n\n") == ["Title", *long_paragraphs(3, 300, "a"), "Reference, linked"]
 
 
+def test_html_scores_by_definition():
+    """Each paragraph's points walked up to the root, halved at every step after the first."""
+    rng = random.Random(2)
+    for _ in range(30):
+        page = "".join(rng.choice(["<div>", "</div>", "<p>", "<section>", "</section>", "<ul><li>", "</ul>", "<b>", "</b>", "<td>", f"{'word, ' * rng.randrange(30)}text", "<nav>menu, menu, and a menu of menus</nav>"]) for _ in range(60))
+        root = html_extract.parse(page)
+        order = html_extract._measure(root, True)
+        want = dict.fromkeys(map(id, order), 0.0)
+        for node in order:
+            own = []
+            html_extract._inline(node, True, own)
+            text = " ".join("".join(own).split())
+            if node.tag in html_extract.BLOCK and node.parent is not None and len(text) >= 25:
+                points, up = 1 + text.count(",") + min(len(text) / 100, 3), node.parent
+                while up is not None:
+                    want[id(up)] += points
+                    points, up = points / 2, up.parent
+        scored = html_extract._score(order, True, 25)
+        assert all(n.score == pytest.approx(want[id(n)]) for n in order) and {id(n) for n in scored} == {i for i, x in want.items() if x}
+
+
+def test_html_open_elements():
+    """Unclosed and stray elements end where they should."""
+    cases = {
+        "<p>a<p>b<div>c<p>d</div>e": ["a", "b", "c", "d", "e"],
+        "<ul><li>a<ul><li>b<li>c</ul><li>d</ul>": ["a", "b", "c", "d"],
+        "<table><tr><td>a<td>b<tr><th>c<tbody><tr><td>d</table>e": ["a", "b", "c", "d", "e"],
+        "<dl><dt>a<dd>b<dt>c</dl>": ["a", "b", "c"],
+        "<i>a<div>b</i>c</div>d</i>": ["a", "bc", "d"],
+        "<b>a</i></b></b></div>b": ["ab"],
+    }
+    for page, want in cases.items():
+        assert html_extract.extract(f"<main>{page}</main>").split("\n\n") == want
+
+
+@pytest.mark.parametrize("page", ["<div>" * 30_000, "<div><h1>a</h1>" * 10_000, "<div><article><p>a, b" * 8_000, "<i><div>" + "<b>" * 20_000 + "</i>" * 20_000, "<li><ul><div>" + "<div>" * 20_000 + "<li>a</li>" * 20_000, "<b>" * 20_000 + "<p>a</p>" * 20_000])
+def test_html_time_is_linear(page):
+    began = time.process_time()
+    html_extract.extract(page + "deep text, deep")
+    assert time.process_time() - began < 5
+
+
+def test_html_heading_of_an_entry():
+    text = "".join(f"<p>{p}</p>" for p in long_paragraphs(3, 300, "a"))
+    for frame in ("<article>{}</article>", "<main>{}</main>", "<div id=content>{}</div>"):
+        page = frame.format(f'<div class="entry-header"><h2>Heading</h2></div>{text}<div><p>Short end one.</p></div>')
+        assert html_extract.extract(f"<body>{page}</body>").split("\n\n") == ["Heading", *long_paragraphs(3, 300, "a"), "Short end one."]
+
+
 def test_html_pages(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>Some text, here</p></article>", "x"), (2, None, None, "y"), (None, "u", "", "z")], "page_id long, url string, html string, text string")
     assert {(r.page_id, r.url, r.text) for r in html_extract.extract_pages(pages).collect()} == {(1, "u", "Some text, here"), (2, None, ""), (None, "u", "")}
