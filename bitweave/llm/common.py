@@ -81,9 +81,10 @@ def spread_join(many: DataFrame, one: DataFrame, on: list[str], by: list[str], h
 
 def growth(docs: DataFrame, unit: int = 30 << 30) -> float:
     """How far chunks and buckets grow beyond `unit` bytes of input, by Catalyst's estimate: with its root, so that a
-    chunk keeps its number of keys per bucket while both numbers grow with the root, too."""
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    return math.sqrt(min(max(size / unit, 1.0), 1e6))
+    chunk keeps its number of keys per bucket while both numbers grow with the root, too. 1 where the estimate is no
+    more than a default; results do not depend on it."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return math.sqrt(max(size / unit, 1.0)) if size < 1 << 50 else 1.0
 
 
 # --- texts packed into durable chunks -------------------------------------------------------------------------
@@ -180,16 +181,18 @@ def powers(n: int, base: int) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _P)
+_BYTE_2 = mix(np.arange(257, 513, dtype=np.uint64) * _P)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
+    """A 64-bit hash of each word's bytes; another one, independent of it, on demand."""
     if not len(starts):
         return np.empty(0, np.uint64)
     lens = ends - starts
     total = np.concatenate(([0], np.cumsum(lens)))
     place = np.arange(total[-1]) - np.repeat(total[:-1], lens)
-    value = _BYTE[buf[place + np.repeat(starts, lens)]] * powers(int(lens.max()), 0xC2B2AE3D27D4EB4F)[place]
+    table, base = (_BYTE_2, 0x9FB21C651E98DF25) if second else (_BYTE, 0xC2B2AE3D27D4EB4F)
+    value = table[buf[place + np.repeat(starts, lens)]] * powers(int(lens.max()), base)[place]
     return mix(np.add.reduceat(value, total[:-1]) + lens.astype(np.uint64))
 
 

@@ -88,7 +88,7 @@ def _frequencies(asked: DataFrame) -> DataFrame:
         out = np.empty(len(keys), np.uint8)
         out[order] = grade[np.cumsum(first) - 1]
         parts = np.split(out, np.cumsum([len(b) for b in blobs])[:-1])
-        return pa.table([pa.array([0] * len(blobs), pa.int32()), rows["chunk"], rows["bucket"], pa.array([p.tobytes() for p in parts], pa.binary())], schema=X._ANSWER)
+        return pa.table([pa.array([0] * len(blobs), pa.int32()), rows["chunk"], rows["bucket"], pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([len(p) for p in parts], pa.int64())], schema=X._ANSWER)
 
     return asked.groupBy("bucket").applyInArrow(owner, X.ANSWER_SCHEMA)
 
@@ -100,19 +100,18 @@ def shingle_sets(docs: DataFrame, width: int, percent: int, chunk_bytes: int = 3
     no partner. The others keep their shared shingles, and their prefix: the rarest ones, of which any partner holds
     at least one.
     """
-    spark = docs.sparkSession
-    chunks = written(pack_chunks(docs, chunk_bytes), "chunks", "uncompressed")
-    buckets = X.bucket_count(chunks.agg(F.sum("n_words")).first()[0] or 0, bucket_entries, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    more = growth(docs)
+    chunks = written(pack_chunks(docs, int(chunk_bytes * more)), "chunks", "uncompressed")
+    buckets = X.bucket_count(chunks.agg(F.sum("n_words")).first()[0] or 0, int(bucket_entries * more), partitions(docs.sparkSession))
 
     def ask(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 s = _Sets(row["lens"], unpack(row["texts"]), width)
                 keys, counts = s.keys(s.firsts())
-                at = X.edges(keys, buckets)
-                used = np.flatnonzero(at[1:] > at[:-1]).tolist()
-                short = keys.astype(np.uint32)
-                cols = [used, [row["chunk"]] * len(used), [short[at[b] : at[b + 1]].tobytes() for b in used], [counts[at[b] : at[b + 1]].tobytes() for b in used]]
+                used, at = X.edges(keys, buckets)
+                short, cuts = keys.astype(np.uint32), list(zip(at[:-1].tolist(), at[1:].tolist()))
+                cols = [used, [row["chunk"]] * len(used), [short[a:b].tobytes() for a, b in cuts], [counts[a:b].tobytes() for a, b in cuts]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, X._ASK)], schema=X._ASK)
 
     def keep(rows: pa.Table, found: pa.Table) -> pa.Table:
@@ -121,10 +120,11 @@ def shingle_sets(docs: DataFrame, width: int, percent: int, chunk_bytes: int = 3
             s = _Sets(row["lens"], unpack(row["texts"]), width)
             firsts = s.firsts()
             keys, _ = s.keys(firsts)
-            at = X.edges(keys, buckets)
+            used, at = X.edges(keys, buckets)
+            place = {b: i for i, b in enumerate(used.tolist())}
             grades = np.zeros(len(keys), np.uint8)
             for bucket, blob in zip(found["bucket"].to_pylist(), found["bits"].to_pylist()):
-                grades[at[bucket] : at[bucket + 1]] = np.frombuffer(blob, np.uint8)
+                grades[at[place[bucket]] : at[place[bucket] + 1]] = np.frombuffer(blob, np.uint8)
             tokens, prefix = [None] * len(s.sizes), [None] * len(s.sizes)
             for i in firsts.tolist():
                 own = s.values[s.at[i] : s.at[i + 1]]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .common import doc_starts, pack_chunks, unpack, window_hashes, word_bounds, word_hashes, written
+from .common import doc_starts, growth, pack_chunks, partitions, unpack, window_hashes, word_bounds, word_hashes, written
 
 OUT_SCHEMA = "doc_id long, n_words long, n_removed long, removed array<struct<start:long,length:long>>, kept_text string"
 _OUT = pa.schema(
@@ -48,25 +48,42 @@ class _Chunk:
         at = np.flatnonzero(ok)
         return at, window_hashes(self.hashes, length, seed=length)[at]
 
-    def repeated(self, lengths: list[int], rows: pa.Table, buckets: list[int]) -> np.ndarray | None:
-        """Per word: does a repeated window of the last of these lengths start here?"""
-        mask, before = None, 0
+    def seconds(self, length: int, at: np.ndarray) -> np.ndarray:
+        """Second 64 bits of the windows that start at these words, from other hashes of the words and other sums."""
+        if not len(at):
+            return np.empty(0, np.uint64)
+        return window_hashes(word_hashes(self.buf, self.starts, self.ends, second=True), length, seed=length + (1 << 20))[at]
+
+    def repeated(self, rows: pa.Table, lengths: list[int], buckets: int, exact: bool) -> np.ndarray:
+        """Per word: does a repeated window of the last of these lengths start here? exact: that is the last level."""
+        mask = None
         for level, length in enumerate(lengths):
-            at, keys = self.windows(length, mask, before)
-            members = X.read_answer(X.distinct(keys)[0], rows, level, buckets[level])
+            at, keys = self.windows(length, mask, lengths[level - 1])
             mask = np.zeros(len(self.hashes), bool)
-            mask[at[X.among(keys, members)]] = True
-            before = length
+            if not exact or level < len(lengths) - 1:
+                ordered = X.distinct(keys)[0]
+                mask[at[X.among(keys, ordered[X.read_answer(ordered, rows, level, buckets)])]] = True
+            elif len(keys):
+                second = self.seconds(length, at)
+                order = np.lexsort((second, keys))
+                ordered, second = keys[order], second[order]
+                first = np.concatenate(([True], (ordered[1:] != ordered[:-1]) | (second[1:] != second[:-1])))
+                mask[at[order[X.read_answer(ordered[first], rows, level, buckets)[np.cumsum(first) - 1]]]] = True
         return mask
 
 
-def remove_repeats(docs: DataFrame, window: int = 35, base: int = 18, chunk_bytes: int = 3 << 20, bucket_entries: int = 500_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 35, base: int = 9, chunk_bytes: int = 3 << 20, bucket_entries: int = 500_000) -> DataFrame:
     """Remove every word covered by a `window`-word sequence that starts at two or more places of the corpus.
 
-    Words are runs without ASCII white space, compared unchanged. Windows of about window/2, window/4, .. down to `base`
-    words are counted first; only where both halves repeat is the window of twice the length a candidate, and the
-    doubling ends at `window` words, or once no candidate survives. Every position of every text is counted; windows
-    are judged on the input. Keys are 64-bit hashes (32 bits within a bucket at the prefiltering levels).
+    Words are runs without ASCII white space, compared unchanged. Windows of window/4, window/2, .. words, from the
+    shortest of at least `base`, are counted first; only where both halves repeat is the window of twice the length a
+    candidate. The doubling ends at `window` words, or once no candidate survives. Every position of every text is
+    counted; windows are judged on the input. The shorter levels are prefilters with 32 bits of a window's hash within a
+    bucket, which may only let too many through; the last one compares 128 bits of two independent hashes.
+
+    Chunks of about chunk_bytes and buckets of about bucket_entries keys grow with the root of inputs beyond 30 GB, and
+    so does a task's memory: some 14 bytes a byte of the chunk's text, and 40 bytes a key of the bucket. A document is
+    in one chunk, so the longest one needs as much.
 
     docs needs doc_id and text; other columns are ignored. Returns one row per input row: doc_id, n_words, n_removed,
     removed (spans of word positions) and kept_text (the kept words joined by one space).
@@ -74,19 +91,18 @@ def remove_repeats(docs: DataFrame, window: int = 35, base: int = 18, chunk_byte
     repeated rows repeat each other's windows and so lose them. A text shorter than the window loses nothing.
     An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    chunks = written(pack_chunks(docs, chunk_bytes), "chunks", "uncompressed")
+    more = growth(docs)
+    chunks = written(pack_chunks(docs, int(chunk_bytes * more)), "chunks", "uncompressed")
     n_words = chunks.agg(F.sum("n_words")).first()[0] or 0
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lengths = levels(window, base)
+    buckets = X.bucket_count(n_words, int(bucket_entries * more), partitions(docs.sparkSession))
     done: DataFrame | None = None
-    buckets: list[int] = []
-    for level, length in enumerate(lengths):
+    for level in range(len(lengths)):
         exact = level == len(lengths) - 1
-        buckets.append(X.bucket_count(n_words, bucket_entries, least))
-        shape = (lengths[:level], list(buckets[:level]), length, buckets[level], exact)
-        asked = chunks.mapInArrow(_ask_all(*shape), X.ASK_SCHEMA) if done is None else _with_answers(chunks, done, _ask_some(*shape), X.ASK_SCHEMA)
+        asked = chunks.mapInArrow(_ask_all(lengths, buckets, exact), X.ASK_SCHEMA) if done is None else _with_answers(chunks, done, _ask_some(lengths[: level + 1], buckets, exact), X.ASK_SCHEMA)
         found = written(X.answers(asked, level, exact), f"answers{level}")
+        if not found.agg(F.sum("n")).first()[0]:  # no candidate survives
+            return chunks.mapInArrow(_whole, OUT_SCHEMA)
         done = found if done is None else done.unionByName(found)
     return _with_answers(chunks, done, _cut(lengths, buckets), OUT_SCHEMA)
 
@@ -95,28 +111,37 @@ def _with_answers(chunks: DataFrame, done: DataFrame, function, schema: str) ->
     return chunks.groupBy("chunk").cogroup(done.groupBy("chunk")).applyInArrow(function, schema)
 
 
-def _ask_all(lengths, buckets, length, here, exact):
+def _ask_all(lengths, buckets, exact):
     def function(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                keys, many = X.distinct(_Chunk(row["lens"], unpack(row["texts"])).windows(length, None, 0)[1])
-                yield X.ask(row["chunk"], keys, many, here, exact)
+                c = _Chunk(row["lens"], unpack(row["texts"]))
+                at, keys = c.windows(lengths[0], None, 0)
+                yield X.ask(row["chunk"], *X.distinct(keys, c.seconds(lengths[0], at) if exact else None), buckets)
 
     return function
 
 
-def _ask_some(lengths, buckets, length, here, exact):
+def _ask_some(lengths, buckets, exact):
     def function(rows: pa.Table, found: pa.Table) -> pa.Table:
         out = []
         for row in rows.to_pylist():
             c = _Chunk(row["lens"], unpack(row["texts"]))
-            keys, many = X.distinct(c.windows(length, c.repeated(lengths, found, buckets), lengths[-1])[1])
-            out.append(X.ask(row["chunk"], keys, many, here, exact))
+            at, keys = c.windows(lengths[-1], c.repeated(found, lengths[:-1], buckets, False), lengths[-2])
+            out.append(X.ask(row["chunk"], *X.distinct(keys, c.seconds(lengths[-1], at) if exact else None), buckets))
         return pa.Table.from_batches(out, schema=X._ASK)
 
     return function
 
 
+def _whole(batches):
+    """Nothing is repeated: every document as it is."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            c = _Chunk(row["lens"], unpack(row["texts"]))
+            yield _outcome(c, row["ids"], np.zeros(len(c.hashes), bool))
+
+
 def _cut(lengths, buckets):
     window = lengths[-1]
 
@@ -125,7 +150,7 @@ def _cut(lengths, buckets):
         for row in rows.to_pylist():
             c = _Chunk(row["lens"], unpack(row["texts"]))
             n = len(c.hashes)
-            start = c.repeated(lengths, found, buckets)
+            start = c.repeated(found, lengths, buckets, True)
             cover = np.zeros(n + window + 1, np.int32)
             at = np.flatnonzero(start)
             np.add.at(cover, at, 1)

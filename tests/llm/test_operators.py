@@ -91,6 +91,39 @@ def test_substring_levels():
     assert substring_dedup.levels(35, 18) == [18, 35] and substring_dedup.levels(35, 5) == [5, 9, 18, 35] and substring_dedup.levels(4, 9) == [4]
 
 
+def test_doubling_ends_without_candidates(spark, empty, monkeypatch):
+    """Where no window of a level is repeated, no later level is counted; texts are returned as they are."""
+    asked = []
+    answers = substring_dedup.X.answers
+    monkeypatch.setattr(substring_dedup.X, "answers", lambda rows, level, exact: (asked.append((level, exact)), answers(rows, level, exact))[1])
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(100)), "en", "s") for i in range(5)] + [(None, None, "en", "s")]
+    out = substring_dedup.remove_repeats(documents(spark, rows), 35).collect()
+    assert asked == [(0, False)] and all(r.n_removed == 0 and not r.removed for r in out)
+    assert sorted(key((r.doc_id, r.kept_text)) for r in out) == sorted(key((i, t or "")) for i, t, *_ in rows)
+    assert substring_dedup.remove_repeats(empty).count() == 0
+
+
+def test_last_level_compares_128_bits(monkeypatch, docs, rows):
+    """With first halves that all collide, the second halves still tell windows apart."""
+    monkeypatch.setattr(substring_dedup, "levels", lambda window, base: [window])
+    plain = substring_dedup.window_hashes
+    c = substring_dedup._Chunk([len(t.encode()) for t in ("a b c", "a b d", "a b c")], b"a b c\na b d\na b c")
+    at = np.array([0, 3, 6])
+    second = c.seconds(3, at)
+    keys, many, halves = substring_dedup.X.distinct(np.zeros(3, np.uint64), second)
+    assert second[0] == second[2] != second[1] and len(keys) == 2 and sorted(many.tolist()) == [False, True] and len(halves) == 2
+    assert (second != plain(c.hashes, 3, seed=3)[at]).all()
+
+
+@pytest.mark.parametrize("buckets", [1, 2, 7, 1000, 1 << 20])
+def test_buckets_of_keys(buckets):
+    keys = np.sort(np.random.default_rng(0).integers(0, 2**64, 5000, np.uint64))
+    keys[-1], keys[0] = 2**64 - 1, 0
+    used, at = substring_dedup.X.edges(keys, buckets)
+    assert at[0] == 0 and at[-1] == len(keys) and (np.diff(used) > 0).all() and used[-1] == buckets - 1 and used[0] == 0
+    assert all(((int(k) >> 32) * buckets) >> 32 == u for u, a, b in zip(used.tolist(), at, at[1:]) for k in keys[a:b][:3])
+
+
 # --- 2
 
 
