@@ -8,20 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
-
-BLOCK_SCHEMA = "block long, dims int, n int, codes binary, edges binary, vectors binary, members array<array<long>>"
-_BLOCK = pa.schema(
-    [("block", pa.int64()), ("dims", pa.int32()), ("n", pa.int32()), ("codes", pa.binary()), ("edges", pa.binary()), ("vectors", pa.binary()), ("members", pa.list_(pa.list_(pa.int64())))]
-)
-QUERY_SCHEMA = "group long, dims int, ids array<long>, wanted binary"
-_QUERY = pa.schema([("group", pa.int64()), ("dims", pa.int32()), ("ids", pa.list_(pa.int64())), ("wanted", pa.binary())])
-SCAN_SCHEMA = "group long, floors binary, block array<long>, place array<int>, query array<int>, bound array<long>"
-_SCAN = pa.schema([("group", pa.int64()), ("floors", pa.binary()), ("block", pa.list_(pa.int64())), ("place", pa.list_(pa.int32())), ("query", pa.list_(pa.int32())), ("bound", pa.list_(pa.int64()))])
-WANT_SCHEMA = "block long, place int, group long, query array<int>, bound array<long>"
-_WANT = pa.schema([("block", pa.int64()), ("place", pa.int32()), ("group", pa.int64()), ("query", pa.list_(pa.int32())), ("bound", pa.list_(pa.int64()))])
-OUT_SCHEMA = "query_id long, rank int, vec_id long, score long"
-_OUT = pa.schema([("query_id", pa.int64()), ("rank", pa.int32()), ("vec_id", pa.int64()), ("score", pa.int64())])
+from .common import discard, partitions, written
+
+BLOCK_SCHEMA = "block long, dims int, n int, codes binary, edges binary, vectors array<array<long>>, members array<array<long>>"
+_LISTS = pa.list_(pa.list_(pa.int64()))
+_BLOCK = pa.schema([("block", pa.int64()), ("dims", pa.int32()), ("n", pa.int32()), ("codes", pa.binary()), ("edges", pa.binary()), ("vectors", _LISTS), ("members", _LISTS)])
+QUERY_SCHEMA = "group long, dims int, ids array<long>, ranks array<int>, wanted array<array<long>>"
+_QUERY = pa.schema([("group", pa.int64()), ("dims", pa.int32()), ("ids", pa.list_(pa.int64())), ("ranks", pa.list_(pa.int32())), ("wanted", _LISTS)])
+FLOOR_SCHEMA = "group long, floors binary"
+_FLOOR = pa.schema([("group", pa.int64()), ("floors", pa.binary())])
+FOUND_SCHEMA = "group long, query int, block long, place int, bound long"
+_FOUND = pa.schema([("group", pa.int64()), ("query", pa.int32()), ("block", pa.int64()), ("place", pa.int32()), ("bound", pa.int64())])
+LEAST = np.iinfo(np.int64).min
+DEEPEST = 64  # own vectors of a query's id that its floor can allow for; with more it has none
 
 
 def whole_numbers(embedding, scale: int = 256):
@@ -30,8 +29,8 @@ def whole_numbers(embedding, scale: int = 256):
     return F.when(embedding.isNotNull() & ~bad, F.transform(embedding, lambda x: F.floor(x.cast("double") * scale).cast("long")))
 
 
-def _rows(column) -> np.ndarray:
-    return np.array(column.to_pylist(), np.int64)
+def _rows(column, dims: int) -> np.ndarray:
+    return np.array(column.to_pylist(), np.int64).reshape(len(column), dims)
 
 
 def _by_dims(batch, at: int):
@@ -65,11 +64,14 @@ def bounds(wanted: np.ndarray, codes: np.ndarray, edges: np.ndarray) -> tuple[np
 
 
 def build(vectors: DataFrame, k: int, bits: int, block: int) -> DataFrame:
-    """The file's blocks of distinct vectors: cell codes and cell edges, and apart from them the exact vectors, each with
-    its k + 1 smallest ids (no later copy can be among a query's k results)."""
-    first = Window.partitionBy("v").orderBy("vec_id")
-    few = vectors.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k + 1)
-    distinct = few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    """The file's blocks of distinct vectors: cell codes and cell edges, and in columns of their own the exact vectors,
+    each with its smallest ids: k occurrences of an id at most, and 2k in all. A query leaves out one id, so its k
+    results are among them, however many copies there are."""
+    ids = vectors.groupBy("v", "vec_id").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("n"))
+    nth = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    few = ids.withColumn("nth", nth).where(F.col("nth") <= 2 * k)
+    each = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "n"))), lambda x: F.array_repeat(x["vec_id"], x["n"])))
+    distinct = few.groupBy("v").agg(F.slice(each, 1, 2 * k).alias("ids"))
 
     def pack(batches):
         from pyspark import TaskContext
@@ -79,146 +81,137 @@ def build(vectors: DataFrame, k: int, bits: int, block: int) -> DataFrame:
             for dims, rows in _by_dims(batch, 0):
                 for i in range(0, len(rows), block):
                     some = batch.take(pa.array(rows[i : i + block]))
-                    v = _rows(some.column(0)).reshape(-1, dims)
+                    v = _rows(some.column(0), dims)
                     codes, edges = cells(v, bits) if dims else (np.zeros((len(v), 0), np.uint8), np.zeros((2, 0), np.int64))
-                    yield pa.RecordBatch.from_pylist(
-                        [{"block": part << 32 | seq, "dims": dims, "n": len(v), "codes": codes.tobytes(), "edges": edges.tobytes(), "vectors": v.tobytes(), "members": some.column(1).to_pylist()}], schema=_BLOCK
-                    )
+                    row = {"block": part << 32 | seq, "dims": dims, "n": len(v), "codes": codes.tobytes(), "edges": edges.tobytes(), "vectors": some.column(0).to_pylist(), "members": some.column(1).to_pylist()}
+                    yield pa.RecordBatch.from_pylist([row], schema=_BLOCK)
                     seq += 1
 
     return written(distinct.select("v", "ids").mapInArrow(pack, BLOCK_SCHEMA), "vectors")
 
 
-def _query_groups(queries: DataFrame, size: int) -> DataFrame:
+def _query_groups(queries: DataFrame, vectors: DataFrame, k: int, size: int) -> DataFrame:
+    """Queries in groups of one length. A query's floor is its (k + own)th greatest lower bound, own being the number of
+    different vectors with the query's id; 0 stands for no floor."""
+    own = vectors.select("vec_id", F.xxhash64("v").alias("h")).distinct().groupBy("vec_id").agg(F.count(F.lit(1)).alias("own"))
+    rank = F.when(F.coalesce("own", F.lit(0)) <= DEEPEST, F.coalesce("own", F.lit(0)) + k).otherwise(0).cast("int")
+
     def pack(batches):
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for dims, rows in _by_dims(batch, 1):
+            for dims, rows in _by_dims(batch, 2):
                 for i in range(0, len(rows), size):
-                    some = batch.take(pa.array(rows[i : i + size]))
-                    yield pa.RecordBatch.from_pylist([{"group": part << 32 | seq, "dims": dims, "ids": some.column(0).to_pylist(), "wanted": _rows(some.column(1)).tobytes()}], schema=_QUERY)
+                    ids, ranks, v = (c.to_pylist() for c in batch.take(pa.array(rows[i : i + size])).columns)
+                    yield pa.RecordBatch.from_pylist([{"group": part << 32 | seq, "dims": dims, "ids": ids, "ranks": ranks, "wanted": v}], schema=_QUERY)
                     seq += 1
 
-    return written(queries.select("vec_id", "v").mapInArrow(pack, QUERY_SCHEMA), "queries")
-
-
-def _scan(k: int):
-    """Scan cells: per group of queries, the k + 1 greatest lower bounds seen by this task, and the cells whose upper
-    bound reaches them."""
-
-    def scan(batches):
-        floors: dict[int, np.ndarray] = {}
-        found: dict[int, list] = {}
-        for batch in batches:
-            for r in batch.to_pylist():
-                dims, group = r["dims"], r["group"]
-                q = np.frombuffer(r["wanted"], np.int64).reshape(len(r["ids"]), dims)
-                low, high = bounds(q, np.frombuffer(r["codes"], np.uint8).reshape(r["n"], dims), np.frombuffer(r["edges"], np.int64).reshape(2, dims))
-                best = np.concatenate((floors.get(group, np.full((len(q), k + 1), np.iinfo(np.int64).min)), low), axis=1)
-                floors[group] = -np.sort(-np.partition(best, best.shape[1] - k - 1, axis=1)[:, -k - 1 :], axis=1)
-                query, place = np.nonzero(high >= floors[group][:, -1:])
-                found.setdefault(group, []).append((np.full(len(query), r["block"]), place, query, high[query, place]))
-        for group, parts in found.items():
-            block, place, query, bound = (np.concatenate(c) for c in zip(*parts))
-            ok = bound >= floors[group][query, -1]
-            yield pa.RecordBatch.from_pylist([{"group": group, "floors": floors[group].tobytes(), "block": block[ok], "place": place[ok], "query": query[ok], "bound": bound[ok]}], schema=_SCAN)
-
-    return scan
-
-
-def _settle(k: int):
-    """The floors of all tasks together decide which cells' exact vectors each group has to read."""
-
-    def settle(rows: pa.Table) -> pa.Table:
-        floors = [np.frombuffer(b, np.int64).reshape(-1, k + 1) for b in rows["floors"].to_pylist()]
-        floor = -np.sort(-np.concatenate(floors, axis=1), axis=1)[:, k]
-        block, place, query, bound = (rows[c].combine_chunks().flatten().to_numpy() for c in ("block", "place", "query", "bound"))
-        ok = bound >= floor[query]
-        block, place, query, bound = block[ok], place[ok], query[ok], bound[ok]
-        order = np.lexsort((place, block))
-        block, place, query, bound = block[order], place[order], query[order], bound[order]
-        new = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (place[1:] != place[:-1])))) if len(block) else np.empty(0, np.int64)
-        at = pa.array(np.append(new, len(block)), pa.int32())
-        group = [rows["group"][0].as_py()] * len(new)
-        return pa.table([pa.array(block[new]), pa.array(place[new], pa.int32()), pa.array(group, pa.int64()), pa.ListArray.from_arrays(at, pa.array(query, pa.int32())), pa.ListArray.from_arrays(at, pa.array(bound))], schema=_WANT)
-
-    return settle
-
-
-def _fetch(rows: pa.Table, stored: pa.Table) -> pa.Table:
-    """The exact vectors and ids of the wanted places of a block."""
-    if not len(stored):
-        return pa.table([pa.array([], f.type) for f in _FETCHED], schema=_FETCHED)
-    dims = stored["dims"][0].as_py()
-    v = np.frombuffer(stored["vectors"][0].as_py(), np.int64).reshape(-1, dims)
-    place = rows["place"].to_pylist()
-    ids = stored["members"][0].as_py()
-    cols = [rows["group"], pa.array([v[p].tobytes() for p in place], pa.binary()), pa.array([ids[p] for p in place], pa.list_(pa.int64())), rows["query"], rows["bound"]]
-    return pa.table([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols], schema=_FETCHED)
-
-
-FETCHED_SCHEMA = "group long, vector binary, members array<long>, query array<int>, bound array<long>"
-_FETCHED = pa.schema([("group", pa.int64()), ("vector", pa.binary()), ("members", pa.list_(pa.int64())), ("query", pa.list_(pa.int32())), ("bound", pa.list_(pa.int64()))])
-
-
-def _finish(k: int):
-    """Per query, read exact vectors in descending order of their bound until no bound reaches the kth score."""
-
-    def finish(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        ids, dims = asked["ids"][0].as_py(), asked["dims"][0].as_py()
-        wanted = np.frombuffer(asked["wanted"][0].as_py(), np.int64).reshape(len(ids), dims)
-        vectors = [np.frombuffer(b, np.int64) for b in rows["vector"].to_pylist()]
-        members = rows["members"].to_pylist()
-        query = rows["query"].combine_chunks().flatten().to_numpy()
-        bound = rows["bound"].combine_chunks().flatten().to_numpy()
-        row = np.repeat(np.arange(len(vectors)), [len(x) for x in rows["query"]])
-        order = np.lexsort((-bound, query))
-        out = []
-        starts = np.searchsorted(query[order], np.arange(len(ids) + 1))
-        for q, own in enumerate(ids):
-            mine = order[starts[q] : starts[q + 1]]
-            best: list[tuple[int, int]] = []  # (-score, id)
-            for i in range(0, len(mine), 64):
-                some = mine[i : i + 64]
-                if len(best) >= k and bound[some[0]] < -best[k - 1][0]:
-                    break
-                scores = product(wanted[q : q + 1], np.stack([vectors[j] for j in row[some]]))[0].tolist()
-                best = sorted(best + [(-s, m) for s, j in zip(scores, row[some].tolist()) for m in members[j] if m != own])[:k]
-            out += [(own, r + 1, m, -s) for r, (s, m) in enumerate(best)]
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 4, _OUT)], schema=_OUT)
-
-    return finish
-
-
-def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 5, bits: int = 6, block: int = 2048, group: int = 128) -> DataFrame:
+    return written(queries.join(own, "vec_id", "left").select("vec_id", rank.alias("rank"), "v").mapInArrow(pack, QUERY_SCHEMA), "queries")
+
+
+def _wanted(row: dict) -> np.ndarray:
+    return np.array(row["wanted"], np.int64).reshape(len(row["ids"]), row["dims"])
+
+
+def _cells_of(rows: pa.Table):
+    """(block number, codes, edges) of each block."""
+    for r in rows.to_pylist():
+        yield r["block"], r["dims"], np.frombuffer(r["codes"], np.uint8).reshape(r["n"], r["dims"]), np.frombuffer(r["edges"], np.int64).reshape(2, r["dims"])
+
+
+def _floors(blocks: pa.Table, groups: pa.Table) -> pa.Table:
+    """Per group of queries, the greatest lower bounds in these blocks, as many as the group's deepest floor needs."""
+    out, cells_ = [], list(_cells_of(blocks))
+    for r in groups.to_pylist():
+        depth = max(r["ranks"])
+        if not depth:
+            continue
+        q = _wanted(r)
+        best = np.full((len(q), depth), LEAST)
+        for _, dims, codes, edges in cells_:
+            if dims == r["dims"]:
+                best = np.concatenate((best, bounds(q, codes, edges)[0]), axis=1)
+                best = np.partition(best, best.shape[1] - depth, axis=1)[:, -depth:]
+        out.append({"group": r["group"], "floors": best.tobytes()})
+    return pa.Table.from_pylist(out, schema=_FLOOR)
+
+
+def _settle(floors: pa.Table, groups: pa.Table) -> pa.Table:
+    """Each query's floor over all blocks."""
+    r = groups.to_pylist()[0]
+    ranks = np.array(r["ranks"])
+    depth = max(int(ranks.max()), 1)
+    all_ = [np.full((len(ranks), depth), LEAST), *(np.frombuffer(b, np.int64).reshape(len(ranks), depth) for b in floors["floors"].to_pylist())]
+    best = -np.sort(-np.concatenate(all_, axis=1), axis=1)
+    floor = np.where(ranks > 0, best[np.arange(len(ranks)), np.maximum(ranks, 1) - 1], LEAST)
+    return pa.Table.from_pylist([{"group": r["group"], "floors": floor.tobytes()}], schema=_FLOOR)
+
+
+def _candidates(blocks: pa.Table, groups: pa.Table) -> pa.Table:
+    """The cells whose upper bound reaches a query's floor."""
+    parts, cells_ = [], list(_cells_of(blocks))
+    for r in groups.to_pylist():
+        q, floor = _wanted(r), np.frombuffer(r["floors"], np.int64)
+        for block, dims, codes, edges in cells_:
+            if dims == r["dims"]:
+                high = bounds(q, codes, edges)[1]
+                query, place = np.nonzero(high >= floor[:, None])
+                n = len(query)
+                cols = [np.full(n, r["group"]), query.astype(np.int32), np.full(n, block), place.astype(np.int32), high[query, place]]
+                parts.append(pa.table([pa.array(c, f.type) for c, f in zip(cols, _FOUND)], schema=_FOUND))
+    return pa.concat_tables(parts) if parts else _FOUND.empty_table()
+
+
+def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 5, bits: int = 6, block: int = 2048, group: int = 128, first: int = 4) -> DataFrame:
     """Exact k best rows of `embeddings` for each row of `queries` by inner product of floor(256 * x) components.
 
-    The vector-approximation file holds, per block of vectors, `bits` bits per dimension. Groups of queries scan all
-    cells for lower and upper bounds; the k + 1 greatest lower bounds of a query leave few cells whose upper bound
-    reaches them; only their exact vectors are read, in the order of their bounds until the kth result is certain.
-    Queries meet the blocks partition by partition (a stated query set against all rows, in blocks).
+    The vector-approximation file holds, per block of vectors, `bits` bits per dimension. Batches of query groups meet
+    lanes of blocks (a stated query set against all rows, in blocks): a first scan of the cells gives each query its
+    floor, the greatest lower bounds over all blocks; a second one the cells whose upper bound reaches it. Their exact
+    vectors are read in rounds, in descending order of the bounds, `first` * k at first and four times as many in each
+    later round, for as long as a query's next bound reaches its kth score.
 
     Both frames need vec_id and embedding; other columns are ignored. Returns query_id, rank (from 1), vec_id, score;
-    ties go to the smaller vec_id; fewer than k if there are fewer. A row with the query's vec_id is no candidate.
+    ties go to the smaller vec_id; fewer than k if there are fewer. Rows with the query's vec_id are no candidates.
     Vectors that are null or hold null or non-finite components, and rows without vec_id, take no part; vectors of
-    another length are no candidates. Repeated query rows are answered once; a repeated candidate row is one candidate
-    per occurrence. No queries or no candidates give an empty result.
+    another length are no candidates; vectors of length 0 have score 0. Repeated query rows are answered once; a repeated
+    candidate row is one candidate per occurrence. No queries or no candidates give an empty result.
     """
-    n = int(embeddings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions(embeddings.sparkSession)
     vectors, wanted = (d.select(F.col("vec_id").cast("long").alias("vec_id"), whole_numbers(F.col("embedding")).alias("v")).where("v IS NOT NULL AND vec_id IS NOT NULL") for d in (embeddings, queries))
     stored = build(vectors, k, bits, block)
-    asked = _query_groups(wanted.distinct(), group)
-    lanes = asked.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    approximations = stored.select("block", "dims", "n", "codes", "edges").withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(n)).cast("int"))
-    met = approximations.join(lanes, ["lane", "dims"]).select("dims", "n", "codes", "edges", "block", "group", "ids", "wanted")
-    seen = met.mapInArrow(_scan(k), SCAN_SCHEMA)
-    needed = seen.groupBy("group").applyInArrow(_settle(k), WANT_SCHEMA)
-    exact = stored.select("block", "dims", "vectors", "members")
-    fetched = needed.groupBy("block").cogroup(exact.groupBy("block")).applyInArrow(_fetch_some, FETCHED_SCHEMA)
-    return fetched.groupBy("group").cogroup(asked.groupBy("group")).applyInArrow(_finish(k), OUT_SCHEMA)
-
-
-def _fetch_some(rows: pa.Table, stored: pa.Table) -> pa.Table:
-    return _fetch(rows, stored) if len(rows) else _fetch(rows, stored.slice(0, 0))
+    asked = _query_groups(wanted.distinct(), vectors, k, group)
+    lanes, batches = max(n, -(-stored.count() // 16)), max(1, -(-asked.count() // 8))
+    lane, batch = F.pmod(F.xxhash64("block"), F.lit(lanes)), F.pmod(F.xxhash64("group"), F.lit(batches))
+    approximations = stored.select("block", "dims", "n", "codes", "edges", lane.alias("lane"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(batches - 1).cast("long"))).alias("batch"))
+
+    def meet(groups, function, schema):
+        groups = groups.select("*", batch.alias("batch"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))).alias("lane"))
+        return approximations.groupBy("lane", "batch").cogroup(groups.groupBy("lane", "batch")).applyInArrow(function, schema)
+
+    floors = written(meet(asked, _floors, FLOOR_SCHEMA).groupBy("group").cogroup(asked.groupBy("group")).applyInArrow(_settle, FLOOR_SCHEMA), "floors")
+    found = meet(asked.join(floors, "group"), _candidates, FOUND_SCHEMA)
+    order = Window.partitionBy("group", "query").orderBy(F.col("bound").desc(), "block", "place")
+    found = written(found.withColumn("turn", F.row_number().over(order)), "candidates")
+    exact = stored.select("block", F.posexplode(F.arrays_zip("vectors", "members")).alias("place", "x")).select("block", "place", F.col("x.vectors").alias("v"), F.col("x.members").alias("members"))
+    single = asked.select("group", F.posexplode(F.arrays_zip("ids", "wanted")).alias("query", "x")).select("group", "query", F.col("x.ids").alias("query_id"), F.col("x.wanted").alias("w"))
+    score = F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0).cast("long"), lambda a, b: a + b)
+    best, done, upto = None, 0, first * k
+    open_ = asked.select("group", F.posexplode("ids").alias("query", "query_id")).select("group", "query")
+    while True:
+        turn = found.where(f"turn > {done} AND turn <= {upto}").join(open_, ["group", "query"], "left_semi")
+        read = turn.join(exact, ["block", "place"]).join(single, ["group", "query"])
+        read = read.select("group", "query", "query_id", score.alias("score"), F.explode("members").alias("vec_id")).where("vec_id <> query_id")
+        every = read if best is None else best.drop("rank").unionByName(read)
+        rank = F.row_number().over(Window.partitionBy("group", "query").orderBy(F.col("score").desc(), "vec_id"))
+        last, best = best, written(every.withColumn("rank", rank).where(F.col("rank") <= k), "best")
+        if last is not None:
+            discard(last)
+        # a query is settled once its next bound is below its kth score
+        kth = best.where(F.col("rank") == k).select("group", "query", F.col("score").alias("kth"))
+        further = found.where(f"turn = {upto + 1}").select("group", "query", "bound").join(open_, ["group", "query"], "left_semi").join(kth, ["group", "query"], "left")
+        open_ = written(further.where("kth IS NULL OR bound >= kth").select("group", "query"), "open")
+        if open_.isEmpty():
+            return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        done, upto = upto, 4 * upto

@@ -251,6 +251,35 @@ def test_top_k(spark):
     assert va_file.top_k(frame.limit(0), frame.limit(0), 5).count() == 0 and va_file.top_k(frame, frame.limit(0), 5).count() == 0
 
 
+@pytest.mark.parametrize("first", [1, 4])
+def test_top_k_of_repeated_ids(spark, first):
+    """Ids that occur often, with one vector or many, and vectors of several lengths."""
+    rng = random.Random(6)
+    rows = [(rng.choice([0, 0, 0, *range(1, 40)]), [rng.choice([0.0, 0.5, 1.0, 2.0]) for _ in range(3)]) for _ in range(150)]
+    rows += [(0, [2.0, 2.0, 2.0])] * 12 + [(1, [2.0, 2.0, 2.0])] * 3 + [(50, []), (7, []), (8, []), (100, [1.0]), (50, [3.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = va_file.top_k(frame, frame.where("vec_id % 50 = 0"), 5, 2, 8, 2, first).collect()
+    want = []
+    for q, v in {(i, tuple(v)) for i, v in rows if i % 50 == 0}:
+        scores = sorted((-sum(int(256 * a) * int(256 * b) for a, b in zip(v, w)), i) for i, w in rows if i != q and len(w) == len(v))
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:5])]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_exact_vectors_are_read_in_rounds(spark, monkeypatch):
+    """No candidate beyond a query's last round is read, and rounds go on until the kth score is certain."""
+    rounds = []
+    written = va_file.written
+    monkeypatch.setattr(va_file, "written", lambda df, name: (rounds.append(name), written(df, name))[1])
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(0, 1, 16)]) for i in range(400)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for bits, least in ((1, 2), (8, 1)):
+        rounds.clear()
+        got = va_file.top_k(frame, frame.where("vec_id % 50 = 0"), 5, bits, 64, 4, 1).collect()
+        assert sorted(map(tuple, got)) == brute.top_k(rows, 50, 5) and rounds.count("best") >= least
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(1)
     v, q = rng.integers(-300, 300, (50, 7)), rng.integers(-300, 300, (9, 7))
