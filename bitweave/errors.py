@@ -7,3 +7,7 @@ class ModeCountError(ValueError):
 
 class StaleFunctionalError(RuntimeError):
     """A functional was called after the propagator it was built from had changed."""
+
+
+class ToleranceOrderError(ValueError, RuntimeError):
+    """upper_atol would lie below lower_atol."""

@@ -55,6 +55,10 @@ class Algebra:
         if self.basis not in ("majorana", "pauli"):
             raise ValueError(f"unknown basis {self.basis!r}")
 
+    def partner_mask(self, g: int) -> int:
+        """The slots whose parity decides anticommutation with g (with an odd Majorana g the length's counts, too)."""
+        return swapped(g) if self.basis == "pauli" else g
+
     # SQL text; w is the list of word expressions
 
     def anticommutes(self, w: list[str], g: int) -> str:

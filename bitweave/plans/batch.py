@@ -1,14 +1,17 @@
 """Batches of rotations with one shuffle: cosets of the generators' span are rotated where they meet.
 
 Every rotation by g in a span S takes a monomial m within m ^ S, and truncation looks at m and m ^ g alone. Rows are
-dealt by their coset's representative, and a numpy kernel lays each coset out as 2**rank cells, in which a rotation is
-an XOR of the cell number. k rotations then cost one shuffle instead of k, and no search for partners.
+dealt by their coset's representative, so partners are always in one bucket, and a numpy kernel rotates a bucket gate
+after gate: it sorts the rows that anticommute by the hash of their pair's lower end and finds partners side by side.
+The lower end of a pair lacks the generator's lowest slot. k rotations cost one shuffle instead of k; a table that fits
+one task needs none, whatever the span.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -58,16 +61,6 @@ class Span:
         self.pivots.append(p)
         return True
 
-    def index(self, g: int) -> int:
-        """Which of the 2**rank combinations g is."""
-        return sum((g >> p & 1) << i for i, p in enumerate(self.pivots))
-
-    def combinations(self) -> list[int]:
-        out = [0]
-        for v in self.vectors:
-            out += [c ^ v for c in out]
-        return out
-
     def representative(self, w: list[str]) -> list[str]:
         """SQL text of the words of the coset's representative: all pivot slots clear."""
         words = len(w)
@@ -78,107 +71,108 @@ class Span:
         return out
 
 
-def batches(rotations: list[Rotation], max_rank: int = 6, max_rotations: int = 64) -> list[list[Rotation]]:
-    """Consecutive rotations whose generators span at most max_rank dimensions. A coset has 2**max_rank cells."""
+def batches(rotations: list[Rotation], max_rank: int | None = 6, max_rotations: int = 256) -> list[list[Rotation]]:
+    """Consecutive rotations whose generators span at most max_rank dimensions (None: any number)."""
     out: list[list[Rotation]] = []
     span = Span([], [])
     for r in rotations:
         if not r.g:
             continue
-        trial = Span(list(span.vectors), list(span.pivots))
-        trial.add(r.g)
-        if not out or len(trial.vectors) > max_rank or len(out[-1]) >= max_rotations:
+        grown = max_rank is not None and span.add(r.g)
+        if not out or (grown and len(span.vectors) > max_rank) or len(out[-1]) >= max_rotations:
             out.append([])
-            trial = Span.of([r.g])
+            span = Span.of([r.g])
         out[-1].append(r)
-        span = trial
     return out
 
 
-class _Cosets:
-    """Rows of whole cosets, laid out as arrays of shape (cosets, 2**rank)."""
-
-    def __init__(self, span: Span, algebra: Algebra, m: np.ndarray):
-        self.span, words = span, algebra.words
-        one = np.uint64(1)
-        cell, rep = np.zeros(len(m), np.int64), m.copy()
-        for i, (v, p) in enumerate(zip(span.vectors, span.pivots)):
-            bit = (m[:, p // 64] >> np.uint64(p % 64)) & one
-            cell |= bit.astype(np.int64) << i
-            rep ^= bit[:, None] * B.np_words(v, words)
-        self.reps, coset = _distinct(rep)
-        self.at = (coset, cell)
-        shape = (len(self.reps), 1 << len(span.vectors))
-        combos = np.stack([B.np_words(c, words) for c in span.combinations()])
-        self.m = self.reps[:, None, :] ^ combos[None, :, :]
-        self.present = np.zeros(shape, bool)
-        self.present[self.at] = True
-        self.shape = shape
-
-    def lay(self, values: np.ndarray, fill=0.0) -> np.ndarray:
-        out = np.full(self.shape, fill, values.dtype)
-        out[self.at] = values
-        return out
+# --- rows of one bucket ---------------------------------------------------------------------------------------
+
+
+class Collision(RuntimeError):
+    """Two monomials of one bucket have the same hash; another salt tells them apart."""
+
+
+@lru_cache(maxsize=16)
+def _hash_tables(words: int, salt: int) -> np.ndarray:
+    """Random 64-bit values for each byte of each word, additive over XOR."""
+    bits = np.random.default_rng(salt).integers(0, 1 << 64, (words, 8, 8), np.uint64)
+    out = np.zeros((words, 8, 256), np.uint64)
+    for i in range(8):
+        has = (np.arange(256) >> i & 1).astype(bool)
+        out[:, :, has] ^= bits[:, :, i : i + 1]
+    return out
 
-    def find(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Coset and cell of monomials that lie in these cosets."""
-        words = m.shape[1]
-        cell, rep = np.zeros(len(m), np.int64), m.copy()
-        for i, (v, p) in enumerate(zip(self.span.vectors, self.span.pivots)):
-            bit = (m[:, p // 64] >> np.uint64(p % 64)) & np.uint64(1)
-            cell |= bit.astype(np.int64) << i
-            rep ^= bit[:, None] * B.np_words(v, words)
-        return np.searchsorted(_comparable(self.reps), _comparable(rep)), cell
-
-
-#: Cells that a kernel lays out at a time: bounds its memory however many cosets a bucket holds.
-CELLS = 1 << 19
-
-
-def _slices(span: Span, words: int, table: pa.Table, found: pa.Table | None = None):
-    """The table, and the recorded pairs that lie in its cosets, in parts of whole cosets."""
-    reps, coset = _distinct(_representatives(span, _words(table, words)))
-    each = max(1, CELLS >> len(span.vectors))
-    if len(reps) <= each:
-        yield table, found
-        return
-    part = coset // each
-    order, parts = np.argsort(part, kind="stable"), -(-len(reps) // each)
-    at = np.searchsorted(part[order], np.arange(parts + 1))
-    if found is not None and len(found):
-        own = np.searchsorted(_comparable(reps), _comparable(_representatives(span, _words(found, words)))) // each
-        own_order = np.argsort(own, kind="stable")
-        own_at = np.searchsorted(own[own_order], np.arange(parts + 1))
-    for i in range(parts):
-        some = found if found is None or not len(found) else found.take(own_order[own_at[i] : own_at[i + 1]])
-        yield table.take(order[at[i] : at[i + 1]]), some
-
-
-def _representatives(span: Span, m: np.ndarray) -> np.ndarray:
-    rep = m.copy()
-    for v, p in zip(span.vectors, span.pivots):
-        bit = (m[:, p // 64] >> np.uint64(p % 64)) & np.uint64(1)
-        rep ^= bit[:, None] * B.np_words(v, m.shape[1])
-    return rep
-
-
-def _comparable(m: np.ndarray) -> np.ndarray:
-    """Rows as one sortable value each, in the order that _distinct sorts them."""
+
+def linear_hash(m: np.ndarray, salt: int) -> np.ndarray:
+    """A 64-bit hash with h(a ^ b) = h(a) ^ h(b); of one word the word itself."""
     if m.shape[1] == 1:
-        return m[:, 0]
-    return np.ascontiguousarray(m).view([("", np.uint64)] * m.shape[1])[:, 0]
+        return m[:, 0].copy()
+    tables, out = _hash_tables(m.shape[1], salt), np.zeros(len(m), np.uint64)
+    for w in range(m.shape[1]):
+        for i in range(8):
+            out ^= tables[w, i][(m[:, w] >> np.uint64(8 * i)) & np.uint64(255)]
+    return out
+
+
+class _Rows:
+    """A bucket's rows as columns with room to grow: words, hash, coefficient and the layer that inserted each."""
+
+    def __init__(self, m: np.ndarray, c: np.ndarray, born: np.ndarray, salt: int):
+        self.n, self.salt, self.words = len(m), salt, m.shape[1]
+        self._columns = [*(np.ascontiguousarray(m[:, w]) for w in range(self.words)), linear_hash(m, salt), np.array(c, float), np.array(born, np.int32)]
+
+    def append(self, m: np.ndarray, hashes: np.ndarray, c: np.ndarray, born: int) -> None:
+        n = self.n + len(m)
+        if n > len(self._columns[0]):
+            self._columns = [np.concatenate((x[: self.n], np.empty(max(n, 2 * self.n, 64) - self.n, x.dtype))) for x in self._columns]
+        for x, new in zip(self._columns, [*(m[:, w] for w in range(self.words)), hashes, c, born]):
+            x[self.n : n] = new
+        self.n = n
+
+    @property
+    def hash(self) -> np.ndarray:
+        return self._columns[self.words][: self.n]
+
+    @property
+    def c(self) -> np.ndarray:
+        return self._columns[self.words + 1][: self.n]
 
+    @property
+    def born(self) -> np.ndarray:
+        return self._columns[self.words + 2][: self.n]
 
-def _distinct(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys, where = np.unique(_comparable(m), return_inverse=True)
-    return keys.view(np.uint64).reshape(len(keys), m.shape[1]), where
+    def monomials(self, at=slice(None)) -> np.ndarray:
+        return np.stack([x[: self.n][at] for x in self._columns[: self.words]], axis=1)
 
+    def anticommuting(self, algebra: Algebra, g: int) -> np.ndarray:
+        """Places of the rows that anticommute with g: a parity over the words that g touches."""
+        odd = algebra.basis == "majorana" and g.bit_count() % 2
+        masks = B.np_words(algebra.partner_mask(g), self.words)
+        total = np.zeros(self.n, np.uint8)
+        for x, mask in zip(self._columns[: self.words], masks):
+            if odd:
+                total += np.bitwise_count(x[: self.n])
+            if mask:
+                total += np.bitwise_count(x[: self.n] & mask)
+        return np.flatnonzero(total & np.uint8(1))
 
-def _ends(cells: int, e: int) -> tuple[np.ndarray, np.ndarray]:
-    """The cells of a rotation's pairs: lower ends and upper ends."""
-    i = np.arange(cells)
-    low = i[i < i ^ e]
-    return low, low ^ e
+    def bit(self, slot: int, at: np.ndarray) -> np.ndarray:
+        return (self._columns[slot // 64][at] >> np.uint64(slot % 64) & np.uint64(1)).astype(bool)
+
+
+def _lowest(g: int) -> int:
+    return (g & -g).bit_length() - 1
+
+
+def _salted(run):
+    """run(salt) with the first salt under which no two monomials collide."""
+    for salt in range(8):
+        try:
+            return run(salt)
+        except Collision:
+            continue
+    raise Collision("monomials collide under every salt")
 
 
 def _schema(algebra: Algebra) -> tuple[str, pa.Schema]:
@@ -188,71 +182,120 @@ def _schema(algebra: Algebra) -> tuple[str, pa.Schema]:
     return text, arrow
 
 
-ROW, EDGE, COSINE = 0, 1, 2
+#: Kinds of result row: a term, a rotated pair, a layer's count of rows that only scale, how many rotations were done.
+ROW, EDGE, COSINE, DONE = 0, 1, 2, 3
 
 
 def _table(schema: pa.Schema, kind: int, m: np.ndarray, c=None, layer=None, n=None) -> pa.Table:
     size = len(m)
     cols = [np.full(size, kind, np.int32), *(m[:, i].view(np.int64) if m.dtype == np.uint64 else m[:, i] for i in range(m.shape[1]))]
     cols += [np.zeros(size) if c is None else c, np.zeros(size, np.int32) if layer is None else layer, np.zeros(size, np.int64) if n is None else n]
-    return pa.table([pa.array(x, f.type) for x, f in zip(cols, schema)], schema=schema)
+    return pa.table([pa.array(np.ascontiguousarray(x), f.type) for x, f in zip(cols, schema)], schema=schema)
+
+
+def _one(schema: pa.Schema, kind: int, words: int, c=0.0, layer=0, n=0) -> pa.Table:
+    return _table(schema, kind, np.zeros((1, words), np.uint64), np.array([c]), np.array([layer], np.int32), np.array([n]))
 
 
 def _words(rows: pa.Table, words: int) -> np.ndarray:
     return np.stack([rows[n].to_numpy().view(np.uint64) for n in B.word_names(words)], axis=1)
 
 
-def evolve(rows: DataFrame, algebra: Algebra, batch: list[Rotation], cut: Truncation, *, schrodinger: bool = False, occupied: int = 0, informed: bool = True, record: bool = False, buckets: int | None = None) -> DataFrame:
+def evolve(rows: DataFrame, algebra: Algebra, batch: list[Rotation], cut: Truncation, *, schrodinger: bool = False, occupied: int = 0, informed: bool = True, record: bool = False, buckets: int | None = None, limit: int | None = None) -> DataFrame:
     """Rotate (w0.., c, layer) rows by a batch. layer: the rotation that inserted the row, -1 for initial rows.
 
     informed: truncation sees coefficients. record: also give, as other kinds of row, each rotated pair (EDGE, by its
-    lower end and layer) and the count of cosine-only rows per layer (COSINE, in n).
+    lower end and layer) and the count of cosine-only rows per layer (COSINE, in n). buckets=1 runs in one task without a
+    shuffle; with a limit it stops before a rotation (but the first) once there are more rows, and says how many
+    rotations were done (DONE, in n).
     """
-    span = Span.of(r.g for r in batch)
     text, schema = _schema(algebra)
     names = B.word_names(algebra.words)
+    words = algebra.words
+
+    def pair_up(t: _Rows, idx: np.ndarray, r: Rotation, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the rows at idx are lower ends and which their upper ends, where both are there."""
+        hashed = linear_hash(B.np_words(r.g, words)[None, :], t.salt)[0]
+        key = t.hash[idx] ^ np.where(high, hashed, np.uint64(0))
+        order = np.argsort(key)
+        ordered = key[order]
+        same = np.flatnonzero(ordered[1:] == ordered[:-1])
+        x, y = order[same], order[same + 1]
+        low, up = np.where(high[x], y, x), np.where(high[x], x, y)
+        if (t.monomials(idx[low]) ^ B.np_words(r.g, words) != t.monomials(idx[up])).any():
+            raise Collision
+        return low, up
+
+    def rotate(t: _Rows, r: Rotation, out: list) -> None:
+        idx = t.anticommuting(algebra, r.g)
+        cos, sin = math.cos(2 * r.angle), math.sin(2 * r.angle)
+        turn = -sin if schrodinger else sin
+        gw = B.np_words(r.g, words)
+        high = t.bit(_lowest(r.g), idx)
+        low, up = pair_up(t, idx, r, high)
+        m, c = t.monomials(idx), t.c[idx]
+        eligible = cut.np_eligible(m)
+        rot = eligible & cut.np_feeds(cut.np_keeps(m ^ gw), c if informed else None, sin)
+        rot[low] = rot[up] = rot[low] | rot[up]
+        value = np.where(eligible, cos, 1.0) * c
+        at = np.flatnonzero(rot)
+        m, above = m[at], high[at]
+        partner = m ^ gw
+        lower = np.where(above[:, None], partner, m)
+        step = algebra.np_phase(lower, r.g) * np.where(above, turn, -turn)
+        other = np.empty(len(idx))
+        other[at] = algebra.np_state_phase(partner, occupied) if schrodinger else 0.0
+        other[low], other[up] = c[up], c[low]
+        value[at] += step * other[at]
+        t.c[idx] = value
+        lone = np.ones(len(idx), bool)
+        lone[low] = lone[up] = False
+        new = lone[at]
+        if record:
+            first = new | ~above  # a pair of present rows once, by its lower end
+            out.append(_one(schema, COSINE, words, layer=r.layer, n=int((eligible & ~rot).sum())))
+            out.append(_table(schema, EDGE, lower[first], layer=np.full(int(first.sum()), r.layer, np.int32)))
+        if new.any():
+            hashed = linear_hash(gw[None, :], t.salt)[0]
+            t.append(partner[new], t.hash[idx[at[new]]] ^ hashed, cos * other[at[new]] - step[new] * c[at[new]], r.layer)
 
     def kernel(table: pa.Table) -> pa.Table:
-        s = _Cosets(span, algebra, _words(table, algebra.words))
-        c = s.lay(table["c"].to_numpy())
-        born = s.lay(table["layer"].to_numpy(), -1)
-        keeps, eligible = cut.np_keeps(s.m), cut.np_eligible(s.m)
-        fresh = algebra.np_state_phase(s.m, occupied) if schrodinger else np.zeros(s.shape)
-        out = []
-        for r in batch:
-            low, high = _ends(s.shape[1], span.index(r.g))
-            cos, sin = math.cos(2 * r.angle), math.sin(2 * r.angle)
-            turn = -sin if schrodinger else sin
-            anti = algebra.np_anticommutes(s.m[:, low], r.g)
-            p, q = s.present[:, low], s.present[:, high]
-            a, b = c[:, low], c[:, high]
-            ea, eb = eligible[:, low], eligible[:, high]
-            fa = p & ea & cut.np_feeds(keeps[:, high], a if informed else None, sin)
-            fb = q & eb & cut.np_feeds(keeps[:, low], b if informed else None, sin)
-            rot = anti & (fa | fb)
-            ca, cb = np.where(ea | ~p, cos, 1.0), np.where(eb | ~q, cos, 1.0)
-            va, vb = np.where(p, a, fresh[:, low]), np.where(q, b, fresh[:, high])
-            phase = algebra.np_phase(s.m[:, low], r.g) * turn
-            if record:
-                alone = (anti & ~rot & p & ea).sum() + (anti & ~rot & q & eb).sum()
-                out.append(_table(schema, COSINE, np.zeros((1, algebra.words), np.uint64), layer=np.array([r.layer], np.int32), n=np.array([alone])))
-                out.append(_table(schema, EDGE, s.m[:, low][rot], layer=np.full(rot.sum(), r.layer, np.int32)))
-            c[:, low] = np.where(rot, ca * va - phase * vb, np.where(anti & p, ca * a, a))
-            c[:, high] = np.where(rot, cb * vb + phase * va, np.where(anti & q, cb * b, b))
-            for cells, there in ((low, p), (high, q)):
-                born[:, cells] = np.where(rot & ~there, r.layer, born[:, cells])
-                s.present[:, cells] = there | rot
-        out.insert(0, _table(schema, ROW, s.m[s.present], c[s.present], born[s.present]))
-        return pa.concat_tables(out)
-
-    def run(table: pa.Table) -> pa.Table:
-        return pa.concat_tables([kernel(part) for part, _ in _slices(span, algebra.words, table)])
-
-    result = _bucketed(rows.select(*names, "c", "layer"), span, names, buckets).groupBy("bucket").applyInArrow(run, text)
-    return result if record else result.select(*names, "c", "layer")
+        def run(salt: int) -> pa.Table:
+            t = _Rows(_words(table, words), table["c"].to_numpy(), table["layer"].to_numpy(), salt)
+            out, done = [], 0
+            for r in batch:
+                if limit is not None and done and t.n > limit:
+                    break
+                rotate(t, r, out)
+                done += 1
+            if limit is not None:
+                out.append(_one(schema, DONE, words, n=done))
+            return pa.concat_tables([_table(schema, ROW, t.monomials(), t.c, t.born), *out])
+
+        return _salted(run)
+
+    rows = rows.select(*names, "c", "layer")
+    if buckets == 1:
+        result = rows.coalesce(1).mapInArrow(_in_one(kernel), text)
+    else:
+        result = _bucketed(rows, Span.of(r.g for r in batch), names, buckets).groupBy("bucket").applyInArrow(kernel, text)
+    return result if record or limit is not None else result.select(*names, "c", "layer")
+
+
+def _in_one(kernel):
+    """The kernel over all of a task's rows."""
+
+    def function(found):
+        held = list(found)
+        if held:
+            yield from kernel(pa.Table.from_batches(held)).to_batches()
+
+    return function
 
 
 def _bucketed(rows: DataFrame, span: Span, names: list[str], buckets: int | None) -> DataFrame:
+    if buckets == 1:
+        return rows.withColumn("bucket", F.lit(0).cast("long"))
     n = buckets or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.withColumn("bucket", F.expr(f"pmod(xxhash64({', '.join(span.representative(names))}), {n}L)"))
 
@@ -270,51 +313,57 @@ def replay_back(rows: DataFrame, edges: DataFrame, algebra: Algebra, batch: list
 
 
 def _replay(rows: DataFrame, edges: DataFrame, algebra: Algebra, batch: list[Rotation], cut: Truncation, buckets: int | None, backward: bool) -> DataFrame:
-    span = Span.of(r.g for r in batch)
     text, schema = _schema(algebra)
     names = B.word_names(algebra.words)
-    layers = [r.layer for r in batch]
-    some = edges.where(F.col("layer").isin(layers)).select(*names, "layer").toDF(*names, "layer")  # columns of its own, should both come from one table
+    words = algebra.words
+    some = edges.where(F.col("layer").isin([r.layer for r in batch])).select(*names, "layer").toDF(*names, "layer")  # columns of its own, should both come from one table
     value = ["c", "layer", *(["back"] if backward else [])]
 
-    def kernel(table: pa.Table, found: pa.Table) -> pa.Table:
-        s = _Cosets(span, algebra, _words(table, algebra.words))
-        c = s.lay(table["c"].to_numpy())
-        born = s.lay(table["layer"].to_numpy(), 1 << 30)
-        eligible = cut.np_eligible(s.m)
-        coset, cell = s.find(_words(found, algebra.words)) if len(found) else (np.empty(0, np.int64),) * 2
-        of = found["layer"].to_numpy() if len(found) else coset
-        steps = []
+    def kernel(table: pa.Table, found: pa.Table, salt: int) -> pa.Table:
+        t = _Rows(_words(table, words), table["c"].to_numpy(), table["layer"].to_numpy(), salt)
+        order = np.argsort(t.hash)
+        ordered = t.hash[order]
+        if (ordered[1:] == ordered[:-1]).any():
+            raise Collision
+        ends, of = (_words(found, words), found["layer"].to_numpy()) if len(found) else (np.zeros((0, words), np.uint64), np.zeros(0, np.int32))
+        by = np.argsort(of, kind="stable")
+        ends, of = ends[by], of[by]
+        hashes = linear_hash(ends, salt)
+        eligible = cut.np_eligible(t.monomials())
+        c, born, steps = t.c, t.born, []
         for r in batch:
-            low, high = _ends(s.shape[1], span.index(r.g))
             cos, sin = math.cos(2 * r.angle), math.sin(2 * r.angle)
-            rot = np.zeros(s.shape, bool)
-            rot[coset[of == r.layer], cell[of == r.layer]] = True
-            rot = rot[:, low]
-            anti = algebra.np_anticommutes(s.m[:, low], r.g)
-            ta, tb = (anti & (born[:, x] <= r.layer) & (eligible[:, x] | (born[:, x] == r.layer)) for x in (low, high))
-            phase = np.where(rot, algebra.np_phase(s.m[:, low], r.g), 0.0)
-            a, b = c[:, low].copy(), c[:, high].copy()
-            steps.append((r, low, high, cos, sin, ta, tb, phase, a, b))
-            c[:, low] = np.where(ta, cos, 1.0) * a - sin * phase * b
-            c[:, high] = np.where(tb, cos, 1.0) * b + sin * phase * a
+            idx = t.anticommuting(algebra, r.g)
+            idx = idx[(born[idx] < r.layer) & eligible[idx] | (born[idx] == r.layer)]
+            mine = slice(*np.searchsorted(of, [r.layer, r.layer + 1]))
+            hashed = linear_hash(B.np_words(r.g, words)[None, :], salt)[0]
+            low, up = (order[np.searchsorted(ordered, h)] for h in (hashes[mine], hashes[mine] ^ hashed))
+            phase = algebra.np_phase(ends[mine], r.g)
+            a, b = c[low], c[up]
+            if backward:
+                steps.append((r, cos, sin, idx, c[idx], low, up, phase, a, b))
+            c[idx] *= cos
+            c[low] -= sin * phase * b
+            c[up] += sin * phase * a
         if not backward:
-            return _table(schema, ROW, s.m[s.present], c[s.present], born[s.present])
-        back = s.lay(table["back"].to_numpy())
+            return _table(schema, ROW, t.monomials(), c, born)
+        back = np.array(table["back"].to_numpy())
         out = []
-        for r, low, high, cos, sin, ta, tb, phase, a, b in reversed(steps):
-            x, y = back[:, low].copy(), back[:, high].copy()
-            slope = (x * (np.where(ta, -sin, 0.0) * a - cos * phase * b)).sum() + (y * (np.where(tb, -sin, 0.0) * b + cos * phase * a)).sum()
-            out.append(_table(schema, EDGE, np.zeros((1, algebra.words), np.uint64), np.array([2.0 * slope]), np.array([r.layer], np.int32)))
-            back[:, low] = np.where(ta, cos, 1.0) * x + sin * phase * y
-            back[:, high] = np.where(tb, cos, 1.0) * y - sin * phase * x
-        return pa.concat_tables([_table(schema, ROW, s.m[s.present], back[s.present], born[s.present]), *out])
+        for r, cos, sin, idx, before, low, up, phase, a, b in reversed(steps):
+            x, y = back[low], back[up]
+            slope = cos * (phase * (y * a - x * b)).sum() - sin * (back[idx] * before).sum()
+            out.append(_one(schema, EDGE, words, 2.0 * slope, r.layer))
+            back[idx] *= cos
+            back[low] += sin * phase * y
+            back[up] -= sin * phase * x
+        return pa.concat_tables([_table(schema, ROW, t.monomials(), back, born), *out])
 
     def run(table: pa.Table, found: pa.Table) -> pa.Table:
         if not len(table):
-            return _table(schema, ROW, np.zeros((0, algebra.words), np.uint64))
-        return pa.concat_tables([kernel(*part) for part in _slices(span, algebra.words, table, found)])
+            return _table(schema, ROW, np.zeros((0, words), np.uint64))
+        return _salted(lambda salt: kernel(table, found, salt))
 
+    span = Span.of(r.g for r in batch) if buckets != 1 else Span([], [])
     left = _bucketed(rows.select(*names, *value), span, names, buckets).groupBy("bucket")
     right = _bucketed(some, span, names, buckets).groupBy("bucket")
     return left.cogroup(right).applyInArrow(run, text)

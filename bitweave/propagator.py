@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import copy
+import math
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -14,9 +15,10 @@ from .functions import bits as B
 from .functions.algebra import Algebra, occupied_mask, swapped
 from .operators.circuit import Circuit, validate_parameter_mapping
 from .operators.terms import MajoranaOperator, Pauli, PauliOperator
-from .plans.batch import EDGE, ROW, Rotation, batches, evolve, replay, replay_back
-from .plans.truncation import Truncation
-from .store import keep
+from .plans.batch import COSINE, DONE, EDGE, ROW, Rotation, batches, evolve, replay, replay_back
+from .plans.rotate import merge
+from .plans.truncation import Predicate, Truncation
+from .store import discard, keep
 
 MAX_NUM_MODES = 1 << 16
 
@@ -51,9 +53,29 @@ class Propagator:
     basis = "majorana"
     rows_per_bucket = 500_000
     batches_per_write = 4
-
-    def __init__(self, initial_operator, initial_state, *, cutoff: int, schrodinger_cutoff: int | None = None, cutoff_type: str = "length", lower_atol: float | None = None, upper_atol: float | None = None, spark: SparkSession | None = None, max_rank: int = 6):
+    #: A table of at most local_rows is rotated in one task, gate after gate, until it has more than local_limit.
+    local_rows = 250_000
+    local_limit = 1_000_000
+
+    def __init__(
+        self,
+        initial_operator,
+        initial_state,
+        *,
+        cutoff: int,
+        schrodinger_cutoff: int | None = None,
+        cutoff_type: str = "length",
+        lower_atol: float | None = None,
+        upper_atol: float | None = None,
+        predicate: Predicate | None = None,
+        spark: SparkSession | None = None,
+        max_rank: int | None = None,
+    ):
         masks, size = self._terms_of(initial_operator)
+        self._configure(size, initial_state, Truncation(cutoff, cutoff_type, lower_atol, upper_atol, predicate=predicate), max_rank, spark)
+        self._start(*self._split_core(masks), schrodinger_cutoff)
+
+    def _configure(self, size: int, initial_state, cut: Truncation, max_rank: int | None, spark: SparkSession | None) -> None:
         if size <= 0 or size > MAX_NUM_MODES:
             raise ModeCountError(f"number of modes must be in 1..{MAX_NUM_MODES}: {size}")
         self._size, self._state = size, tuple(int(i) for i in initial_state)
@@ -62,19 +84,36 @@ class Propagator:
         self.spark = spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
         self.algebra = Algebra(self.basis, B.word_count(size))
         self._occupied = occupied_mask(self._state)
-        self._cut = Truncation(cutoff, cutoff_type, lower_atol, upper_atol)
+        self._cut = cut
         self.max_rank = max_rank
-        self.schrodinger = schrodinger_cutoff is not None
         self._names = B.word_names(self.algebra.words)
-        self.core, operator = self._split_core(masks)
-        self._operator = operator
-        self._rows = self._paired_state(schrodinger_cutoff) if self.schrodinger else self._operator.withColumn("layer", F.lit(-1))
-        self._rows = keep(self._rows)
+
+    def _start(self, core: float, operator: DataFrame, schrodinger_cutoff: int | None) -> None:
+        self.core, self._operator = core, operator
+        self.schrodinger = schrodinger_cutoff is not None
+        self._rows = keep(self._paired_state(schrodinger_cutoff) if self.schrodinger else operator.withColumn("layer", F.lit(-1)))
         self._graph, self._built, self._n_params = Graph(), 0, 0
         self._operator_epoch = self._graph_epoch = 0
 
     # --- construction
 
+    @classmethod
+    def from_frame(cls, terms: DataFrame, num_modes: int, initial_state=(), *, cutoff: int, schrodinger_cutoff: int | None = None, cutoff_type: str | None = None, lower_atol: float | None = None, upper_atol: float | None = None, predicate: Predicate | None = None, max_rank: int | None = None):
+        """A propagator whose operator is a table, of any size; nothing of it is collected but the identity's coefficient.
+
+        terms: (w0.., c) with real stored coefficients (see sources.tables.encoded for authored ones); like terms add up.
+        """
+        out = cls.__new__(cls)
+        kind = cls._cutoff_type(cutoff_type)
+        out._configure(num_modes, initial_state, Truncation(cutoff, kind, lower_atol, upper_atol, predicate=predicate), max_rank, terms.sparkSession)
+        limit = schrodinger_cutoff if schrodinger_cutoff is None or cls.basis == "majorana" else 2 * schrodinger_cutoff
+        out._start(*out._split_frame(terms), limit)
+        return out
+
+    @classmethod
+    def _cutoff_type(cls, given: str | None) -> str:
+        return given or "length"
+
     def _terms_of(self, operator) -> tuple[dict[int, complex], int]:
         op = operator.get_majorana_operator()
         return op.masks(), op.num_modes
@@ -86,6 +125,12 @@ class Propagator:
         schema = ", ".join(f"{n} long" for n in self._names) + ", c double"
         return core, self.spark.createDataFrame(rows, schema)
 
+    def _split_frame(self, terms: DataFrame) -> tuple[float, DataFrame]:
+        """The identity's coefficient, and the other terms, merged and written."""
+        merged = keep(merge(terms.select(*[F.col(n).cast("long").alias(n) for n in self._names], F.col("c").cast("double").alias("c")), self.algebra.words))
+        identity = " AND ".join(f"{n} = 0" for n in self._names)
+        return merged.where(identity).agg(F.sum("c")).first()[0] or 0.0, merged.where(f"NOT ({identity})")
+
     def _paired_state(self, limit: int) -> DataFrame:
         """All paired monomials of at most ceil(limit / 2) pairs, each with its state phase; grown pair by pair in Spark."""
         most = min(-(-min(limit, 2 * self._size) // 2), self._size)
@@ -102,8 +147,11 @@ class Propagator:
 
     @classmethod
     def from_circuit(cls, circuit: Circuit, initial_operator, **config):
-        """Built with the circuit's initial state, and propagated through it."""
-        out = cls(initial_operator, circuit.initial_state, **config)
+        """Built with the circuit's initial state, and propagated through it. The operator may be a table (w0.., c)."""
+        if isinstance(initial_operator, DataFrame):
+            out = cls.from_frame(initial_operator, circuit.system_size, circuit.initial_state, **config)
+        else:
+            out = cls(initial_operator, circuit.initial_state, **config)
         out.propagate(circuit)
         return out
 
@@ -125,6 +173,14 @@ class Propagator:
     def cutoff_type(self, value: str) -> None:
         self._cut = replace(self._cut, kind=value)
 
+    @property
+    def predicate(self):
+        return self._cut.predicate
+
+    @predicate.setter
+    def predicate(self, value: Predicate | None) -> None:
+        self._cut = replace(self._cut, predicate=value)
+
     @property
     def lower_atol(self):
         return self._cut.lower
@@ -211,15 +267,51 @@ class Propagator:
             raise ValueError(f"{len(values)} parameter values, {needed} needed")
         return values
 
-    def _buckets(self, rows: DataFrame) -> int:
-        return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // self.rows_per_bucket))
+    def _buckets(self, n: int) -> int:
+        return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-n // self.rows_per_bucket))
+
+    def _rank(self, n: int) -> int:
+        """Dimensions of a batch's span: as many as leave some 64 cosets per bucket if the space were dense."""
+        return self.max_rank or min(16, max(6, int(math.log2(max(n, 1) / (64 * self._buckets(n)) + 1))))
+
+    def _advance(self, rows: DataFrame, steps: list[Rotation], cut: Truncation, *, informed: bool = True, record: list | None = None) -> DataFrame:
+        """rows after the steps: a small table in one task as far as it stays small, a large one batch by batch, each
+        with one shuffle. record collects the written tables of edges and counts."""
+        how = {"schrodinger": self.schrodinger, "occupied": self._occupied, "informed": informed}
+        at, n, kept = 0, rows.count(), None
+        while at < len(steps):
+            last = kept
+            if n <= self.local_rows:
+                out = keep(evolve(rows, self.algebra, steps[at:], cut, **how, record=record is not None, buckets=1, limit=self.local_limit))
+                done = out.where(F.col("kind") == DONE).agg(F.max("n")).first()[0]
+                if done is None:  # no rows, nothing to rotate
+                    break
+                at += done
+            elif record is not None:
+                part = batches(steps[at:], self._rank(n))[0]
+                out = keep(evolve(rows, self.algebra, part, cut, **how, record=True, buckets=self._buckets(n)))
+                at += len(part)
+            else:
+                parts = batches(steps[at:], self._rank(n))[: self.batches_per_write]
+                for part in parts:
+                    rows = evolve(rows, self.algebra, part, cut, **how, buckets=self._buckets(n))
+                out = keep(rows.withColumn("kind", F.lit(ROW)))
+                at += sum(map(len, parts))
+            rows, kept = out.where(F.col("kind") == ROW).select(*self._names, "c", "layer"), out
+            n = rows.count()
+            if record is not None:
+                record.append(out)
+            else:
+                discard(last)
+        rows._kept_in = getattr(kept, "_kept_in", None) if record is None else None
+        return rows
 
     def _touching(self, rows: DataFrame, steps: list[Rotation]) -> list[Rotation]:
         """The rotations that can find an anticommuting row. The slots in use come from one aggregate and grow by each
         rotation kept; a generator outside them (an odd Majorana one aside) commutes with every row."""
         used = B.join(rows.agg(*[F.expr(f"coalesce(bit_or({n}), 0L)") for n in self._names]).first())
         out = []
-        for r in steps:
+        for r in [r for r in steps if r.g]:
             odd = self.basis == "majorana" and r.g.bit_count() % 2
             if odd or used & (swapped(r.g) if self.basis == "pauli" else r.g):
                 out.append(r)
@@ -235,14 +327,11 @@ class Propagator:
         flat = circuit.layers()
         steps = [Rotation(g, values[p] * c, i) for i, (g, c, p) in enumerate(zip(flat.masks, flat.coefficients, flat.mapping))]
         steps = steps if self.schrodinger else steps[::-1]
-        rows, buckets = self._rows, self._buckets(self._rows)
-        parts = batches(self._touching(rows, steps), self.max_rank)
-        for i, part in enumerate(parts):
-            rows = evolve(rows, self.algebra, part, cut, schrodinger=self.schrodinger, occupied=self._occupied, buckets=buckets)
-            if (i + 1) % self.batches_per_write == 0 or i == len(parts) - 1:
-                rows = keep(rows)
-                buckets = self._buckets(rows)
-        self._rows = keep(rows.withColumn("layer", F.lit(-1))) if parts else rows
+        steps = self._touching(self._rows, steps)
+        if steps:
+            rows = self._advance(self._rows, steps, cut)
+            self._rows = keep(rows.withColumn("layer", F.lit(-1)))
+            discard(rows)
         self._operator_epoch += 1
 
     def build_graph(self, circuit: Circuit, *, seed_parameters=None, only_rotate_len_k: int | None = None) -> None:
@@ -265,23 +354,27 @@ class Propagator:
         if values is not None and self._graph.layers:
             rows = self._folded(values)
         steps = [Rotation(x.g, values[x.parameter] * x.coefficient if values else 0.0, x.number) for x in layers]
-        buckets = self._buckets(rows)
         graph = replace(self._graph)
-        for part in batches(self._touching(rows, steps), self.max_rank):
-            out = keep(evolve(rows, self.algebra, part, cut, schrodinger=self.schrodinger, occupied=self._occupied, informed=values is not None, record=True, buckets=buckets))
-            rows = out.where(F.col("kind") == ROW).select(*self._names, "c", "layer")
-            edges = out.where(F.col("kind") == EDGE).select(*self._names, "layer")
-            alone = out.where(F.col("kind") > EDGE).select("layer", "n")
-            graph.edges = edges if graph.edges is None else graph.edges.unionByName(edges)
-            graph.cosine_only = alone if graph.cosine_only is None else graph.cosine_only.unionByName(alone)
-            buckets = self._buckets(rows)
+        found: list[DataFrame] = []
+        rows = self._advance(rows, self._touching(rows, steps), cut, informed=values is not None, record=found)
+        edges, alone = graph.edges, graph.cosine_only
+        for out in found:
+            new = out.where(F.col("kind") == EDGE).select(*self._names, "layer")
+            edges = new if edges is None else edges.unionByName(new)
+            new = out.where(F.col("kind") == COSINE).select("layer", "n")
+            alone = new if alone is None else alone.unionByName(new)
         # the graph's table keeps the values of before the graph; new rows start at 0, or at their state phase
         old = self._rows.select(*self._names, F.col("c").alias("old"))
         fresh = f"coalesce({self.algebra.state_phase(self._names, self._occupied)}, 0D)" if self.schrodinger else "0D"
         grown = rows.join(old, self._names, "left").selectExpr(*self._names, f"coalesce(old, {fresh}) AS c", "layer")
         graph.layers = [*reversed(layers), *graph.layers] if self.schrodinger else [*graph.layers, *layers]
-        graph.edges = keep(graph.edges) if graph.edges is not None else None
+        if edges is not None:
+            # in the order of the layers, so that a batch of a later replay reads the row groups of its own layers only
+            parts = max(1, -(-sum(x.where(F.col("kind") == EDGE).count() for x in found) // self.rows_per_bucket))
+            graph.edges = keep(edges.repartitionByRange(parts, "layer", *self._names).sortWithinPartitions("layer"), "edges")
+            graph.cosine_only = keep(alone.groupBy("layer").agg(F.sum("n").alias("n")), "counts")
         self._rows, self._graph = keep(grown), graph
+        discard(*found)
         self._built += len(layers)
         self._n_params = n_params
         self._graph_epoch += 1
@@ -306,15 +399,27 @@ class Propagator:
         state = self._rows.select(*self._names, F.col("c").alias("back"))
         return rows.join(state, self._names)
 
+    def _parts(self, n: int, steps: list[Rotation], swept: bool) -> tuple[list[list[Rotation]], int]:
+        """Batches of a replay over n rows, and its buckets: one of each for a small table. A sweep back holds the values
+        before each layer, so its batches are shorter the more rows there are."""
+        if n <= self.local_limit:
+            return batches(steps, None, max(1, 20_000_000 // max(n, 1)) if swept else 100_000), 1
+        return batches(steps, self._rank(n), 40 if swept else 256), self._buckets(n)
+
     def _forward(self, rows: DataFrame, steps: list[Rotation], edges, cut: Truncation, marks: list | None = None) -> DataFrame:
-        parts = batches(steps, self.max_rank) if edges is not None else []  # without a layer that touches a row: nothing
-        buckets = self._buckets(rows) if parts else 1
+        if edges is None:  # without a layer that touches a row: nothing
+            return rows
+        parts, buckets = self._parts(rows.count(), steps, marks is not None)
+        last = None
         for i, part in enumerate(parts):
             if marks is not None:
                 marks.append((part, rows))
             rows = replay(rows, edges, self.algebra, part, cut, buckets).select(*self._names, "c", "layer")
             if marks is not None or (i + 1) % self.batches_per_write == 0:
                 rows = keep(rows)
+                if marks is None:
+                    discard(last)
+                last = rows
         return rows
 
     def _folded(self, values: list[float]) -> DataFrame:
@@ -325,14 +430,18 @@ class Propagator:
         if self._graph.edges is None:
             return self._rows
         rows = self._rows.withColumn("back", F.col("c")).withColumn("c", F.lit(0.0))
-        buckets = self._buckets(rows)
-        for part in reversed(batches(steps, self.max_rank)):
+        parts, buckets = self._parts(rows.count(), steps, True)
+        last = None
+        for i, part in enumerate(reversed(parts)):
             out = replay_back(rows, self._graph.edges, self.algebra, part, self._cut, buckets)
             rows = out.where(F.col("kind") == ROW).selectExpr(*self._names, "0D AS c", "layer", "c AS back")
-        return keep(rows.selectExpr(*self._names, "back AS c", "layer"))
-
-    def _value(self, rows: DataFrame) -> float:
-        return self.core + (self._sensitivity(rows).agg(F.sum(F.col("c") * F.col("back"))).first()[0] or 0.0)
+            if (i + 1) % self.batches_per_write == 0:
+                rows = keep(rows)
+                discard(last)
+                last = rows
+        rows = keep(rows.selectExpr(*self._names, "back AS c", "layer"))
+        discard(last)
+        return rows
 
     def expectation_value(self, parameters=None) -> float:
         return self._expectation(self._bind(parameters, self._n_params), self._graph, self._operator_rows(), self.core)
@@ -349,15 +458,21 @@ class Propagator:
         marks: list = []
         rows = self._forward(rows, self._steps(values, graph), graph.edges, self._cut, marks)
         last = keep(self._sensitivity(rows))
+        if marks:
+            discard(rows)
         value = core + (last.agg(F.sum(F.col("c") * F.col("back"))).first()[0] or 0.0)
         slopes: dict[int, float] = {}
-        back = last.select(*self._names, "back")
+        back, kept = last.select(*self._names, "back"), last
+        buckets = self._parts(last.count(), [], True)[1]
         for part, before in reversed(marks):
             both = before.join(back, self._names)
-            out = keep(replay_back(both, graph.edges, self.algebra, part, self._cut, self._buckets(before)))
+            out = keep(replay_back(both, graph.edges, self.algebra, part, self._cut, buckets))
             for r in out.where(F.col("kind") == EDGE).groupBy("layer").agg(F.sum("c").alias("s")).collect():  # a row per layer
                 slopes[r["layer"]] = r["s"]
             back = out.where(F.col("kind") == ROW).select(*self._names, F.col("c").alias("back"))
+            discard(kept)
+            kept = out
+        discard(kept, *[m for _, m in marks[1:]])  # the first mark is the propagator's own table
         gradient = np.zeros(n)
         for x in graph.layers:
             gradient[x.parameter] += slopes.get(x.number, 0.0) * x.coefficient
@@ -405,7 +520,7 @@ class Propagator:
         """Fold the graph into the operator, or the state; the table with its terms (w0.., c)."""
         if not self._graph.layers:
             return self._rows.select(*self._names, "c")
-        rows = keep(self._folded(self._bind(parameters, self._n_params)))
+        rows = keep(self._folded(self._bind(parameters, self._n_params)), "contracted")
         if inplace:
             self._rows = keep(rows.withColumn("layer", F.lit(-1)))
             self._graph, self._built, self._n_params = Graph(), 0, 0
@@ -426,24 +541,59 @@ class Propagator:
         return {m: self.algebra.decode(m, c) for m, c in masks}
 
     def update_initial_operator(self, new_operator) -> None:
-        """Replace the operator's coefficients; terms that are not given become 0, the core stays unless it is given.
+        """Replace the operator's coefficients by those of an operator, or of a table (w0.., c); terms that are not given
+        become 0, the core stays unless it is given.
 
         Heisenberg: a term that the table does not hold raises RuntimeError.
         """
-        masks, size = self._terms_of(new_operator)
-        if size != self._size:
-            raise ValueError(f"operator width {size}, propagator width {self._size}")
-        core, new = self._split_core(masks)
+        if isinstance(new_operator, DataFrame):
+            core, new = self._split_frame(new_operator)
+            given = core != 0.0
+        else:
+            masks, size = self._terms_of(new_operator)
+            if size != self._size:
+                raise ValueError(f"operator width {size}, propagator width {self._size}")
+            core, new = self._split_core(masks)
+            given = 0 in masks
         if not self.schrodinger:
             if not new.join(self._rows, self._names, "left_anti").isEmpty():
                 raise RuntimeError("the new operator has a term that the current one does not hold")
             value = new.withColumnRenamed("c", "value")
             self._rows = keep(self._rows.drop("c").join(value, self._names, "left").selectExpr(*self._names, "coalesce(value, 0D) AS c", "layer"))
         self._operator = new
-        if 0 in masks:
+        if given:
             self.core = core
         self._operator_epoch += 1
 
+    def replace_terms(self, terms: DataFrame) -> None:
+        """Go on from another table (w0.., c) of this width; there must be no graph."""
+        if self._graph.layers:
+            raise RuntimeError("replace_terms needs an empty graph; contract it first")
+        self._rows = keep(terms.select(*self._names, "c").withColumn("layer", F.lit(-1)))
+        self._operator_epoch += 1
+
+    def terms(self) -> DataFrame:
+        """The table as it is, (w0.., c): the operator, or the state."""
+        return self._rows.select(*self._names, "c")
+
+    def pared_terms(self, threshold: float = 0.5) -> DataFrame:
+        """The terms that a functional with this threshold keeps: those that can reach its result."""
+        return self._pared(threshold)[1].select(*self._names, "c")
+
+    def graph_edges(self, layers: int | None = None) -> DataFrame:
+        """(w0.., layer): the lower end of each rotated pair, of the first layers only if a number is given."""
+        schema = ", ".join(f"{n} long" for n in self._names) + ", layer int"
+        edges = self._graph.edges if self._graph.edges is not None else self.spark.createDataFrame([], schema)
+        if layers is None:
+            return edges
+        return edges.where(F.col("layer").isin([x.number for x in self._graph.layers[:layers]]))
+
+    def graph_counts(self) -> DataFrame:
+        """(layer, cosine_only, cycles) of every layer that met a row which anticommutes or might have."""
+        alone = self._graph.cosine_only if self._graph.cosine_only is not None else self.spark.createDataFrame([], "layer int, n long")
+        cycles = self.graph_edges().groupBy("layer").agg(F.count(F.lit(1)).alias("cycles"))
+        return alone.select("layer", F.col("n").alias("cosine_only")).join(cycles, "layer", "left").fillna({"cycles": 0})
+
     def size(self) -> int:
         return self._rows.count()
 
@@ -453,17 +603,34 @@ class Propagator:
             return 0, 0
         return self._graph.cosine_only.agg(F.sum("n")).first()[0] or 0, self._graph.edges.count()
 
+    def _per_slot(self, aggregate: str) -> DataFrame:
+        columns = [F.expr(aggregate.format(f"shiftrightunsigned({self._names[s // 64]}, {s % 64}) & 1L")).alias(str(s)) for s in range(2 * self._size)]
+        stack = ", ".join(f"{s}, `{s}`" for s in range(2 * self._size))
+        return self._rows.agg(*columns).selectExpr(f"stack({2 * self._size}, {stack}) AS (slot, n)")
+
     def slot_counts(self) -> DataFrame:
         """(slot, n): how many terms hold each slot."""
-        sums = [F.expr(f"sum(shiftrightunsigned({self._names[s // 64]}, {s % 64}) & 1L)").alias(str(s)) for s in range(2 * self._size)]
-        row = self._rows.agg(*sums)
-        stack = ", ".join(f"{s}, `{s}`" for s in range(2 * self._size))
-        return row.selectExpr(f"stack({2 * self._size}, {stack}) AS (slot, n)")
+        return self._per_slot("sum({})")
+
+    def row_parity(self) -> DataFrame:
+        """(slot, n): whether an odd number of terms holds each slot."""
+        return self._per_slot("coalesce(bit_xor({}), 0L)")
 
     def memory(self) -> dict[str, int]:
-        """Rows and bytes of the tables, by fixed row width."""
+        """Rows and bytes of the tables: terms and edges by their row width in memory, and what their files hold."""
         terms, edges = self.size(), self.graph_size()[1]
-        return {"terms": terms, "term_bytes": terms * (8 * self.algebra.words + 12), "edges": edges, "edge_bytes": edges * (8 * self.algebra.words + 4)}
+        width = 8 * self.algebra.words
+        out = {"terms": terms, "term_bytes": terms * (width + 12), "edges": edges, "edge_bytes": edges * (width + 4)}
+        for name, frame in (("term_file_bytes", self._rows), ("edge_file_bytes", self._graph.edges)):
+            out[name] = 0 if frame is None else int(str(frame._jdf.queryExecution().analyzed().stats().sizeInBytes()))
+        return out
+
+    def report(self) -> str:
+        """The propagator's size and settings as a few lines of Markdown."""
+        held = self.memory()
+        cut = f"{self.cutoff_type} <= {self.cutoff}, lower {self.lower_atol}, upper {self.upper_atol}"
+        rows = [("modes", self._size), ("picture", "Schroedinger" if self.schrodinger else "Heisenberg"), ("truncation", cut), ("layers", self.graph_layers), ("parameters", self._n_params), *held.items()]
+        return "| what | value |\n| --- | --- |\n" + "\n".join(f"| {k} | {v} |" for k, v in rows)
 
     def __deepcopy__(self, memo):
         """Tables are immutable: a copy shares them."""
@@ -487,10 +654,15 @@ class PauliPropagator(Propagator):
     basis = "pauli"
 
     def __init__(self, initial_operator, initial_state, *, cutoff: int, schrodinger_cutoff: int | None = None, lower_atol: float | None = None, upper_atol: float | None = None, **more):
-        if more.pop("cutoff_type", "support") != "support":
-            raise ValueError("the Pauli basis is truncated by support")
+        kind = self._cutoff_type(more.pop("cutoff_type", None))
         limit = None if schrodinger_cutoff is None else 2 * schrodinger_cutoff
-        super().__init__(initial_operator, initial_state, cutoff=cutoff, schrodinger_cutoff=limit, cutoff_type="support", lower_atol=lower_atol, upper_atol=upper_atol, **more)
+        super().__init__(initial_operator, initial_state, cutoff=cutoff, schrodinger_cutoff=limit, cutoff_type=kind, lower_atol=lower_atol, upper_atol=upper_atol, **more)
+
+    @classmethod
+    def _cutoff_type(cls, given: str | None) -> str:
+        if given not in (None, "support"):
+            raise ValueError("the Pauli basis is truncated by support")
+        return "support"
 
     def _terms_of(self, operator):
         if not isinstance(operator, PauliOperator):

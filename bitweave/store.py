@@ -23,8 +23,35 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
-def keep(df: DataFrame) -> DataFrame:
+def keep(df: DataFrame, name: str = "rows", codec: str = "lz4") -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/bitweave-{uuid.uuid4().hex}"
-    df.write.option("compression", "lz4").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = f"{shared_folder(df.sparkSession)}/bitweave-{uuid.uuid4().hex}"
+    path = f"{folder}/{name}"
+    df.write.option("compression", codec).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._kept_in = folder
+    return back
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete the files behind kept frames that nothing will read any more; other frames are left alone."""
+    for df in frames:
+        folder = getattr(df, "_kept_in", None)
+        if folder:
+            remove(df.sparkSession, folder)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where, fs = _hadoop(spark, path)
+    fs.delete(where, True)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it is not there."""
+    where, fs = _hadoop(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []

@@ -69,16 +69,48 @@ def test_gate_list(spark):
         circuit_from_gate_list([("cx", (0, 1), 0.0)], 2)
 
 
+def stream_of(spark, path):
+    return spark.readStream.schema("layer int, idx array<int>, gcoef double, angle double").parquet(path)
+
+
+def add_gates(spark, path, *gates):
+    spark.createDataFrame(list(gates), "layer int, idx array<int>, gcoef double, angle double").coalesce(1).write.mode("append").parquet(path)
+
+
 def test_stream(spark, tmp_path):
+    """A stream that is started again with a new propagator goes on where the last one ended."""
     from bitweave.streaming import propagate_stream
 
-    gates = [(0, [1, 2], 1.0, 0.3), (1, [0, 3], 1.0, -0.2)]
-    for i, g in enumerate(gates):
-        spark.createDataFrame([g], "layer int, idx array<int>, gcoef double, angle double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    op = MajoranaOperator({(0, 1): 1j}, 2)
+    op = MajoranaOperator({(0, 1): 1j, (): 0.5}, 2)
+    add_gates(spark, f"{tmp_path}/in", (0, [1, 2], 1.0, 0.3))
     p = MajoranaPropagator(op, [0], cutoff=4)
-    stream = spark.readStream.schema("layer int, idx array<int>, gcoef double, angle double").parquet(f"{tmp_path}/in")
-    query = propagate_stream(stream, p, f"{tmp_path}/ck")
-    query.awaitTermination(120)
-    want = MajoranaPropagator.from_circuit(Circuit.from_dense_arrays([(1, 2), (0, 3)], [1.0, 1.0], [0, 1], 2, [0.3, -0.2], [0]), op, cutoff=4)
+    propagate_stream(stream_of(spark, f"{tmp_path}/in"), p, f"{tmp_path}/ck").awaitTermination(120)
+    add_gates(spark, f"{tmp_path}/in", (1, [0, 3], 1.0, -0.2))
+    other = MajoranaPropagator(op, [0], cutoff=4)
+    propagate_stream(stream_of(spark, f"{tmp_path}/in"), other, f"{tmp_path}/ck").awaitTermination(120)
+    first, both = ([(1, 2)], [1.0], [0], 2, [0.3], [0]), ([(1, 2), (0, 3)], [1.0, 1.0], [0, 1], 2, [0.3, -0.2], [0])
+    # the gates that come later act on the evolved operator: as a circuit they stand before the earlier ones
+    want = MajoranaPropagator(op, [0], cutoff=4)
+    want.propagate(Circuit.from_dense_arrays(*first))
     assert p.expectation_value() == pytest.approx(want.expectation_value(), abs=1e-12)
+    want.propagate(Circuit.from_dense_arrays([both[0][1]], [1.0], [0], 2, [-0.2], [0]))
+    assert other.expectation_value() == pytest.approx(want.expectation_value(), abs=1e-12)
+    third = MajoranaPropagator(op, [0], cutoff=4)
+    propagate_stream(stream_of(spark, f"{tmp_path}/in"), third, f"{tmp_path}/ck").awaitTermination(120)  # nothing new
+    assert third.expectation_value() == other.expectation_value()
+
+
+def test_stream_batch_is_not_applied_twice(spark, tmp_path):
+    """The table of a batch was written, its commit was not: Spark replays the batch, its gates are skipped."""
+    import shutil
+
+    from bitweave.streaming import propagate_stream
+
+    op = MajoranaOperator({(0, 1): 1j}, 2)
+    add_gates(spark, f"{tmp_path}/in", (0, [1, 2], 1.0, 0.3))
+    p = MajoranaPropagator(op, [0], cutoff=4)
+    propagate_stream(stream_of(spark, f"{tmp_path}/in"), p, f"{tmp_path}/ck").awaitTermination(120)
+    shutil.rmtree(f"{tmp_path}/ck/stream/commits")
+    again = MajoranaPropagator(op, [0], cutoff=4)
+    propagate_stream(stream_of(spark, f"{tmp_path}/in"), again, f"{tmp_path}/ck").awaitTermination(120)
+    assert again.expectation_value() == p.expectation_value() != MajoranaPropagator(op, [0], cutoff=4).expectation_value()
