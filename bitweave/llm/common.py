@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..store import shared_folder
+from ..store import discard, keep, shared_folder
 
 #: ASCII white space that separates words: the characters of [\x20\x09-\x0D].
 WHITE_SPACE = " \t\n\v\f\r"
@@ -22,19 +22,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
-    back._bitweave_path = path
-    return back
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a written() frame once nothing reads it any more."""
-    spark, path = df.sparkSession, getattr(df, "_bitweave_path", None)
-    if path:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    return keep(df, name, codec)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
