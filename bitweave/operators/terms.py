@@ -106,7 +106,7 @@ class MajoranaOperator:
         return self.num_modes == other.num_modes and _close(self.terms, other.terms, rtol, atol)
 
     def all_pairwise_commute(self) -> bool:
-        return _all_commute(list(self.masks()), "majorana")
+        return all_commute(list(self.masks()), "majorana")
 
     def __len__(self) -> int:
         return len(self.terms)
@@ -120,7 +120,7 @@ class MajoranaOperator:
         return f"MajoranaOperator({self.terms}, num_modes={self.num_modes})"
 
 
-def _all_commute(masks: list[int], basis: str) -> bool:
+def all_commute(masks: list[int], basis: str) -> bool:
     words = max(1, -(-max((m.bit_length() for m in masks), default=1) // 64))
     algebra = Algebra(basis, words)
     table = np.stack([B.np_words(m, words) for m in masks]) if masks else np.zeros((0, words), np.uint64)
@@ -210,7 +210,7 @@ class PauliOperator:
         return self.num_qubits == other.num_qubits and _close(self.terms, other.terms, rtol, atol)
 
     def all_pairwise_commute(self) -> bool:
-        return _all_commute(list(self.masks()), "pauli")
+        return all_commute(list(self.masks()), "pauli")
 
     def __len__(self) -> int:
         return len(self.terms)

@@ -33,10 +33,13 @@ def from_qiskit_circuit(circuit, initial_state) -> Circuit:
 
 
 def to_qiskit_circuit(circuit: Circuit, num_qubits: int):
+    if num_qubits != circuit.system_size:
+        raise ValueError(f"num_qubits={num_qubits} does not match circuit.system_size={circuit.system_size}")
+    gates = gate_list_from_circuit(circuit)
     from qiskit.circuit import QuantumCircuit
     from qiskit.circuit.library import PauliEvolutionGate
 
     out = QuantumCircuit(num_qubits)
-    for (_, op), qubits, value in gate_list_from_circuit(circuit):
+    for (_, op), qubits, value in gates:
         out.append(PauliEvolutionGate(to_qiskit_operator(op), value), qubits)
     return out

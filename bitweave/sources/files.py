@@ -74,7 +74,7 @@ def circuit_from_gate_list(gates, num_qubits: int, initial_state=None) -> Circui
         elif name in ROTATIONS:
             terms = {Pauli(name[1:].upper(), qubits): -0.5}
         else:
-            raise ValueError(f"unsupported gate {name}")
+            raise ValueError(f"Unsupported gate {name}")
         out.append(ExpGate(PauliOperator(terms, num_qubits)))
         values.append(float(value))
     return Circuit(out, num_qubits, values, initial_state)
@@ -82,11 +82,14 @@ def circuit_from_gate_list(gates, num_qubits: int, initial_state=None) -> Circui
 
 def gate_list_from_circuit(circuit: Circuit) -> list:
     """The triples of a bound Pauli circuit, each gate an evolution on the qubits that it touches."""
-    if circuit.family == "majorana" or len(circuit.parameters) != circuit.n_parameters:
-        raise ValueError("a bound Pauli circuit is needed")
+    if circuit.family == "majorana":
+        raise TypeError("a majorana-family gate cannot be written as Pauli evolutions")
+    if not circuit.bound:
+        raise ValueError("a bound circuit is needed")
     out = []
     for gate, p in zip(circuit.gates, circuit.resolved_mapping):
-        qubits = sorted({q for t in gate.generator.terms for q in t.qubits})
-        local = {Pauli(t.string, [qubits.index(q) for q in t.qubits]): -c for t, c in gate.generator.terms.items()}
+        terms = gate.generator.terms
+        qubits = sorted({q for t in terms for q in t.qubits})
+        local = {Pauli(t.string, [qubits.index(q) for q in t.qubits]): -c for t, c in terms.items()}
         out.append((("evolution", PauliOperator(local, len(qubits))), qubits, circuit.parameters[p]))
     return out

@@ -56,12 +56,14 @@ def write_circuit(spark: SparkSession, circuit: Circuit, path: str, fmt: str = "
     spark.createDataFrame(rows, GATES).write.format(fmt).save(path)
 
 
-def gate_sessions(gates: DataFrame) -> DataFrame:
-    """gate numbers from the parameter alone: neighbours in layer order with an equal one are one gate."""
-    # a circuit's length, not the data's, bounds this single ordering
-    by = Window.orderBy("layer")
-    new = F.coalesce((F.lag("param").over(by) != F.col("param")).cast("int"), F.lit(0))
-    return gates.withColumn("new", new).withColumn("gate", F.sum("new").over(by).cast("int")).drop("new")
+def gate_sessions(gates: DataFrame, circuit: tuple[str, ...] = (), order: tuple[str, ...] = ("layer",), param: str = "param") -> DataFrame:
+    """gate numbers from the parameter alone: neighbours in the given order with an equal one are one gate. With circuit
+    columns each circuit is numbered for itself; without, the table is one circuit, whose length bounds the ordering."""
+    by = Window.partitionBy(*circuit).orderBy(*order)
+    new = F.coalesce((~F.lag(param).over(by).eqNullSafe(F.col(param))).cast("int"), F.lit(0))
+    first = F.row_number().over(by) == 1
+    gates = gates.withColumn("_new", F.when(first, 0).otherwise(new))
+    return gates.withColumn("gate", F.sum("_new").over(by).cast("int")).drop("_new")
 
 
 def read_circuit(spark: SparkSession, path: str, num_modes: int, fmt: str = "parquet", parameters=(), initial_state=None, basis: str = "majorana") -> Circuit:
