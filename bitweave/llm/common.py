@@ -177,11 +177,18 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: b
     if not len(starts):
         return np.empty(0, np.uint64)
     lens = ends - starts
-    total = np.concatenate(([0], np.cumsum(lens)))
-    place = np.arange(total[-1]) - np.repeat(total[:-1], lens)
     table, base = (_BYTE_2, 0x9FB21C651E98DF25) if second else (_BYTE, 0xC2B2AE3D27D4EB4F)
-    value = table[buf[place + np.repeat(starts, lens)]] * powers(int(lens.max()), base)[place]
-    return mix(np.add.reduceat(value, total[:-1]) + lens.astype(np.uint64))
+    power = powers(int(lens.max()), base)
+    total = np.concatenate(([0], np.cumsum(lens)))
+    out = np.empty(len(lens), np.uint64)
+    at = 0
+    while at < len(lens):  # some 256 KB at a time: the arrays below take 32 bytes a byte
+        end = min(len(lens), max(at + 1, int(np.searchsorted(total, total[at] + (1 << 18)))))
+        place = np.arange(total[end] - total[at]) - np.repeat(total[at:end] - total[at], lens[at:end])
+        value = table[buf[place + np.repeat(starts[at:end], lens[at:end])]] * power[place]
+        out[at:end] = mix(np.add.reduceat(value, total[at:end] - total[at]) + lens[at:end].astype(np.uint64))
+        at = end
+    return out
 
 
 def window_hashes(words: np.ndarray, length: int, seed: int = 1) -> np.ndarray:

@@ -166,9 +166,10 @@ def _outcome(c: _Chunk, ids, gone: np.ndarray) -> pa.RecordBatch:
     kept = ~gone
     sizes = (c.ends - c.starts + 1)[kept]  # with one space after each word
     total = np.concatenate(([0], np.cumsum(sizes)))
-    place = np.arange(total[-1]) + np.repeat(c.starts[kept] - total[:-1], sizes)
-    joined = c.buf[np.minimum(place, max(len(c.buf) - 1, 0))] if len(place) else np.empty(0, np.uint8)
-    joined = joined.copy()
+    edge = np.zeros(len(c.buf) + 2, np.int8)
+    edge[c.starts[kept]] += 1
+    edge[c.ends[kept] + 1] -= 1
+    joined = np.append(c.buf, np.uint8(32))[np.cumsum(edge, dtype=np.int8)[:-1].astype(bool)]
     joined[total[1:] - 1] = 32
     upto = np.concatenate(([0], np.cumsum(kept)))  # kept words before each word
     a, b = upto[c.doc_word], upto[c.doc_end]
