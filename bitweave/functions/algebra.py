@@ -88,6 +88,11 @@ class Algebra:
         turn = f"pmod({a} * ({a} - 1) div 2 + {choose2(b) + 3} - {i} * ({i} - 1) div 2, 4)"
         return f"({self.interleave_sign(w, g)} * if({turn} = 0, 1, if({turn} = 2, -1, 0)))"
 
+    def antihermitian(self, w: list[str]) -> str:
+        """Whether the plain product of the monomial's Majoranas is antihermitian; Pauli products never are."""
+        n = B.popcount(w)
+        return "FALSE" if self.basis == "pauli" else f"(({n} * ({n} - 1) div 2) % 2 = 1)"
+
     def state_phase(self, w: list[str], occupied: int) -> str:
         """<b|M|b> of the product state; null where the monomial is not paired."""
         power = B.popcount(B.masked(w, occupied)) + ("" if self.basis == "pauli" else f" + {B.popcount(w)} div 2")

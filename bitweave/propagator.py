@@ -528,13 +528,13 @@ class Propagator:
             self._operator_epoch += 1
         return rows.select(*self._names, "c")
 
-    def evolved_frame(self, parameters=None, *, atol: float = 1e-12) -> DataFrame:
+    def evolved_frame(self, parameters=None, *, atol: float = 1e-12, digits: int | None = 12) -> DataFrame:
         """(w0.., c) of the evolved operator or state, values rounded to 12 digits; the sink for large results."""
         rows = self.contract_partially(parameters, inplace=False).where(F.abs("c") >= atol)
         if not self.schrodinger and self.core:
             core = self.spark.createDataFrame([(*[0] * self.algebra.words, self.core)], rows.schema)
             rows = rows.unionByName(core)
-        return rows.withColumn("c", F.round("c", 12))
+        return rows if digits is None else rows.withColumn("c", F.round("c", digits))
 
     def _decoded(self, parameters, atol: float) -> dict[int, complex]:
         masks = ((B.join(r[:-1]), r[-1]) for r in self.evolved_frame(parameters, atol=atol).collect())
