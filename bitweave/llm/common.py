@@ -49,14 +49,21 @@ def free_names(taken, names) -> list[str]:
     return out
 
 
-def spread_join(many: DataFrame, one: DataFrame, on: list[str], by: list[str], how: str = "inner", total: int | None = None, counts: DataFrame | None = None) -> DataFrame:
+#: A joined table of narrow rows is broadcast up to this many.
+BROADCAST_ROWS = 20_000
+
+
+def spread_join(many: DataFrame, one: DataFrame, on: list[str], by: list[str], how: str = "inner", total: int | None = None, counts: DataFrame | None = None, one_rows: int | None = None) -> DataFrame:
     """many.join(one, on, how) for a `one` that holds each key once, however skewed the keys of `many` are.
 
-    A key that holds more than twice a partition's share of the rows is split by a hash of `by` into parts of one share
+    one_rows, if known: up to BROADCAST_ROWS rows of `one` are broadcast and nothing is shuffled. Otherwise
+    a key that holds more than twice a partition's share of the rows is split by a hash of `by` into parts of one share
     each, and its row of `one` is copied to them. At most half as many keys as partitions can be that common, and their
     parts are fewer than twice the partitions: a proven bound for the broadcast. counts: (on.., n), if known. Null keys
     match nothing.
     """
+    if one_rows is not None and one_rows <= BROADCAST_ROWS:
+        return many.join(F.broadcast(one), on, how)
     n = partitions(many.sparkSession)
     total = many.count() if total is None else total
     share = max(32, -(-total // n))

@@ -36,13 +36,19 @@ def _whole(column):
     return F.col(column).cast("decimal(20,0)")
 
 
-def running(rows: DataFrame, group: list[str], order: list, sums: dict[str, str], name: str) -> DataFrame:
-    """rows with running sums, in the given order within each group; sums: result -> column.
+RANGE = 100_000  # rows that one task sums
 
-    Rows are dealt by range of (group, order) and each range is summed for itself, so that a group of any size is spread
-    over tasks; what comes before a range is the sum of the ranges' totals.
+
+def running(rows: DataFrame, group: list[str], order: list, sums: dict[str, str], name: str, n: int) -> DataFrame:
+    """rows, n at most, with running sums in the given order within each group; sums: result -> column.
+
+    Beyond RANGE rows they are dealt by range of (group, order) and each range is summed for itself, so that a group of
+    any size is spread over tasks; what comes before a range is the sum of the ranges' totals.
     """
-    spread = rows.repartitionByRange(partitions(rows.sparkSession), *group, *order).withColumn("_range", F.spark_partition_id())
+    if n <= RANGE:
+        upto = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumns({s: F.sum(c).over(upto) for s, c in sums.items()})
+    spread = rows.repartitionByRange(min(-(-n // RANGE), 100 * partitions(rows.sparkSession)), *group, *order).withColumn("_range", F.spark_partition_id())
     spread = written(spread, name)
     totals = spread.groupBy(*group, "_range").agg(*[F.sum(c).alias(f"_t_{s}") for s, c in sums.items()])
     before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -52,11 +58,12 @@ def running(rows: DataFrame, group: list[str], order: list, sums: dict[str, str]
     return rows.withColumns({s: F.col(s) + F.col(f"_b_{s}") for s in sums}).drop("_range", *[f"_b_{s}" for s in sums])
 
 
-def share_out(parents: DataFrame, children: DataFrame, keys: list[str], name: str) -> DataFrame:
+def share_out(parents: DataFrame, children: DataFrame, keys: list[str], name: str, n: int) -> DataFrame:
     """Split each parent's budget by weight among its children; what a full child cannot take goes to the others by
     weight. Whole tokens left by rounding go to the largest remainders, then to the first names.
 
-    keys name a child, all but the last its parent. parents holds _budget, children _weight (whole units) and _capacity.
+    keys name a child, all but the last its parent. parents holds _budget, children, n at most, _weight (whole units)
+    and _capacity.
     Gives keys and _budget of the children that get any.
     """
     up, child = keys[:-1], keys[-1]
@@ -66,7 +73,7 @@ def share_out(parents: DataFrame, children: DataFrame, keys: list[str], name: st
     rows = children.join(parents, up)
     # by capacity for a unit of weight: the smallest are full first, and the others share what those leave
     order = [F.col("_capacity") / F.col("_weight"), F.col(child)]
-    rows = running(rows, up, order, {"_caps": "_capacity", "_upto": "_weight"}, f"{name}_order")
+    rows = running(rows, up, order, {"_caps": "_capacity", "_upto": "_weight"}, f"{name}_order", n)
     left = (F.col("_budget") - F.col("_caps") + F.col("_capacity")).cast("decimal(20,0)")
     live = (F.col("_weights") - F.col("_upto") + F.col("_weight")).cast("decimal(20,0)")
     rows = rows.withColumn("_full", left * _whole("_weight") >= _whole("_capacity") * live)
@@ -78,7 +85,7 @@ def share_out(parents: DataFrame, children: DataFrame, keys: list[str], name: st
     rows = rows.withColumn("_over", F.when(~F.col("_full"), product - _whole("_part") * _whole("_live")))
     spare = rows.groupBy(*up).agg((F.max("_left") - F.coalesce(F.sum("_part"), F.lit(0))).alias("_spare"))
     rows = rows.join(spare, up).withColumn("_one", F.when(~F.col("_full"), 1).otherwise(0))
-    rows = running(rows, up, [F.col("_full"), F.col("_over").desc(), F.col(child)], {"_place": "_one"}, f"{name}_rest")
+    rows = running(rows, up, [F.col("_full"), F.col("_over").desc(), F.col(child)], {"_place": "_one"}, f"{name}_rest", n)
     more = F.least(F.col("_part") + (F.col("_place") <= F.col("_spare")).cast("long"), F.col("_capacity"))
     return rows.select(*keys, F.when(F.col("_full"), F.col("_capacity")).otherwise(more).alias("_budget")).where("_budget > 0")
 
@@ -89,7 +96,7 @@ def leaf_budgets(leaves: DataFrame, keys: list[str], targets: Targets) -> DataFr
     The budget goes down the tree level by level. A node never gets more than its leaves hold over max_epochs, so a
     leaf's shortage is made up by its siblings first, and by its parent's siblings only when the parent is full.
     """
-    spark = leaves.sparkSession
+    spark, n = leaves.sparkSession, leaves.count()
     leaves = leaves.where("tokens > 0").withColumn("_root", F.lit(0))
     out = leaves.groupBy("_root").agg(F.floor(F.lit(float(targets.budget_share)) * F.sum("tokens")).alias("_budget"))
     for depth in range(1, len(keys) + 1):
@@ -98,7 +105,7 @@ def leaf_budgets(leaves: DataFrame, keys: list[str], targets: Targets) -> DataFr
         weights = spark.createDataFrame(given, ", ".join(f"{k} string" for k in path) + ", _weight long")
         children = leaves.groupBy("_root", *path).agg((F.sum("tokens") * targets.max_epochs).alias("_capacity")).join(weights, path, "left")
         children = children.withColumn("_weight", F.coalesce("_weight", F.lit(units(targets.default)).cast("long")))
-        out = written(share_out(out, children, ["_root", *path], f"level{depth}"), f"budgets{depth}")
+        out = written(share_out(out, children, ["_root", *path], f"level{depth}", n), f"budgets{depth}")
     return out.drop("_root")
 
 
@@ -134,13 +141,13 @@ def mix(docs: DataFrame, domain, targets: Targets, per_bucket: int = 1000) -> Da
     rows = boxed(docs, **dict(zip(keys, label)), _tokens=count_tokens(F.col("text")), _id=doc_id, _who=who)
     narrow = written(rows.drop("doc"), "tokens")
     sizes = written(narrow.groupBy(*keys).agg(F.sum("_tokens").alias("tokens"), F.count(F.lit(1)).alias("n")), "leaves")
-    largest, total = sizes.agg(F.max("n"), F.sum("n")).first()
+    leaves, largest, total = sizes.agg(F.count(F.lit(1)), F.max("n"), F.sum("n")).first()
     counts, by = sizes.select(*keys, "n"), ["_id", "_who"]
     plan = leaf_budgets(sizes, keys, targets).join(sizes, keys)
     plan = written(plan.select(*keys, F.expr("_budget DIV tokens").alias("_whole"), (F.col("_budget") % F.col("tokens")).alias("_rest")), "plan")
     buckets = 1 << max(0, ((largest or 1) // per_bucket).bit_length())
     place = draw(targets.seed, F.col("_whole"), F.col("_id"), F.col("_who"))
-    part = spread_join(narrow, plan.where("_rest > 0"), keys, by, "inner", total or 0, counts).withColumn("_draw", place).groupBy(*keys, "_draw", "_rest").agg(F.sum("_tokens").alias("_tokens"))
+    part = spread_join(narrow, plan.where("_rest > 0"), keys, by, "inner", total or 0, counts, leaves).withColumn("_draw", place).groupBy(*keys, "_draw", "_rest").agg(F.sum("_tokens").alias("_tokens"))
     part = part.withColumn("_bucket", F.shiftright(F.col("_draw"), 64 - buckets.bit_length() + 1) if buckets > 1 else F.lit(0).cast("long"))
     part = written(part, "places")
     sums = part.groupBy(*keys, "_bucket", "_rest").agg(F.sum("_tokens").alias("_sum"))
@@ -154,7 +161,7 @@ def mix(docs: DataFrame, domain, targets: Targets, per_bucket: int = 1000) -> Da
     final = written(plan.join(cuts, keys, "left"), "cuts")
     more = (F.col("_rest") > 0) & (place < F.col("_cut"))
     times = F.col("_whole") + F.coalesce(more, F.lit(False)).cast("long")
-    out = spread_join(rows, final, keys, by, "inner", total or 0, counts).withColumn("_times", times).where("_times > 0")
+    out = spread_join(rows, final, keys, by, "inner", total or 0, counts, leaves).withColumn("_times", times).where("_times > 0")
     out = out.withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_times") - 1)))
     names = dict(zip(["_domain", "_tokens", "_epoch"], free_names(docs.columns, ["_domain", "_tokens", "_epoch"])))
     return out.select("doc.*", *[F.col(c).alias(n) for c, n in names.items()])

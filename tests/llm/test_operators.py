@@ -4,6 +4,7 @@ column names."""
 import gzip
 import hashlib
 import io
+import math
 import os
 import random
 import re
@@ -160,6 +161,28 @@ def test_language_id_rejects(spark, rows):
     assert np.array_equal(language_id.fit(counts, langs).floors, language_id.fit(np.concatenate((counts, none)), langs + [r[2] for r in empty]).floors)
 
 
+def test_language_id_rejects_other_languages_of_one_script(spark):
+    """Learned from the driver's English, German, French and Spanish: other languages in Latin letters are too far from
+    every centroid, held-out documents are not."""
+    foreign = [
+        "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza.",
+        "Todos os seres humanos nascem livres e iguais em dignidade e em direitos. Dotados de razão e de consciência.",
+        "Alle mensen worden vrij en gelijk in waardigheid en rechten geboren. Zij zijn begiftigd met verstand en geweten.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.",
+        "Alla människor är födda fria och lika i värde och rättigheter. De är utrustade med förnuft och samvete.",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
+        "Minden emberi lény szabadon születik és egyenlő méltósága és joga van.",
+        "Semua orang dilahirkan merdeka dan mempunyai martabat dan hak-hak yang sama.",
+    ]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_id.train(docs)
+    more = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(foreign)], "doc_id long, text string")
+    out = language_id.predict(docs.select("doc_id", "text").unionByName(more), model).collect()
+    assert all(r.rejected for r in out if r.doc_id < 0)
+    held = [r for r in out if r.doc_id >= 0 and r.held_out and r.lang_pred != "und"]
+    assert len(held) > 30 and not any(r.rejected for r in held)
+
+
 def test_language_id_counts_whole_texts():
     """A text beyond the piece size counts like its parts."""
     text = "abc déf " * (language_id.PIECE // 4)
@@ -167,6 +190,72 @@ def test_language_id_counts_whole_texts():
     assert np.array_equal(one, many * (language_id.PIECE // 4))
 
 
+def plain_counts(text):
+    """Bigrams and trigrams of letters, one by one; a run of other characters is the end of a word."""
+    low = ["", "", *(c if c.isalpha() else "" for c in text.lower()), ""]
+    out = [0.0] * language_id.DIMENSIONS
+
+    def add(*pairs):
+        x = 0
+        for c, factor in pairs:
+            x ^= (ord(c) if c else 0) * factor % 2**32
+        out[(x ^ x >> 15) * 0x2C1B3C6D % 2**32 >> 20] += 1
+
+    for a, b, c in zip(low, low[1:], low[2:]):
+        if b:
+            add((a, 0x9E3779B1), (b, 0x85EBCA77), (c, 0xC2B2AE3D))
+        if b or c:
+            add((b, 0x27D4EB2F), (c, 0x165667B1))
+    return out
+
+
+def plain_fit(counts, langs, clusters=4, rounds=12, seed=7):
+    """Texts as dicts of weights; each language's k-means with the same first centroids, cosines term by term."""
+    n = len(counts)
+    idf = {d: math.log((1 + n) / (1 + sum(c[d] > 0 for c in counts))) + 1 for d in range(language_id.DIMENSIONS) if any(c[d] for c in counts)}
+
+    def unit(v):
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {d: x / size for d, x in v.items()} if size else {}
+
+    def vector(c):
+        return unit({d: math.log1p(c[d]) * idf.get(d, math.log(1 + n) + 1) for d in range(len(c)) if c[d]})
+
+    def cosine(a, b):
+        return sum(x * b.get(d, 0.0) for d, x in a.items())
+
+    random_, centroids = np.random.default_rng(seed), []
+    for lang in sorted(set(langs)):
+        own = [vector(c) for c, x in zip(counts, langs) if x == lang]
+        mine = [own[i] for i in random_.permutation(len(own))[:clusters]]
+        for _ in range(rounds):
+            groups = [[] for _ in mine]
+            for v in own:
+                near = [cosine(v, c) for c in mine]
+                groups[near.index(max(near))].append(v)
+            mine = [unit({d: sum(v.get(d, 0.0) for v in g) for d in set().union(*g)}) if g else c for g, c in zip(groups, mine)]
+        centroids += [(lang, c) for c in mine]
+    return vector, cosine, centroids
+
+
+def test_language_id_is_nearest_centroid(rows):
+    """Against a plain version: the same n-grams, centroids, labels and scores."""
+    texts = [(r[1], r[2]) for r in rows if r[0] is not None and r[0] < 60 and r[1]]
+    counts = language_id.n_gram_counts([t[:400] for t, _ in texts])
+    plain = [plain_counts(t[:400]) for t, _ in texts]
+    assert np.array_equal(counts, np.array(plain, np.float32))
+    known = [i for i, (_, lang) in enumerate(texts) if lang][:30]
+    model = language_id.fit(counts[known], [texts[i][1] for i in known])
+    vector, cosine, centroids = plain_fit([plain[i] for i in known], [texts[i][1] for i in known])
+    names, scores, _ = model.predict(counts)
+    assert [model.languages[o] for o in model.owner] == [lang for lang, _ in centroids]
+    for c, name, score in zip(plain, names, scores):
+        near = [(cosine(vector(c), x), lang) for lang, x in centroids]
+        best, lang = max(near, key=lambda x: x[0])
+        assert score == pytest.approx(best, abs=1e-5)
+        assert name == lang or score - max(s for s, x in near if x != lang) < 1e-5
+
+
 def test_unlabelled(spark):
     out = language_id.identify(documents(spark, [(1, "some text", None, None)])).collect()
     assert [(r.lang_pred, r.rejected) for r in out] == [("und", True)]
@@ -295,7 +384,7 @@ def test_bounds_hold():
 
 @pytest.mark.parametrize(("width", "percent", "block", "fragments"), [(3, 90, 2048, 4), (5, 80, 2048, 3), (1, 50, 4, 2), (2, 60, 3, 5)])
 def test_jaccard_join(docs, rows, width, percent, block, fragments, monkeypatch):
-    monkeypatch.setattr(jaccard_join.set_links, "__defaults__", (fragments, block))
+    monkeypatch.setattr(jaccard_join.set_links, "__defaults__", (fragments, block, 4_000_000 if block > 100 else 150))
     got = jaccard_join.similar(docs, width, percent).collect()
     distinct = {}
     for i, text, *_ in rows:  # a null doc_id has no place in the brute version: give it one that is never smallest
@@ -323,6 +412,23 @@ def test_representatives_of_null_and_repeated_ids(spark):
     assert sorted(key(r) for r in out if not r[1]) == sorted(map(key, [(11, "", "en"), (11, "", "en"), (None, None, "en")]))
 
 
+def test_chained_group_in_blocks(spark, monkeypatch):
+    """Sets of all sizes chained by common shingles: blocks of size bands leave no link out."""
+    rng = random.Random(9)
+    common = [f"c{i}" for i in range(400)]
+    texts = []
+    for i in range(60):
+        n = rng.randrange(20, 400)
+        words = common[:n]
+        for _ in range(rng.randrange(3)):
+            words[rng.randrange(n)] = f"x{i}"
+        texts.append((i, " ".join(words)))
+    monkeypatch.setattr(jaccard_join.set_links, "__defaults__", (2, 6, 1500))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar(documents(spark, [(i, t, None, None) for i, t in texts]), 2, 80).collect()}
+    want = brute.jaccard_components(texts, 2, 80)
+    assert got == want and len({c for _, c in want.values()}) < 40
+
+
 def test_jaccard_join_empty(empty):
     assert jaccard_join.similar(empty, 3, 90).count() == 0
 
@@ -671,6 +777,46 @@ def test_url_aliases(spark):
     assert url_filter.judge(pages.limit(0), RULES).count() == 0
 
 
+def test_url_classes_against_brute_force(spark):
+    """Random links and redirects: every class with a blocked url is blocked, but for urls that a rule allows."""
+    rng = random.Random(8)
+    hosts = ["a.org", "b.org", "c.net", "x.net", "m.com", "q.example.com", "www.example.com", "com"]
+    urls = [f"{rng.choice(['http', 'https'])}://{rng.choice(hosts)}/{rng.choice(['en/', 'es/', 'fr/', ''])}{i % 40}{rng.choice(['', '?q=1', '#f'])}" for i in range(160)]
+    rows = [(i, u, f'<link rel="canonical" href="{rng.choice(urls)}">' if rng.random() < 0.3 else "<p>text</p>") for i, u in enumerate(urls)]
+    redirects = [(rng.choice(urls), rng.choice(urls)) for _ in range(40)] + [(None, urls[0]), (urls[1], "no url")]
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), RULES, spark.createDataFrame(redirects, "url string, target string")).collect()}
+
+    def parts(u):
+        host, _, rest = u.split("://", 1)[1].partition("/")
+        path = "/" + rest if rest or u.split("://", 1)[1].endswith("/") else ""
+        return host.split("?")[0].split("#")[0].lower(), re.split("[?#]", path)[0], u.split("#")[0].partition("?")[1:]
+
+    def own(u):
+        host, path, _ = parts(u)
+        fits = [r for r in RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        return max(fits, key=lambda r: len(r.name), default=None)
+
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    links = [(u, re.search('href="([^"]*)"', h)[1]) for _, u, h in rows if "href" in h] + [x for x in redirects if x[0] and "://" in x[1]]
+    for a, b in links:
+        parent[find(parts(a))] = find(parts(b))
+    blocked = {find(parts(u)) for u in urls if own(u) and own(u).verdict == "block"}
+    carried = 0
+    for i, u in enumerate(urls):
+        rule = own(u)
+        want = rule.verdict if rule else "block" if parts(u) in parent and find(parts(u)) in blocked else "allow"
+        carried += want == "block" and rule is None
+        assert got[i] == (rule.name if rule else None, want), u
+    assert carried > 3
+
+
 # --- 10
 
 
@@ -730,8 +876,9 @@ def test_leaf_budgets(spark, seed):
     assert {(r.d, r.l, r.s): r._budget for r in got.collect()} == {k: n for k, n in want.items() if n}
 
 
-def test_many_leaves(spark):
-    """100,000 leaves, most of them children of one parent."""
+def test_many_leaves(spark, monkeypatch):
+    """100,000 leaves, most of them children of one parent, summed range by range."""
+    monkeypatch.setattr(mixing, "RANGE", 20_000)
     leaves = spark.range(100_000).selectExpr("if(id % 10 < 8, 'a', 'b') AS d", "'x' AS l", "CAST(id AS STRING) AS s", "1 + id % 7 AS tokens")
     got = mixing.leaf_budgets(leaves, ["d", "l", "s"], mixing.Targets({("a",): 1.0, ("b",): 3.0}, budget_share=0.3, max_epochs=1)).collect()
     tokens = {("ab"[i % 10 >= 8], "x", str(i)): 1 + i % 7 for i in range(100_000)}
