@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -244,34 +246,62 @@ def _total(percent: int):
     return add
 
 
-def set_links(sets: DataFrame, percent: int, fragments: int = 4, block: int = 2048) -> DataFrame:
+def _blocks(groups: DataFrame, alive: DataFrame, percent: int, block: int, shingles: int) -> DataFrame:
+    """(sig, block, left, right): which sets meet in which blocks, and on which side.
+
+    A candidate group within both bounds is one block; small groups share one. A larger group is cut into bands of set
+    sizes, such that partners are in one band or in neighbouring ones, and each band by hash into parts within half of
+    the bounds; a block is a pair of parts of one band, or of neighbouring bands. A set of more shingles is a part alone.
+    """
+    width = F.octet_length("tokens") / 8
+    sized = groups.withColumnRenamed("node", "sig").join(alive.select("sig", "n", width.alias("width")), "sig")
+    sized = written(sized.withColumn("band", F.floor(F.log("n") / math.log(100 / percent * (1 + 1e-9)))), "sized")
+    total = sized.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("width").alias("all"))
+    total = total.withColumn("small", (F.col("size") <= block) & (F.col("all") <= shingles)).select("component", "small")
+    n, width = sized.agg(F.count(F.lit(1)), F.sum("width")).first()
+    batches = max(1, -(-n * 2 // block), int(2 * (width or 0) // shingles))
+    sized = spread_join(sized, total, ["component"], ["sig"], total=n)
+    small = sized.where("small").select("sig", F.pmod(F.xxhash64("component"), F.lit(batches)).cast("string").alias("block"), F.lit(True).alias("left"), F.lit(True).alias("right"))
+    large = sized.where("NOT small")
+    parts = F.ceil(F.greatest(2 * F.count(F.lit(1)) / block, 2 * F.sum("width") / shingles)).cast("int")
+    bands = large.groupBy("component", "band").agg(parts.alias("parts"))
+    above = bands.select("component", (F.col("band") - 1).alias("band"), F.col("parts").alias("above"))
+    below = bands.select("component", (F.col("band") + 1).alias("band"), F.col("parts").alias("below"))
+    bands = bands.join(above, ["component", "band"], "left").join(below, ["component", "band"], "left").fillna(0)
+    large = spread_join(large, bands, ["component", "band"], ["sig"], total=n).withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int"))
+
+    def met(many, name, left, right):
+        """One entry for each part k of `many` that this set's part meets."""
+        upto = F.when(F.col(many) > 0, F.sequence(F.lit(0), F.col(many) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(upto, lambda k: F.struct(F.concat_ws("-", F.hex("component"), *[c.cast("string") for c in name(k)]).alias("block"), left(k).alias("left"), right(k).alias("right")))
+
+    band, part, yes, no = F.col("band"), F.col("part"), lambda k: F.lit(True), lambda k: F.lit(False)
+    own = met("parts", lambda k: (band, F.least(part, k), F.greatest(part, k)), lambda k: part <= k, lambda k: part >= k)
+    up = met("above", lambda k: (band, F.lit("up"), part, k), yes, no)
+    down = met("below", lambda k: (band - 1, F.lit("up"), k, part), no, yes)
+    return small.unionByName(large.select("sig", F.explode(F.concat(own, up, down)).alias("at")).select("sig", "at.*"))
+
+
+def set_links(sets: DataFrame, percent: int, fragments: int = 4, block: int = 2048, shingles: int = 4_000_000) -> DataFrame:
     """(a, b, links): every set with a partner, a set of its component within a block, and how many links it has there.
 
-    Candidates are sets connected by a shared prefix shingle. A candidate group of at most `block` sets is one block,
-    small groups sharing one; a larger group is cut by hash into parts, and each pair of parts is a block. Each block's
-    sets are cut into fragments of the shingle order; a task counts one fragment of one block, dropping pairs that
-    already lack too many shingles there, and another sums the fragments per pair. No pair leaves its block.
+    Candidates are sets connected by a shared prefix shingle; they are dealt to blocks of at most `block` sets and
+    `shingles` shingles (see _blocks). Each block's sets are cut into fragments of the shingle order; a task counts one
+    fragment of one block, dropping pairs that already lack too many shingles there, and another sums the fragments per
+    pair. No pair leaves its block. Empty sets and sets without tokens have no partner.
     """
     alive = sets.where(F.col("tokens").isNotNull()).dropDuplicates(["sig", "n"])
     alive = written(alive.select("sig", "n", "tokens", "prefix"), "alive")
     prefix = written(_prefix_rows(alive), "prefix")
-    leader = prefix.groupBy("token").agg(F.min("sig").alias("b"), F.count(F.lit(1)).alias("holders")).where("holders > 1")
-    groups = written(components(prefix.join(leader, "token").select(F.col("sig").alias("a"), "b")), "groups")
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    batches = max(1, -(-groups.count() * 2 // block))
-    placed = groups.join(sizes, "component").select("node", "component", "size", F.ceil(F.col("size") / block).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    placed = placed.withColumn("part", F.when(F.col("parts") > 1, part).otherwise(0))
-    low, high = F.least("part", "other"), F.greatest("part", "other")
-    name = F.when(F.col("parts") > 1, F.concat_ws("-", F.hex("component"), low, high)).otherwise(F.pmod(F.xxhash64("component"), F.lit(batches)).cast("string"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    side = F.col("part") == low
-    placed = placed.select(F.col("node").alias("sig"), name.alias("block"), side.alias("left"), (F.col("part") == high).alias("right"))
+    leader = prefix.groupBy("token").agg(F.min("sig").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    leader = written(leader, "leaders")
+    linked = spread_join(prefix, leader.select("token", "b"), ["token"], ["sig"], counts=leader.select("token", "n"))
+    groups = written(components(linked.select(F.col("sig").alias("a"), "b")), "groups")
+    placed = _blocks(groups, alive, percent, block, shingles)
     blocks = alive.select("sig", "n", "tokens").join(placed, "sig")
     partial = _segments(blocks, fragments).groupBy("block", "fragment").applyInArrow(_partial(percent), PARTIAL_SCHEMA)
     links = written(partial.groupBy("block").applyInArrow(_total(percent), LINK_SCHEMA), "links")
-    for done in (alive, prefix, groups):
-        discard(done)
+    discard(alive, prefix, leader, groups)
     return links
 
 

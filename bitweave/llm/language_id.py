@@ -132,15 +132,18 @@ def held_out(doc_id):
 
 
 def train(docs: DataFrame, sample_texts: int = 2000, seed: int = 7) -> Model:
-    """Fit on at most sample_texts labelled texts (an equal share of each language's, chosen by a hash of the doc_id),
-    none of them held out or without a letter. That bound is the classifier's only one; prediction covers all documents."""
+    """Fit on about sample_texts labelled texts, none of them held out or without a letter: an equal share of each
+    language's, chosen by a hash of the doc_id. That bound is the classifier's only one, on its languages, too (the most
+    frequent ones, should there be more labels than texts to learn from); prediction covers all documents. Without a
+    labelled text the model knows no language."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     labelled = labelled.select("lang", "doc_id", "text", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)).alias("draw"))
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    sizes = labelled.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(sample_texts)  # sample_texts rows at most
+    sizes = {r["lang"]: r["count"] for r in sizes.collect()}
     each = max(1, sample_texts // max(1, len(sizes)))
-    limit = F.lit(0)
-    for lang, n in sizes.items():  # a few more than needed, then exactly `each` below
-        limit = F.when(F.col("lang") == lang, F.lit(int(min(1.0, (each + 5 * each**0.5 + 10) / n) * (1 << 30)))).otherwise(limit)
+    # a few more than needed, then exactly `each` below
+    share = [(lang, int(min(1.0, (each + 5 * each**0.5 + 10) / n) * (1 << 30))) for lang, n in sizes.items()]
+    shares = F.broadcast(docs.sparkSession.createDataFrame(share, "lang string, share long"))
 
     def count(batches):
         for batch in batches:
@@ -149,7 +152,7 @@ def train(docs: DataFrame, sample_texts: int = 2000, seed: int = 7) -> Model:
                 blobs = [x.tobytes() for x in n_gram_counts(texts[i : i + 64])]
                 yield pa.RecordBatch.from_arrays([pa.array(lang[i : i + 64], pa.string()), pa.array(draw[i : i + 64], pa.int64()), pa.array(blobs, pa.binary())], names=["lang", "draw", "counts"])
 
-    rows = labelled.where(F.col("draw") < limit).select("lang", "draw", "text").mapInArrow(count, "lang string, draw long, counts binary").collect()
+    rows = labelled.join(shares, "lang").where("draw < share").select("lang", "draw", "text").mapInArrow(count, "lang string, draw long, counts binary").collect()
     chosen: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["draw"], bytes(r["counts"]))):
         if len(chosen.setdefault(r["lang"], [])) < each:
@@ -184,7 +187,8 @@ def identify(docs: DataFrame, sample_texts: int = 2000) -> DataFrame:
 
 
 def accepted(docs: DataFrame, sample_texts: int = 2000) -> DataFrame:
-    """The documents that are not rejected, with all their columns."""
+    """The documents that identify() does not reject, with all their columns: null texts and those without a letter go,
+    rows without doc_id and repeated rows stay or go by their texts; an empty table gives an empty result."""
     model = train(docs, sample_texts)
 
     @F.pandas_udf("boolean")

@@ -56,7 +56,8 @@ def matched(host, path, rules: list[Rule]):
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(url, target) of every canonical link and meta redirect in the html, targets made absolute."""
+    """(url, target) of every canonical link and meta redirect in the html, targets made absolute. Null urls and html
+    have none, targets that are no urls are left out, repeated rows repeat theirs."""
 
     def links(batches):
         import re
