@@ -111,11 +111,19 @@ def np_words(mask: int, words: int) -> np.ndarray:
 
 
 def np_popcount(m: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(m).sum(axis=-1, dtype=np.int64)
+    counts = np.bitwise_count(m)
+    out = counts[..., 0].astype(np.int64)
+    for i in range(1, m.shape[-1]):  # few words: faster than a reduction over the last axis
+        out += counts[..., i]
+    return out
 
 
 def np_paired(m: np.ndarray) -> np.ndarray:
-    return ~((m ^ (m >> np.uint64(1))) & np.uint64(EVEN)).any(axis=-1)
+    odd = (m ^ (m >> np.uint64(1))) & np.uint64(EVEN)
+    out = odd[..., 0]
+    for i in range(1, m.shape[-1]):
+        out = out | odd[..., i]
+    return out == 0
 
 
 def np_support(m: np.ndarray) -> np.ndarray:

@@ -38,9 +38,10 @@ def rotation(letters: str, qubits, n: int) -> ExpGate:
 
 
 def tilted_ising(nx: int, ny: int, steps: int, *, dt: float = 0.05, j: float = 1.5, hx: float = 1.0, hz: float = 1.0) -> tuple[PauliOperator, Circuit]:
-    """Trotter steps of a 2-D tilted-field Ising model (bonds, Z fields, X fields), and ZZ on its central bond."""
+    """Trotter steps of a 2-D tilted-field Ising model, and ZZ on its central bond: exp(-i dt/2 P) of each term, bonds
+    with j, then Z fields, then X fields."""
     n, gates, angles = nx * ny, [], []
-    for letters, where, angle in (("ZZ", grid_bonds(nx, ny), -2 * j * dt), ("Z", [(q,) for q in range(n)], -2 * hz * dt), ("X", [(q,) for q in range(n)], -2 * hx * dt)):
+    for letters, where, angle in (("ZZ", grid_bonds(nx, ny), j * dt), ("Z", [(q,) for q in range(n)], hz * dt), ("X", [(q,) for q in range(n)], hx * dt)):
         gates += [rotation(letters, q, n) for q in where]
         angles += [angle] * len(where)
     middle = (ny // 2) * nx + max(nx // 2 - 1, 0)

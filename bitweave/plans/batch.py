@@ -276,9 +276,12 @@ def evolve(rows: DataFrame, algebra: Algebra, batch: list[Rotation], cut: Trunca
 
     rows = rows.select(*names, "c", "layer")
     if buckets == 1:
-        result = rows.coalesce(1).mapInArrow(_in_one(kernel), text)
+        dealt = rows.coalesce(1)
     else:
-        result = _bucketed(rows, Span.of(r.g for r in batch), names, buckets).groupBy("bucket").applyInArrow(kernel, text)
+        # whole cosets in each task, by the hash of their representatives; nothing has to be sorted
+        n = buckets or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = rows.repartition(n, *[F.expr(x) for x in Span.of(r.g for r in batch).representative(names)])
+    result = dealt.mapInArrow(_in_one(kernel), text)
     return result if record or limit is not None else result.select(*names, "c", "layer")
 
 
@@ -293,6 +296,14 @@ def _in_one(kernel):
     return function
 
 
+def evenly(rows: DataFrame, algebra: Algebra, batch: list[Rotation], buckets: int) -> float:
+    """How many times its share the fullest bucket would hold, were rows dealt for this batch."""
+    names = B.word_names(algebra.words)
+    counts = _bucketed(rows.select(*names), Span.of(r.g for r in batch), names, buckets).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    most, total = counts.agg(F.max("n"), F.sum("n")).first()
+    return most * buckets / total if total else 0.0
+
+
 def _bucketed(rows: DataFrame, span: Span, names: list[str], buckets: int | None) -> DataFrame:
     if buckets == 1:
         return rows.withColumn("bucket", F.lit(0).cast("long"))

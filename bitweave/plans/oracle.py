@@ -201,10 +201,10 @@ def ising(steps: int, qubits: int) -> list[tuple[int, float]]:
 
 def lattice() -> list[tuple[int, float]]:
     """A Trotter step of the 2 x 2 lattice in the order in which an operator passes it: X fields, Z fields, bonds, each
-    group from its end; generators -P/2 driven by twice the angles of the chain."""
+    group from its end; generators -P/2 driven by dt times the coupling."""
     bonds = [(0, 1), (0, 2), (1, 3), (2, 3)]
-    step = [(slots(2 * a, 2 * a + 1, 2 * b, 2 * b + 1), 0.075) for a, b in bonds]
-    step += [(slots(2 * q, 2 * q + 1), 0.05) for q in range(4)] + [(slots(2 * q), 0.05) for q in range(4)]
+    step = [(slots(2 * a, 2 * a + 1, 2 * b, 2 * b + 1), -0.0375) for a, b in bonds]
+    step += [(slots(2 * q, 2 * q + 1), -0.025) for q in range(4)] + [(slots(2 * q), -0.025) for q in range(4)]
     return step[::-1]
 
 

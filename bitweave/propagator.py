@@ -15,7 +15,7 @@ from .functions import bits as B
 from .functions.algebra import Algebra, occupied_mask, swapped
 from .operators.circuit import Circuit, validate_parameter_mapping
 from .operators.terms import MajoranaOperator, Pauli, PauliOperator
-from .plans.batch import COSINE, DONE, EDGE, ROW, Rotation, batches, evolve, replay, replay_back
+from .plans.batch import COSINE, DONE, EDGE, ROW, Rotation, batches, evenly, evolve, replay, replay_back
 from .plans.rotate import merge
 from .plans.truncation import Predicate, Truncation
 from .store import discard, keep
@@ -94,6 +94,7 @@ class Propagator:
         self._rows = keep(self._paired_state(schrodinger_cutoff) if self.schrodinger else operator.withColumn("layer", F.lit(-1)))
         self._graph, self._built, self._n_params = Graph(), 0, 0
         self._operator_epoch = self._graph_epoch = 0
+        self.shuffles = 0  # batches that went through a shuffle so far
 
     # --- construction
 
@@ -274,6 +275,17 @@ class Propagator:
         """Dimensions of a batch's span: as many as leave some 64 cosets per bucket if the space were dense."""
         return self.max_rank or min(16, max(6, int(math.log2(max(n, 1) / (64 * self._buckets(n)) + 1))))
 
+    def _batch(self, rows: DataFrame, steps: list[Rotation], n: int) -> list[Rotation]:
+        """The longest next batch that deals the rows evenly. Rotations of one kind (all bonds, all fields) leave a wide
+        system many cosets, whatever they span; a dense small one has 2 ** (slots - rank) of them at most."""
+        least = self._rank(n)
+        ranks = [self.max_rank] if self.max_rank else [r for r in (64, 32) if r <= 2 * self._size - 9] + [least]
+        for rank in ranks:
+            part = batches(steps, rank)[0]
+            if rank == ranks[-1] or evenly(rows, self.algebra, part, self._buckets(n)) < 1.5:
+                return part
+        return part
+
     def _advance(self, rows: DataFrame, steps: list[Rotation], cut: Truncation, *, informed: bool = True, record: list | None = None) -> DataFrame:
         """rows after the steps: a small table in one task as far as it stays small, a large one batch by batch, each
         with one shuffle. record collects the written tables of edges and counts."""
@@ -288,15 +300,20 @@ class Propagator:
                     break
                 at += done
             elif record is not None:
-                part = batches(steps[at:], self._rank(n))[0]
+                part = self._batch(rows, steps[at:], n)
+                self.shuffles += 1
                 out = keep(evolve(rows, self.algebra, part, cut, **how, record=True, buckets=self._buckets(n)))
                 at += len(part)
             else:
-                parts = batches(steps[at:], self._rank(n))[: self.batches_per_write]
-                for part in parts:
+                written = rows
+                for _ in range(self.batches_per_write):
+                    part = self._batch(written, steps[at:], n)
                     rows = evolve(rows, self.algebra, part, cut, **how, buckets=self._buckets(n))
+                    at += len(part)
+                    self.shuffles += 1
+                    if at == len(steps):
+                        break
                 out = keep(rows.withColumn("kind", F.lit(ROW)))
-                at += sum(map(len, parts))
             rows, kept = out.where(F.col("kind") == ROW).select(*self._names, "c", "layer"), out
             n = rows.count()
             if record is not None:

@@ -458,6 +458,35 @@ def test_integrals():
     assert np.abs(h - h.conj().T).max() < 1e-9 and np.abs(h @ number - number @ h).max() < 1e-9
 
 
+def test_twelve_qubits_end_to_end(spark, tmp_path):
+    """A Hamiltonian of 300 strings from a file and evolutions on pairs of qubits, against the state vector."""
+    import json
+
+    from bitweave.sources.files import circuit_from_gate_list, read_pauli_json
+
+    n, rng = 12, np.random.default_rng(11)
+    strings = {"".join(rng.choice(list("IIIXYZ"), n)): round(float(rng.normal()), 6) for _ in range(300)}
+    (tmp_path / "h.json").write_text(json.dumps(strings))
+    hamiltonian = read_pauli_json(spark, f"{tmp_path}/h.json")
+    pairs = [{"II": 1.0, "XZ": 1.0}, {"IZ": 0.1, "ZZ": 0.1}, {"YI": 0.7, "IY": 0.1}, {"ZI": 0.5, "ZZ": 0.6}, {"YI": 0.7, "IY": 0.1}, {"XX": 0.4}]
+    gates = [(("evolution", PauliOperator(op, 2)), (2 * i, 2 * i + 1), t) for i, (op, t) in enumerate(zip(pairs, (0.2, 0.1, 0.3, 0.1, 0.3, -0.7)))]
+    gates += [(("evolution", PauliOperator({"ZY": 0.3}, 2)), (q + 1, q), 0.5) for q in range(0, 11, 3)]
+    occupied = list(range(1, n, 2))
+    p = PauliPropagator.from_circuit(circuit_from_gate_list(gates, n, occupied), hamiltonian, cutoff=n)
+    psi = dense.state(occupied, n).astype(complex).reshape([2] * n)
+    for (_, op), (a, b), t in gates:  # exp(-i t H) on two axes of the state
+        w, v = np.linalg.eigh(dense.pauli_matrix(op))
+        u = (v @ np.diag(np.exp(-1j * t * w)) @ v.conj().T).reshape(2, 2, 2, 2)
+        psi = np.moveaxis(np.tensordot(u, psi, ((2, 3), (a, b))), (0, 1), (a, b))
+    want = 0.0
+    for letters, c in strings.items():
+        turned = psi
+        for q, letter in enumerate(letters):
+            turned = np.moveaxis(np.tensordot(dense.ONE[letter], turned, (1, q)), 0, q)
+        want += c * np.vdot(psi, turned).real
+    assert p.expectation_value() == pytest.approx(want, abs=1e-9) and p.size() > 300
+
+
 def test_models():
     bonds = models.heavy_hex_bonds()
     assert len(bonds) == 144 and max(map(max, bonds)) == 126 and max(sum(q in b for b in bonds) for q in range(127)) == 3
