@@ -143,7 +143,7 @@ def _settle(floors: pa.Table, groups: pa.Table) -> pa.Table:
     ranks = np.array(r["ranks"])
     depth = max(int(ranks.max()), 1)
     all_ = [np.full((len(ranks), depth), LEAST), *(np.frombuffer(b, np.int64).reshape(len(ranks), depth) for b in floors["floors"].to_pylist())]
-    best = -np.sort(-np.concatenate(all_, axis=1), axis=1)
+    best = np.sort(np.concatenate(all_, axis=1), axis=1)[:, ::-1]
     floor = np.where(ranks > 0, best[np.arange(len(ranks)), np.maximum(ranks, 1) - 1], LEAST)
     return pa.Table.from_pylist([{"group": r["group"], "floors": floor.tobytes()}], schema=_FLOOR)
 
@@ -182,7 +182,8 @@ def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 5, bits: int = 6,
     vectors, wanted = (d.select(F.col("vec_id").cast("long").alias("vec_id"), whole_numbers(F.col("embedding")).alias("v")).where("v IS NOT NULL AND vec_id IS NOT NULL") for d in (embeddings, queries))
     stored = build(vectors, k, bits, block)
     asked = _query_groups(wanted.distinct(), vectors, k, group)
-    lanes, batches = max(n, -(-stored.count() // 16)), max(1, -(-asked.count() // 8))
+    blocks = stored.count()
+    lanes, batches = max(1, min(blocks, n), -(-blocks // 16)), max(1, -(-asked.count() // 8))
     lane, batch = F.pmod(F.xxhash64("block"), F.lit(lanes)), F.pmod(F.xxhash64("group"), F.lit(batches))
     approximations = stored.select("block", "dims", "n", "codes", "edges", lane.alias("lane"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(batches - 1).cast("long"))).alias("batch"))
 

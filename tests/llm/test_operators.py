@@ -357,9 +357,15 @@ def test_top_k_of_repeated_ids(spark, first):
 
 def test_exact_vectors_are_read_in_rounds(spark, monkeypatch):
     """No candidate beyond a query's last round is read, and rounds go on until the kth score is certain."""
-    rounds = []
+    rounds, frames = [], {}
     written = va_file.written
-    monkeypatch.setattr(va_file, "written", lambda df, name: (rounds.append(name), written(df, name))[1])
+
+    def kept(df, name):
+        rounds.append(name)
+        frames[name] = written(df, name)
+        return frames[name]
+
+    monkeypatch.setattr(va_file, "written", kept)
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(0, 1, 16)]) for i in range(400)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
@@ -367,6 +373,7 @@ def test_exact_vectors_are_read_in_rounds(spark, monkeypatch):
         rounds.clear()
         got = va_file.top_k(frame, frame.where("vec_id % 50 = 0"), 5, bits, 64, 4, 1).collect()
         assert sorted(map(tuple, got)) == brute.top_k(rows, 50, 5) and rounds.count("best") >= least
+        assert frames["candidates"].count() < 8 * 400 * (0.2 if bits == 8 else 1.1)  # the floors leave few cells
 
 
 def test_bounds_hold():
