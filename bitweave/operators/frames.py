@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bits as B
+from ..store import local_frame
 from .conversions import BLOCKS
 
 
@@ -73,7 +74,7 @@ def integral_ladders(one: DataFrame, two: DataFrame, n: int, h0: float = 0.0, at
     pair = two.selectExpr(f"{spins[0]} AS a", f"{spins[1]} AS b", "p", "q", "r", "t", "CAST(value AS DOUBLE) AS value").where("NOT (p + a = r + b OR q + a = t + b)")
     pair = pair.selectExpr("array(p + a, r + b, t + b, q + a) AS modes", "array(true, true, false, false) AS raising", "if(a = b, 0.5D, 1D) * value AS c")
     ladders = [df.selectExpr("CAST(modes AS ARRAY<INT>) AS modes", "raising", "c") for df in (single, pair)]
-    scalar = one.sparkSession.createDataFrame([([], [], float(h0))], "modes array<int>, raising array<boolean>, c double")
+    scalar = local_frame(one.sparkSession, [([], [], float(h0))], "modes array<int>, raising array<boolean>, c double")
     return canonical_ladders(scalar.unionByName(ladders[0]).unionByName(ladders[1])).where(F.abs("c") > atol)
 
 

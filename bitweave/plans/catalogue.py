@@ -22,7 +22,7 @@ from ..operators.conversions import jordan_wigner_basis_change
 from ..operators.terms import MajoranaOperator, Pauli, PauliOperator
 from ..propagator import MajoranaPropagator, PauliPropagator
 from ..sources import tables
-from ..store import shared_folder
+from ..store import local_frame, shared_folder
 from .batch import Rotation, batches, evolve
 from .rotate import merge, rotate
 from .truncation import Predicate, Truncation
@@ -85,7 +85,8 @@ def _public(rows: DataFrame) -> DataFrame:
 
 
 def _one_row(spark: SparkSession, **values) -> DataFrame:
-    return spark.createDataFrame([tuple(values.values())], list(values))
+    kinds = {int: "long", float: "double", str: "string"}
+    return local_frame(spark, [tuple(values.values())], ", ".join(f"{k} {kinds[type(v)]}" for k, v in values.items()))
 
 
 def _all_terms(p) -> DataFrame:
@@ -250,12 +251,12 @@ def functional_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A reusable functional, whole and pared, at the graph's own angles."""
     p, values = _with_graph(spark, sf_dir)
     rows = [(name, round(p.expval_functional(threshold)(values), 6)) for name, threshold in (("whole", None), ("pared", 0.5))]
-    return spark.createDataFrame(rows, "functional string, expval double")
+    return local_frame(spark, rows, "functional string, expval double")
 
 
 def _slopes(spark, p, values, f) -> DataFrame:
     slopes = f(values)[1]
-    return spark.createDataFrame([(len(values) - 1 - i, round(float(s), 6)) for i, s in enumerate(slopes)], "layer int, slope double")
+    return local_frame(spark, [(len(values) - 1 - i, round(float(s), 6)) for i, s in enumerate(slopes)], "layer int, slope double")
 
 
 def gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,7 +306,7 @@ def picture_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
         p = propagator(operator(spark, sf_dir), "majorana", **more)
         p.propagate(circuit("majorana", MAJORANA_GATES[:1]))
         rows.append((name, round(p.expectation_value(), 6)))
-    return spark.createDataFrame(rows, "picture string, expval double")
+    return local_frame(spark, rows, "picture string, expval double")
 
 
 def gate_basis_change(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -368,7 +369,7 @@ def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def core_term(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The identity's coefficient is no row, and part of every expectation value."""
-    one = spark.createDataFrame([(0, 0.75), (0, 0.5)], "w0 long, c double")
+    one = local_frame(spark, [(0, 0.75), (0, 0.5)], "w0 long, c double")
     p = propagator(operator(spark, sf_dir).where("w0 <> 0").unionByName(one))
     return _one_row(spark, core=p.core, terms=p.size(), expval=round(p.expectation_value(), 6))
 
@@ -491,7 +492,7 @@ def problem_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/bitweave-problem-{spark.sparkContext.applicationId}-{id(problem)}"
     tables.write_problem(spark, problem, path)
     back = tables.read_problem(spark, path)
-    found = frames.encoded(spark.createDataFrame([(list(k), v.real, v.imag) for k, v in back.operator.terms.items()], tables.TERMS), MODES)
+    found = frames.encoded(local_frame(spark, [(list(k), v.real, v.imag) for k, v in back.operator.terms.items()], tables.TERMS), MODES)
     return _public(found).withColumn("gates", F.lit(len(back.circuit))).withColumn("energy", F.lit(back.energy))
 
 

@@ -18,7 +18,7 @@ from .operators.terms import MajoranaOperator, Pauli, PauliOperator
 from .plans.batch import COSINE, DONE, EDGE, ROW, Rotation, batches, evenly, evolve, replay, replay_back
 from .plans.rotate import merge
 from .plans.truncation import Predicate, Truncation
-from .store import discard, keep
+from .store import discard, keep, local_frame
 
 MAX_NUM_MODES = 1 << 16
 
@@ -124,7 +124,7 @@ class Propagator:
         core = encoded.pop(0, 0.0)
         rows = [(*B.split(m, self.algebra.words), c) for m, c in encoded.items()]
         schema = ", ".join(f"{n} long" for n in self._names) + ", c double"
-        return core, self.spark.createDataFrame(rows, schema)
+        return core, local_frame(self.spark, rows, schema)
 
     def _split_frame(self, terms: DataFrame) -> tuple[float, DataFrame]:
         """The identity's coefficient, and the other terms, merged and written."""
@@ -135,8 +135,8 @@ class Propagator:
     def _paired_state(self, limit: int) -> DataFrame:
         """All paired monomials of at most ceil(limit / 2) pairs, each with its state phase; grown pair by pair in Spark."""
         most = min(-(-min(limit, 2 * self._size) // 2), self._size)
-        pairs = self.spark.createDataFrame([(q, *B.split(3 << 2 * q, self.algebra.words)) for q in range(self._size)], "q int, " + ", ".join(f"p{i} long" for i in range(self.algebra.words)))
-        level = self.spark.createDataFrame([(-1, *[0] * self.algebra.words)], "top int, " + ", ".join(f"{n} long" for n in self._names))
+        pairs = local_frame(self.spark, [(q, *B.split(3 << 2 * q, self.algebra.words)) for q in range(self._size)], "q int, " + ", ".join(f"p{i} long" for i in range(self.algebra.words)))
+        level = local_frame(self.spark, [(-1, *[0] * self.algebra.words)], "top int, " + ", ".join(f"{n} long" for n in self._names))
         out = level
         for _ in range(most):
             # the pairs table has one row per mode: a proven bound
@@ -505,7 +505,7 @@ class Propagator:
         if threshold is None or self._graph.edges is None:
             return self._graph, rows
         g_of = [(x.number, *B.split(x.g, self.algebra.words)) for x in self._graph.layers]
-        gates = F.broadcast(self.spark.createDataFrame(g_of, "layer int, " + ", ".join(f"g{i} long" for i in range(self.algebra.words))))
+        gates = F.broadcast(local_frame(self.spark, g_of, "layer int, " + ", ".join(f"g{i} long" for i in range(self.algebra.words))))
         ends = self._graph.edges.join(gates, "layer")
         other = ends.selectExpr(*[f"({n} ^ g{i}) AS {n}" for i, n in enumerate(self._names)])
         reached = ends.select(*self._names).unionByName(other)
@@ -549,7 +549,7 @@ class Propagator:
         """(w0.., c) of the evolved operator or state, values rounded to 12 digits; the sink for large results."""
         rows = self.contract_partially(parameters, inplace=False).where(F.abs("c") >= atol)
         if not self.schrodinger and self.core:
-            core = self.spark.createDataFrame([(*[0] * self.algebra.words, self.core)], rows.schema)
+            core = local_frame(self.spark, [(*[0] * self.algebra.words, self.core)], rows.schema)
             rows = rows.unionByName(core)
         return rows if digits is None else rows.withColumn("c", F.round("c", digits))
 
@@ -600,14 +600,14 @@ class Propagator:
     def graph_edges(self, layers: int | None = None) -> DataFrame:
         """(w0.., layer): the lower end of each rotated pair, of the first layers only if a number is given."""
         schema = ", ".join(f"{n} long" for n in self._names) + ", layer int"
-        edges = self._graph.edges if self._graph.edges is not None else self.spark.createDataFrame([], schema)
+        edges = self._graph.edges if self._graph.edges is not None else local_frame(self.spark, [], schema)
         if layers is None:
             return edges
         return edges.where(F.col("layer").isin([x.number for x in self._graph.layers[:layers]]))
 
     def graph_counts(self) -> DataFrame:
         """(layer, cosine_only, cycles) of every layer that met a row which anticommutes or might have."""
-        alone = self._graph.cosine_only if self._graph.cosine_only is not None else self.spark.createDataFrame([], "layer int, n long")
+        alone = self._graph.cosine_only if self._graph.cosine_only is not None else local_frame(self.spark, [], "layer int, n long")
         cycles = self.graph_edges().groupBy("layer").agg(F.count(F.lit(1)).alias("cycles"))
         return alone.select("layer", F.col("n").alias("cosine_only")).join(cycles, "layer", "left").fillna({"cycles": 0})
 

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from ..functions import bits as B
 from ..operators.circuit import Circuit, ExpGate
 from ..operators.terms import MajoranaOperator, Pauli, PauliOperator
+from ..store import local_frame
 
 TERMS = "idx array<int>, re double, im double"
 GATES = "layer int, gate int, param int, idx array<int>, gcoef double"
@@ -39,7 +40,7 @@ def slots_of_words(rows: DataFrame, num_modes: int) -> DataFrame:
 
 def write_operator(spark: SparkSession, operator, path: str, fmt: str = "parquet") -> None:
     masks = operator.masks()
-    spark.createDataFrame([(list(B.slots_of(m)), complex(c).real, complex(c).imag) for m, c in masks.items()], TERMS).write.format(fmt).save(path)
+    local_frame(spark, [(list(B.slots_of(m)), complex(c).real, complex(c).imag) for m, c in masks.items()], TERMS).write.format(fmt).save(path)
 
 
 def read_operator(spark: SparkSession, path: str, num_modes: int, fmt: str = "parquet", basis: str = "majorana"):
@@ -53,7 +54,7 @@ def read_operator(spark: SparkSession, path: str, num_modes: int, fmt: str = "pa
 def write_circuit(spark: SparkSession, circuit: Circuit, path: str, fmt: str = "parquet") -> None:
     flat = circuit.layers()
     rows = [(i, g, p, list(B.slots_of(m)), c) for i, (m, c, p, g) in enumerate(zip(flat.masks, flat.coefficients, flat.mapping, flat.gates))]
-    spark.createDataFrame(rows, GATES).write.format(fmt).save(path)
+    local_frame(spark, rows, GATES).write.format(fmt).save(path)
 
 
 def gate_sessions(gates: DataFrame, circuit: tuple[str, ...] = (), order: tuple[str, ...] = ("layer",), param: str = "param") -> DataFrame:
@@ -92,7 +93,7 @@ def write_problem(spark: SparkSession, problem: Problem, path: str) -> None:
     write_circuit(spark, problem.circuit, f"{path}/gates")
     c = problem.circuit
     row = (c.system_size, list(c.initial_state), list(c.parameters), problem.energy, list(problem.gradient))
-    spark.createDataFrame([row], PROBLEM).write.parquet(f"{path}/problem")
+    local_frame(spark, [row], PROBLEM).write.parquet(f"{path}/problem")
 
 
 def read_problem(spark: SparkSession, path: str) -> Problem:

@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,6 +36,13 @@ def keep(df: DataFrame, name: str = "rows", codec: str = "lz4") -> DataFrame:
     return back
 
 
+def local_frame(spark: SparkSession, rows, schema: str | StructType) -> DataFrame:
+    """A small table of Python rows, handed over as Arrow: no Python worker has to start for it on any executor."""
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    columns = list(zip(*rows)) or [()] * len(schema)
+    return spark.createDataFrame(pa.table([pa.array(list(c), to_arrow_type(f.dataType)) for c, f in zip(columns, schema)], names=schema.names), schema)
+
+
 def discard(*frames: DataFrame | None) -> None:
     """Delete the files behind kept frames that nothing will read any more; other frames are left alone."""
     for df in frames:
