@@ -32,9 +32,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         mark = (seen["n"], seen["s"])
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both, 2 * seen["n"]).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        small = _star(large, seen["n"])
+        large = written(large, "large")
+        small = _star(large, large.count())
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(small.select("u", F.col("m").alias("v"))).distinct()
         after = written(small, "links")
-        discard(links)
+        discard(links, large)
         links = after
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

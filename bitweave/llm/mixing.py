@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import boxed, free_names, partitions, spread_join, written
+from .common import boxed, free_names, local_frame, partitions, spread_join, written
 
 UNITS = 1_000_000  # a weight of 1 in whole units: shares are computed in whole numbers, so they are exact
 
@@ -58,35 +58,35 @@ def running(rows: DataFrame, group: list[str], order: list, sums: dict[str, str]
     return rows.withColumns({s: F.col(s) + F.col(f"_b_{s}") for s in sums}).drop("_range", *[f"_b_{s}" for s in sums])
 
 
+def totals(rows: DataFrame, group: list[str], sums: dict[str, str], n: int) -> DataFrame:
+    """rows, n at most, with the sums of their whole groups; sums: result -> column."""
+    if n <= RANGE:
+        return rows.withColumns({s: F.sum(c).over(Window.partitionBy(*group)) for s, c in sums.items()})
+    return rows.join(rows.groupBy(*group).agg(*[F.sum(c).alias(s) for s, c in sums.items()]), group)
+
+
 def share_out(parents: DataFrame, children: DataFrame, keys: list[str], name: str, n: int) -> DataFrame:
     """Split each parent's budget by weight among its children; what a full child cannot take goes to the others by
     weight. Whole tokens left by rounding go to the largest remainders, then to the first names.
 
     keys name a child, all but the last its parent. parents holds _budget, children, n at most, _weight (whole units)
-    and _capacity.
-    Gives keys and _budget of the children that get any.
+    and _capacity. Gives keys and _budget of the children that get any.
     """
     up, child = keys[:-1], keys[-1]
-    children = children.where("_weight > 0 AND _capacity > 0")
-    room = children.groupBy(*up).agg(F.sum("_capacity").alias("_room"), F.sum("_weight").alias("_weights"))
-    parents = parents.join(room, up).where("_budget > 0").withColumn("_budget", F.least("_budget", "_room"))
-    rows = children.join(parents, up)
+    rows = children.where("_weight > 0 AND _capacity > 0").join(parents.where("_budget > 0"), up)
+    rows = totals(rows, up, {"_room": "_capacity", "_weights": "_weight"}, n).withColumn("_budget", F.least("_budget", "_room"))
     # by capacity for a unit of weight: the smallest are full first, and the others share what those leave
-    order = [F.col("_capacity") / F.col("_weight"), F.col(child)]
-    rows = running(rows, up, order, {"_caps": "_capacity", "_upto": "_weight"}, f"{name}_order", n)
-    left = (F.col("_budget") - F.col("_caps") + F.col("_capacity")).cast("decimal(20,0)")
-    live = (F.col("_weights") - F.col("_upto") + F.col("_weight")).cast("decimal(20,0)")
+    rows = running(rows, up, [F.col("_capacity") / F.col("_weight"), F.col(child)], {"_caps": "_capacity", "_upto": "_weight"}, f"{name}_order", n)
+    left, live = (F.expr(f"CAST({x} AS DECIMAL(20,0))") for x in ("_budget - _caps + _capacity", "_weights - _upto + _weight"))
     rows = rows.withColumn("_full", left * _whole("_weight") >= _whole("_capacity") * live)
-    whole = F.when(F.col("_full"), F.col("_capacity")).otherwise(0)
-    rest = rows.groupBy(*up).agg((F.max("_budget") - F.sum(whole)).alias("_left"), F.sum(F.when(F.col("_full"), 0).otherwise(F.col("_weight"))).alias("_live"))
-    rows = rows.join(rest, up)
-    product = _whole("_left") * _whole("_weight")
-    rows = rows.withColumn("_part", F.when(~F.col("_full"), F.expr("(CAST(_left AS DECIMAL(20,0)) * CAST(_weight AS DECIMAL(20,0))) DIV CAST(_live AS DECIMAL(20,0))")))
-    rows = rows.withColumn("_over", F.when(~F.col("_full"), product - _whole("_part") * _whole("_live")))
-    spare = rows.groupBy(*up).agg((F.max("_left") - F.coalesce(F.sum("_part"), F.lit(0))).alias("_spare"))
-    rows = rows.join(spare, up).withColumn("_one", F.when(~F.col("_full"), 1).otherwise(0))
+    rows = rows.withColumns({"_taken": F.when(F.col("_full"), F.col("_capacity")).otherwise(0), "_open": F.when(F.col("_full"), 0).otherwise(F.col("_weight"))})
+    rows = totals(rows, up, {"_all": "_taken", "_live": "_open"}, n).withColumn("_left", F.col("_budget") - F.col("_all"))
+    product = "CAST(_left AS DECIMAL(20,0)) * CAST(_weight AS DECIMAL(20,0))"
+    rows = rows.withColumn("_part", F.expr(f"if(_full, 0L, ({product}) DIV CAST(_live AS DECIMAL(20,0)))"))
+    rows = rows.withColumn("_over", F.expr(f"if(_full, NULL, {product} - CAST(_part AS DECIMAL(20,0)) * CAST(_live AS DECIMAL(20,0)))"))
+    rows = totals(rows.withColumn("_one", F.lit(1)), up, {"_parts": "_part"}, n)
     rows = running(rows, up, [F.col("_full"), F.col("_over").desc(), F.col(child)], {"_place": "_one"}, f"{name}_rest", n)
-    more = F.least(F.col("_part") + (F.col("_place") <= F.col("_spare")).cast("long"), F.col("_capacity"))
+    more = F.least(F.col("_part") + (F.col("_place") <= F.col("_left") - F.col("_parts")).cast("long"), F.col("_capacity"))
     return rows.select(*keys, F.when(F.col("_full"), F.col("_capacity")).otherwise(more).alias("_budget")).where("_budget > 0")
 
 
@@ -97,12 +97,13 @@ def leaf_budgets(leaves: DataFrame, keys: list[str], targets: Targets) -> DataFr
     leaf's shortage is made up by its siblings first, and by its parent's siblings only when the parent is full.
     """
     spark, n = leaves.sparkSession, leaves.count()
-    leaves = leaves.where("tokens > 0").withColumn("_root", F.lit(0))
+    root = (F.length(keys[0]) < 0).cast("int")  # 0 in every row, and a key like the others
+    leaves = leaves.where("tokens > 0").withColumn("_root", root)
     out = leaves.groupBy("_root").agg(F.floor(F.lit(float(targets.budget_share)) * F.sum("tokens")).alias("_budget"))
     for depth in range(1, len(keys) + 1):
         path = keys[:depth]
         given = [(*k, units(w)) for k, w in targets.weights.items() if len(k) == depth]
-        weights = spark.createDataFrame(given, ", ".join(f"{k} string" for k in path) + ", _weight long")
+        weights = local_frame(spark, given, ", ".join(f"{k} string" for k in path) + ", _weight long")
         children = leaves.groupBy("_root", *path).agg((F.sum("tokens") * targets.max_epochs).alias("_capacity")).join(weights, path, "left")
         children = children.withColumn("_weight", F.coalesce("_weight", F.lit(units(targets.default)).cast("long")))
         out = written(share_out(out, children, ["_root", *path], f"level{depth}", n), f"budgets{depth}")
