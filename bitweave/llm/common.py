@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..store import discard, keep, shared_folder
+from ..store import discard, keep, local_frame, shared_folder
 
 #: ASCII white space that separates words: the characters of [\x20\x09-\x0D].
 WHITE_SPACE = " \t\n\v\f\r"
@@ -59,18 +59,23 @@ def spread_join(many: DataFrame, one: DataFrame, on: list[str], by: list[str], h
     one_rows, if known: up to BROADCAST_ROWS rows of `one` are broadcast and nothing is shuffled. Otherwise
     a key that holds more than twice a partition's share of the rows is split by a hash of `by` into parts of one share
     each, and its row of `one` is copied to them. At most half as many keys as partitions can be that common, and their
-    parts are fewer than twice the partitions: a proven bound for the broadcast. counts: (on.., n), if known. Null keys
-    match nothing.
+    parts are fewer than twice the partitions: a proven bound for the list of them. counts: (on.., n), if known; it may
+    overstate n. Null keys match nothing.
     """
     if one_rows is not None and one_rows <= BROADCAST_ROWS:
         return many.join(F.broadcast(one), on, how)
-    n = partitions(many.sparkSession)
+    spark = many.sparkSession
+    n = partitions(spark)
     total = many.count() if total is None else total
     share = max(32, -(-total // n))
     counts = many.groupBy(*on).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
     hot = counts.where(F.col("n") > 2 * share).select(*on, F.ceil(F.col("n") / share).cast("int").alias("_parts"))
-    left = many.join(F.broadcast(hot), on, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*by), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
-    right = one.join(F.broadcast(hot), on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts") - 1, F.lit(0))))).drop("_parts")
+    rows = hot.collect()  # half as many rows as partitions at most
+    if not rows:
+        return many.join(one, on, how)
+    hot = F.broadcast(local_frame(spark, rows, hot.schema))
+    left = many.join(hot, on, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*by), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+    right = one.join(hot, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts") - 1, F.lit(0))))).drop("_parts")
     return left.join(right, [*on, "_part"], how).drop("_part")
 
 

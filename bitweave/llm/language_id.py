@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import local_frame
+
 OUT_SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 DIMENSIONS = 4096
@@ -143,7 +145,7 @@ def train(docs: DataFrame, sample_texts: int = 2000, seed: int = 7) -> Model:
     each = max(1, sample_texts // max(1, len(sizes)))
     # a few more than needed, then exactly `each` below
     share = [(lang, int(min(1.0, (each + 5 * each**0.5 + 10) / n) * (1 << 30))) for lang, n in sizes.items()]
-    shares = F.broadcast(docs.sparkSession.createDataFrame(share, "lang string, share long"))
+    shares = F.broadcast(local_frame(docs.sparkSession, share, "lang string, share long"))
 
     def count(batches):
         for batch in batches:
@@ -191,13 +193,14 @@ def accepted(docs: DataFrame, sample_texts: int = 2000) -> DataFrame:
     rows without doc_id and repeated rows stay or go by their texts; an empty table gives an empty result."""
     model = train(docs, sample_texts)
 
-    @F.pandas_udf("boolean")
-    def near(text):
-        import pandas as pd
+    at = docs.columns.index("text")
 
-        out = []
-        for i in range(0, len(text), 256):
-            out.append(~model.predict(n_gram_counts([t or "" for t in text.iloc[i : i + 256]]))[2])
-        return pd.Series(np.concatenate(out) if out else np.empty(0, bool))
+    def near(batches):
+        # whole rows pass through the same kind of worker as everything else: no second pool of Python processes
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            keep = [~model.predict(n_gram_counts([t or "" for t in texts[i : i + 256]]))[2] for i in range(0, len(texts), 256)]
+            if keep:
+                yield batch.filter(pa.array(np.concatenate(keep)))
 
-    return docs.where(near(F.col("text")))
+    return docs.mapInArrow(near, docs.schema)
