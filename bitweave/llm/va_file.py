@@ -192,16 +192,17 @@ def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 5, bits: int = 6,
         return approximations.groupBy("lane", "batch").cogroup(groups.groupBy("lane", "batch")).applyInArrow(function, schema)
 
     floors = written(meet(asked, _floors, FLOOR_SCHEMA).groupBy("group").cogroup(asked.groupBy("group")).applyInArrow(_settle, FLOOR_SCHEMA), "floors")
-    found = meet(asked.join(floors, "group"), _candidates, FOUND_SCHEMA)
-    order = Window.partitionBy("group", "query").orderBy(F.col("bound").desc(), "block", "place")
-    found = written(found.withColumn("turn", F.row_number().over(order)), "candidates")
+    found = written(meet(asked.join(floors, "group"), _candidates, FOUND_SCHEMA), "candidates")
+    order = F.row_number().over(Window.partitionBy("group", "query").orderBy(F.col("bound").desc(), "block", "place"))
     exact = stored.select("block", F.posexplode(F.arrays_zip("vectors", "members")).alias("place", "x")).select("block", "place", F.col("x.vectors").alias("v"), F.col("x.members").alias("members"))
     single = asked.select("group", F.posexplode(F.arrays_zip("ids", "wanted")).alias("query", "x")).select("group", "query", F.col("x.ids").alias("query_id"), F.col("x.wanted").alias("w"))
     score = F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0).cast("long"), lambda a, b: a + b)
-    best, done, upto = None, 0, first * k
-    open_ = asked.select("group", F.posexplode("ids").alias("query", "query_id")).select("group", "query")
+    best, done, upto, open_ = None, 0, first * k, None
     while True:
-        turn = found.where(f"turn > {done} AND turn <= {upto}").join(open_, ["group", "query"], "left_semi")
+        # the first candidates of each open query, cut in every task before they meet
+        some = found if open_ is None else found.join(open_, ["group", "query"], "left_semi")
+        some = written(some.withColumn("turn", order).where(F.col("turn") <= upto + 1), "turns")
+        turn = some.where(f"turn > {done} AND turn <= {upto}")
         read = turn.join(exact, ["block", "place"]).join(single, ["group", "query"])
         read = read.select("group", "query", "query_id", score.alias("score"), F.explode("members").alias("vec_id")).where("vec_id <> query_id")
         every = read if best is None else best.drop("rank").unionByName(read)
@@ -211,7 +212,7 @@ def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 5, bits: int = 6,
             discard(last)
         # a query is settled once its next bound is below its kth score
         kth = best.where(F.col("rank") == k).select("group", "query", F.col("score").alias("kth"))
-        further = found.where(f"turn = {upto + 1}").select("group", "query", "bound").join(open_, ["group", "query"], "left_semi").join(kth, ["group", "query"], "left")
+        further = some.where(f"turn = {upto + 1}").select("group", "query", "bound").join(kth, ["group", "query"], "left")
         open_ = written(further.where("kth IS NULL OR bound >= kth").select("group", "query"), "open")
         if open_.isEmpty():
             return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
