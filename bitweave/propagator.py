@@ -91,7 +91,7 @@ class Propagator:
     def _start(self, core: float, operator: DataFrame, schrodinger_cutoff: int | None) -> None:
         self.core, self._operator = core, operator
         self.schrodinger = schrodinger_cutoff is not None
-        self._rows = keep(self._paired_state(schrodinger_cutoff) if self.schrodinger else operator.withColumn("layer", F.lit(-1)))
+        self._rows = keep(self._paired_state(schrodinger_cutoff)) if self.schrodinger else operator.withColumn("layer", F.lit(-1))
         self._graph, self._built, self._n_params = Graph(), 0, 0
         self._operator_epoch = self._graph_epoch = 0
         self.shuffles = 0  # batches that went through a shuffle so far
@@ -320,7 +320,6 @@ class Propagator:
                 record.append(out)
             else:
                 discard(last)
-        rows._kept_in = getattr(kept, "_kept_in", None) if record is None else None
         return rows
 
     def _touching(self, rows: DataFrame, steps: list[Rotation]) -> list[Rotation]:
@@ -346,9 +345,7 @@ class Propagator:
         steps = steps if self.schrodinger else steps[::-1]
         steps = self._touching(self._rows, steps)
         if steps:
-            rows = self._advance(self._rows, steps, cut)
-            self._rows = keep(rows.withColumn("layer", F.lit(-1)))
-            discard(rows)
+            self._rows = self._advance(self._rows, steps, cut).withColumn("layer", F.lit(-1))
         self._operator_epoch += 1
 
     def build_graph(self, circuit: Circuit, *, seed_parameters=None, only_rotate_len_k: int | None = None) -> None:
