@@ -95,6 +95,7 @@ class Propagator:
         self._graph, self._built, self._n_params = Graph(), 0, 0
         self._operator_epoch = self._graph_epoch = 0
         self.shuffles = 0  # batches that went through a shuffle so far
+        self._even: dict[frozenset, bool] = {}
 
     # --- construction
 
@@ -282,8 +283,13 @@ class Propagator:
         ranks = [self.max_rank] if self.max_rank else [r for r in (64, 32) if r <= 2 * self._size - 9] + [least]
         for rank in ranks:
             part = batches(steps, rank)[0]
-            if rank == ranks[-1] or evenly(rows, self.algebra, part, self._buckets(n)) < 1.5:
-                return part
+            if rank == ranks[-1]:
+                break
+            key = frozenset(r.g for r in part)  # Trotter steps repeat: a span is judged once
+            if key not in self._even:
+                self._even[key] = evenly(rows, self.algebra, part, self._buckets(n)) < 1.5
+            if self._even[key]:
+                break
         return part
 
     def _advance(self, rows: DataFrame, steps: list[Rotation], cut: Truncation, *, informed: bool = True, record: list | None = None) -> DataFrame:
