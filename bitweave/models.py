@@ -56,19 +56,22 @@ def kicked_ising(steps: int, *, theta: float = np.pi / 4, j: float = np.pi / 4,
     return PauliOperator({Pauli("Z", (qubit,)): 1.0}, n), Circuit(gates * steps, n, angles * steps, ())
 
 
-def hubbard_chain(sites: int, steps: int, *, dt: float = 0.2, hopping: float = 1.0, interaction: float = -2.0, potential: float = 0.0) -> tuple[FermiOperator, Circuit]:
+def hubbard_chain(sites: int, steps: int, *, dt: float = 0.2, hopping: float = 1.0, interaction: float = -2.0, potential: float = 0.0, bricks: bool = False, site: int = 0) -> tuple[FermiOperator, Circuit]:
     """First-order Trotter steps of the 1-D Hubbard model from the Neel state; modes 2s (up) and 2s + 1 (down).
-    The observable is the density of the first mode."""
+    The observable is the density of spin up at a site. Bonds go along the chain, both spins at each; as bricks the even
+    bonds come before the odd ones, all of spin up before those of spin down."""
     n, terms = 2 * sites, []
-    for s in range(sites - 1):
-        for spin in (0, 1):
-            a, b = 2 * s + spin, 2 * s + 2 + spin
-            terms.append({((a, "+"), (b, "-")): -hopping, ((b, "+"), (a, "-")): -hopping})
+    along = [(s, spin) for s in range(sites - 1) for spin in (0, 1)]
+    if bricks:
+        along.sort(key=lambda bond: (bond[1], bond[0] % 2, bond[0]))
+    for s, spin in along:
+        a, b = 2 * s + spin, 2 * s + 2 + spin
+        terms.append({((a, "+"), (b, "-")): -hopping, ((b, "+"), (a, "-")): -hopping})
     terms += [{((2 * s, "+"), (2 * s, "-"), (2 * s + 1, "+"), (2 * s + 1, "-")): interaction} for s in range(sites)]
     terms += [{((m, "+"), (m, "-")): -potential} for m in range(n) if potential]
     gates = [ExpGate(FermiOperator.from_dict(t, n)) for t in terms]
     neel = [2 * s + s % 2 for s in range(sites)]
-    return FermiOperator.from_dict({((0, "+"), (0, "-")): 1.0}, n), Circuit(gates * steps, n, [dt] * (len(gates) * steps), neel)
+    return FermiOperator.from_dict({((2 * site, "+"), (2 * site, "-")): 1.0}, n), Circuit(gates * steps, n, [dt] * (len(gates) * steps), neel)
 
 
 def random_majorana(modes: int = 128, terms: int = 10_000, generators: int = 100, length: int = 4, seed: int | None = None) -> tuple[MajoranaOperator, Circuit]:
